@@ -176,5 +176,5 @@ def gathered(batches: Iterable[pa.RecordBatch], types: dict[str, object]) -> dic
     parts: dict[str, list[np.ndarray]] = {k: [] for k in types}
     for batch in batches:
         for k, t in types.items():
-            parts[k] += [np.frombuffer(x, t) for x in batch.column(k).to_pylist()]
+            parts[k] += [np.frombuffer(x, t) for x in batch.column(k).to_pylist() if x]
     return {k: np.concatenate(v) if v else np.zeros(0, types[k]) for k, v in parts.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bin_completion import pack
 from .parity_join import jaccard_components
+from .suffix_dedup import digest
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +23,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), capacity=4096)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
