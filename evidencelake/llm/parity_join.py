@@ -61,6 +61,21 @@ def sketch(u: np.ndarray, low: int) -> np.ndarray:
     return mix(mix(parity + part[starts]) ^ mix(np.full(1, low, U64)))
 
 
+def bits(u: np.ndarray) -> bytes:
+    """The sketch of u with one-bit parts: as many bits as the next power of two from len(u) on, 64 at least."""
+    m = max(64, 1 << (len(u) - 1).bit_length()) if len(u) else 64
+    return np.packbits((np.bincount((u & U64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two sketches, the longer folded to the length of the shorter: at most the symmetric
+    difference of the sets."""
+    x, y = (np.frombuffer(s, np.uint8) for s in ((a, b) if len(a) <= len(b) else (b, a)))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sent(u: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
     """The keys that a set sends: in each band the first d + 1 filled parts, frequent ones last."""
     n = len(u)
@@ -114,15 +129,13 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
             nonlocal held
             k = np.concatenate([*keys, np.zeros(0, U64)])
             owner = np.repeat(np.array(names, np.int64), [len(x) for x in keys])
-            table = np.array(rows, np.int64).reshape(-1, 3)
+            columns = ["bucket", "key", "name", "doc"]
             if len(k):
                 part = dealt(((k >> U64(40)) % U64(buckets)).astype(np.int32), {"key": k, "name": owner})
-                none = pa.array([b""] * part.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, none], ["bucket", "key", "name", "doc"])
-            if len(table):
-                doc = dealt((mix(table[:, 0].view(U64)) % U64(buckets)).astype(np.int32), {"doc": np.ascontiguousarray(table).view("V24").reshape(-1)})
-                none = pa.array([b""] * doc.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([doc.column(0), none, none, doc.column(1)], ["bucket", "key", "name", "doc"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.binary())], columns)
+            if rows:
+                none = pa.nulls(len(rows), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in names], pa.int32()), none, none, pa.array(rows, pa.binary())], columns)
             keys.clear(), names.clear(), rows.clear()
             held = 0
 
@@ -131,7 +144,7 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for i, data in zip(ids, texts(batch.column(1)), strict=True):
                 u = shingles(data, words)
                 name = set_name(u) if len(u) else np.int64(0)
-                rows.append((int(i), int(name), len(u)))
+                rows.append(np.array([i, name, len(u)], np.int64).tobytes() + bits(u))
                 own = sent(u, percent, hot.value)
                 keys.append(own)
                 names.append(name)
@@ -141,14 +154,20 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches, {"key": U64, "name": np.int64, "doc": np.int64})
-        doc = got["doc"].reshape(-1, 3)
-        step = 1 << 16
-        for a in range(0, len(doc), step):
-            d = doc[a : a + step]
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            docs = [x for x in batch.column("doc").to_pylist() if x is not None]
+            if not docs:
+                kept.append(batch)
+                continue
+            head = np.frombuffer(b"".join([x[:24] for x in docs]), np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(d), pa.int64()), pa.array(d[:, 1]), pa.array(d[:, 0]), pa.array(d[:, 2])], ["key", "name", "did", "n"]
+                [pa.nulls(len(docs), pa.int64()), pa.array(head[:, 1]), pa.array(head[:, 0]), pa.array(head[:, 2]), pa.array([x[24:] for x in docs], pa.binary())],
+                ["key", "name", "did", "n", "bits"],
             )
+            kept.append(batch.filter(batch.column("key").is_valid()))
+        got = gathered(kept, {"key": U64, "name": np.int64})
+        step = 1 << 16
         order = np.lexsort((got["name"], got["key"]))
         k, f = got["key"][order], got["name"][order]
         if len(k):
@@ -162,11 +181,12 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for a in range(0, len(k), step):
             x, y = k[a : a + step].view(np.int64), f[a : a + step]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())], ["key", "name", "did", "n"]
+                [pa.array(x), pa.array(y), *[pa.nulls(len(x), pa.int64())] * 2, pa.nulls(len(x), pa.binary())],
+                ["key", "name", "did", "n", "bits"],
             )
 
     blobs = docs.select("did", "text").mapInArrow(emit, "bucket int, key binary, name binary, doc binary")
-    return blobs.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "key long, name long, did long, n long")
+    return blobs.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "key long, name long, did long, n long, bits binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,7 +215,21 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
                     )
 
     some = docs.join(small(needed), "did", "left_semi").select("text")
-    return some.mapInArrow(make, "name long, u binary").dropDuplicates(["name"])
+    return some.mapInArrow(make, "name long, u binary")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sketches do not rule out a link."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [apart(p, q) <= most_apart(i, j, percent) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = nodes.select("name", "n", "bits")
+    full = pairs.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b")
+    return full.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,11 +256,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     docs = docs.select("doc_id", "text").withColumn("did", did())
     table = stored(_sets_and_parts(docs, words, percent), "parity")
     rows = table.filter("key is null").select("did", "name", "n")
+    bit = table.filter("key is null").select("name", "bits").dropDuplicates(["name"])
     parts = table.filter("key is not null").select("key", "name")
     # A name stands for one set: (name, n) would do the same with one more column to carry.
     classes = rows.filter("n > 0").groupBy("name").agg(F.min("did").alias("did"), F.min("n").alias("n"))
-    nodes = stored(parts.select("name").distinct().join(classes, "name"), "nodes")
-    sets = stored(_sets(docs, nodes.select("did"), words), "sets")
+    nodes = stored(parts.select("name").distinct().join(classes, "name").join(bit, "name"), "nodes")
     label = nodes.select("name", "n", F.col("name").alias("comp"))
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     tested: DataFrame | None = None
@@ -254,7 +288,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
             parts = stored(ranked.filter(F.col("rank") > 4 ** max(0, turn - 1)).select("key", "name"), "parts")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        links = _linked(pairs, sets, percent)
+        close = stored(_possible(pairs, nodes, percent), "close")
+        ends = close.select(F.col("a").alias("name")).union(close.select("b")).distinct()
+        needed = stored(nodes.join(ends, "name").select("did"), "needed")
+        links = _linked(close, _sets(docs, needed, words), percent)
         ends = label.select("name", "comp")
         joined = links.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").filter("ca <> cb")
         edges = stored(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joined")
