@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import histogram_shards, langid, mixing
+from . import backoff_lm, histogram_shards, langid, mixing
 from .bin_completion import pack
 from .parity_join import jaccard_components
 from .suffix_dedup import digest
@@ -24,6 +24,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_documents(spark, sf_dir), **MIX)
 
 
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.digest(_documents(spark, sf_dir), order=2)
+
+
 def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards.digest(_documents(spark, sf_dir), shards=8, tolerance=0.01)
 
@@ -47,6 +51,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_backoff_lm": op4_backoff_lm,
     "op5_histogram_sharding": op5_histogram_sharding,
     "op8_language_id": op8_language_id,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
