@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, histogram_shards, langid, mixing
+from . import backoff_lm, histogram_shards, langid, merkle, mixing
 from .bin_completion import pack
 from .parity_join import jaccard_components
 from .suffix_dedup import digest
@@ -40,6 +40,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), capacity=4096)
 
 
+def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_backoff_lm": op4_backoff_lm,
     "op5_histogram_sharding": op5_histogram_sharding,
+    "op7_merkle_fingerprint": op7_merkle_fingerprint,
     "op8_language_id": op8_language_id,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
