@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, histogram_shards, langid, merkle, mixing
+from . import backoff_lm, histogram_shards, id_matrices, langid, media, merkle, mixing
 from .bin_completion import pack
 from .parity_join import jaccard_components
 from .suffix_dedup import digest
@@ -32,6 +32,10 @@ def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards.digest(_documents(spark, sf_dir), shards=8, tolerance=0.01)
 
 
+def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_matrices.id_matrices(_documents(spark, sf_dir), capacity=4096)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), words=5, percent=75)
 
@@ -40,6 +44,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), capacity=4096)
 
 
+def op6_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(_documents(spark, sf_dir))
+
+
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(_documents(spark, sf_dir))
 
@@ -54,9 +62,11 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_token_matrices": op2_token_matrices,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_backoff_lm": op4_backoff_lm,
     "op5_histogram_sharding": op5_histogram_sharding,
+    "op6_media_column": op6_media_column,
     "op7_merkle_fingerprint": op7_merkle_fingerprint,
     "op8_language_id": op8_language_id,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
