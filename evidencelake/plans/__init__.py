@@ -1,10 +1,6 @@
 """Named queries over the tables, each with the SQL that must give the same rows."""
 
-from __future__ import annotations
+from . import evaluation, ledgers, links, retrieval  # noqa: F401
+from .base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
