@@ -47,9 +47,10 @@ def did(column: str | Column = "doc_id") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(NULL_ID)).cast("long")
 
 
-def small(df: DataFrame, blobs: Iterable[str] = ()) -> DataFrame:
-    """df (a stored table) with a broadcast hint if its counted payload is at most BROADCAST_BYTES; else as it is."""
-    width = sum((F.coalesce(F.length(F.col(c)), F.lit(0)) for c in blobs), F.lit(24))
+def small(df: DataFrame, payload: Column | None = None) -> DataFrame:
+    """df (a stored table) with a broadcast hint if its rows (24 bytes and ``payload`` each) are counted to take at most
+    BROADCAST_BYTES; else as it is."""
+    width = F.lit(24) + (F.coalesce(payload, F.lit(0)) if payload is not None else F.lit(0))
     size = df.agg(F.sum(width.cast("long")).alias("n")).first()["n"] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 

@@ -38,6 +38,8 @@ PLACES = LENGTH - GRAM + 1
 SPAN = LENGTH + PLACES - 1
 #: Anchors held before they are sent on.
 HELD = 1 << 20
+#: Rows whose names are made together.
+TOGETHER = 8192
 
 
 def owners(data: np.ndarray) -> np.ndarray:
@@ -134,6 +136,26 @@ def names(x: np.ndarray) -> list[np.ndarray]:
     return [fold([behind[c], wide[:, c + LENGTH - 1]]) if c % 3 else fold([wide[:, c], behind[c + 1]]) for c in range(PLACES)]
 
 
+def _later(rows: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of rows, starts of windows) for each window in rows that an earlier window equals. rank: of the rows by
+    document and place."""
+    order = np.argsort(rank)
+    x = np.ascontiguousarray(rows["bytes"])
+    for c, name in enumerate(names(x)):
+        valid = order[(rows["lo"][order] <= c) & (rows["hi"][order] >= c)]
+        if len(valid) < 2:
+            continue
+        whole = fold([rows["key"][valid], name[valid]])
+        sort = np.argsort(whole, kind="stable")  # equal names stay in the order of (doc_id, place)
+        cuts = _runs(whole[sort])
+        first = np.repeat(valid[sort[cuts[:-1]]], np.diff(cuts))
+        each = valid[sort]
+        later = (rows["did"][each] != rows["did"][first]) | (rows["at"][each] != rows["at"][first])
+        each, first = each[later], first[later]
+        equal = (x[each, c : c + LENGTH] == x[first, c : c + LENGTH]).all(axis=1)
+        yield each[equal], rows["at"][each[equal]] + c
+
+
 def _starts(docs: DataFrame) -> DataFrame:
     """(did, name, starts): the windows that also start earlier. docs: did, name, text, at (the repeated anchors)."""
     parts = partitions(docs.sparkSession)
@@ -204,23 +226,18 @@ def _starts(docs: DataFrame) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches, {"rows": entry, "done": settled})
         rows, done = got["rows"], got["done"]
-        rows = rows[np.lexsort((rows["at"], rows["did"]))]
+        del got
+        rows = rows[np.lexsort((rows["at"], rows["did"], rows["key"]))]
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(rows):
-            x = np.ascontiguousarray(rows["bytes"])
-            for c, name in enumerate(names(x)):
-                valid = np.flatnonzero((rows["lo"] <= c) & (rows["hi"] >= c))
-                if len(valid) < 2:
-                    continue
-                whole = fold([rows["key"][valid], name[valid]])
-                order = np.argsort(whole, kind="stable")  # equal names stay in the order of (doc_id, place)
-                cuts = _runs(whole[order])
-                first = np.repeat(valid[order[cuts[:-1]]], np.diff(cuts))
-                each = valid[order]
-                later = (rows["did"][each] != rows["did"][first]) | (rows["at"][each] != rows["at"][first])
-                each, first = each[later], first[later]
-                equal = (x[each, c : c + LENGTH] == x[first, c : c + LENGTH]).all(axis=1)
-                found.append((each[equal], rows["at"][each[equal]] + c))
+        cuts = _runs(rows["key"])
+        at = 0
+        while at < len(cuts) - 1:  # some anchors at a time, so that the names of all columns fit in memory
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TOGETHER, "right")) - 1)
+            low, high = int(cuts[at]), int(cuts[to])
+            if high - low > 1:
+                some = rows[low:high]
+                found += [(low + each, start) for each, start in _later(some, np.argsort(np.lexsort((some["at"], some["did"]))))]
+            at = to
         who = np.concatenate([a for a, _ in found] + [np.zeros(0, np.int64)]).astype(np.int64)
         start = np.concatenate([s for _, s in found] + [np.zeros(0, np.int64)]).astype(np.uint32)
         ids, name = np.concatenate((rows["did"][who], done["did"])), np.concatenate((rows["name"][who], done["name"]))
@@ -257,7 +274,8 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     first = stored(by_text.select("name", "md5", "did", "n"), "first")
     repeated = _repeated(plain.filter(size >= LENGTH)).groupBy("name").agg(F.collect_list("at").alias("at"))
     anchors = stored(repeated.join(first.select("name", "did"), "name"), "anchors")
-    some = plain.join(small(anchors.withColumn("blob", F.array_join(F.transform("at", lambda b: F.hex(b)), "")), ["blob"]).drop("blob"), ["did", "name"])
+    bytes_ = F.aggregate("at", F.lit(0), lambda n, b: n + F.length(b))
+    some = plain.join(small(anchors, bytes_), ["did", "name"])
     starts = stored(_starts(some.select("did", "name", "text", "at")), "starts")
     runs = starts.groupBy("did", "name").agg(F.collect_list("starts").alias("starts"))
     copies = first.filter("n > 1").select("name", F.col("did").alias("least"))
@@ -273,8 +291,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
     kind = "array<struct<start:bigint,end:bigint>>"
     spans = stored(runs.mapInArrow(cover, f"_did long, _name long, spans {kind}"), "spans")
-    fits = small(spans.withColumn("blob", F.concat_ws("", F.transform("spans", lambda s: F.lit("0123456789abcdef")))), ["blob"]).drop("blob")
-    out = own.join(fits, ["_did", "_name"], "left")
+    out = own.join(small(spans, 16 * F.size("spans")), ["_did", "_name"], "left")
     out = out.join(small(stored(copies, "copies").toDF("_name", "_least")), "_name", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.cast("long").alias("end")))
     value = F.when(F.col("_did") > F.col("_least"), whole).otherwise(F.coalesce("spans", F.array().cast(kind)))
