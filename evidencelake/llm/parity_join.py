@@ -4,7 +4,7 @@ Each document's set of distinct word shingles becomes, for its size band, a sket
 parity (XOR) of the 64-bit hashes of the shingles dealt to it, so one shingle in which two sets differ changes one part
 at most: the number of differing parts (their Hamming distance) is a lower bound of the symmetric difference.  Sets with
 Jaccard similarity s differ in at most d = (|A| + |B|)(1 - s)/(1 + s) shingles, so with more than d filled parts they
-share a filled part (pigeonhole).  It is enough to send the first d + 1 filled parts of each sketch in one global order;
+share a filled part (pigeonhole).  It is enough to send about the first d + 1 filled parts of each sketch in one global order;
 any order is lossless.  The order puts parts last that are frequent in a sample, which only saves work.
 
 Documents with equal sets are one node (a class) from the start.  Candidates come as stars around one leader a part
@@ -33,7 +33,7 @@ U64 = np.uint64
 RATIO, PLAIN = 4, 256
 #: One document in SAMPLE is looked at for frequent parts; a part seen OFTEN times there comes last in the order. The
 #: list is cut at HOT_MOST parts. All three change the work only, not the result.
-SAMPLE, OFTEN, HOT_MOST = 64, 4, 1 << 18
+SAMPLE, OFTEN, HOT_MOST = 16, 3, 1 << 20
 
 
 def most_apart(n: int, m: int, percent: int) -> int:
@@ -76,21 +76,28 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def sent(u: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
-    """The keys that a set sends: in each band the first d + 1 filled parts, frequent ones last."""
+def sent(u: np.ndarray, percent: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that a set sends in its bands, frequent ones last, and their places.
+
+    At the first part that sets A and B share, i and j parts stand before it that the other set lacks. If a part is one
+    shingle, these are shingles of A - B and of B - A, so i <= (d + |A| - |B|) / 2 and j likewise, and the keys of that
+    many places are enough. If not, they are differing parts, max(i, j) <= d; the place is then -1 - i // 2, so that
+    the places of linked sets add up to d at most."""
     n = len(u)
     d = most_apart(n, n * 100 // percent, percent)
-    if not d:
-        return u[:0]
-    out = []
-    for low in bands(n, percent):
-        keys = np.sort(sketch(u, low))
+    keys, places = [u[:0]], [np.zeros(0, np.int32)]
+    for low in bands(n, percent) if d else ():
+        own = np.sort(sketch(u, low))
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-            last = hot[at] == keys
-            keys = np.concatenate((keys[~last], keys[last]))
-        out.append(keys[: d + 1])
-    return np.concatenate(out)
+            at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+            last = hot[at] == own
+            own = np.concatenate((own[~last], own[last]))
+        least = -(-n * percent // 100)
+        most = d if low >= PLAIN else (most_apart(n, least, percent) + n - least) // 2
+        keys.append(own[: most + 1])
+        at = np.arange(len(keys[-1]), dtype=np.int32)
+        places.append(-1 - at // 2 if low >= PLAIN else at)
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def set_name(u: np.ndarray) -> np.int64:
@@ -122,21 +129,22 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
     buckets = 4 * parts
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, rows = [], [], []
+        keys, places, names, rows = [], [], [], []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             k = np.concatenate([*keys, np.zeros(0, U64)])
             owner = np.repeat(np.array(names, np.int64), [len(x) for x in keys])
-            columns = ["bucket", "key", "name", "doc"]
+            place = np.concatenate([*places, np.zeros(0, np.int32)])
+            columns = ["bucket", "key", "name", "place", "doc"]
             if len(k):
-                part = dealt(((k >> U64(40)) % U64(buckets)).astype(np.int32), {"key": k, "name": owner})
+                part = dealt(((k >> U64(40)) % U64(buckets)).astype(np.int32), {"key": k, "name": owner, "place": place})
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.binary())], columns)
             if rows:
                 none = pa.nulls(len(rows), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in names], pa.int32()), none, none, pa.array(rows, pa.binary())], columns)
-            keys.clear(), names.clear(), rows.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in names], pa.int32()), none, none, none, pa.array(rows, pa.binary())], columns)
+            keys.clear(), places.clear(), names.clear(), rows.clear()
             held = 0
 
         for batch in batches:
@@ -145,8 +153,9 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 u = shingles(data, words)
                 name = set_name(u) if len(u) else np.int64(0)
                 rows.append(np.array([i, name, len(u)], np.int64).tobytes() + bits(u))
-                own = sent(u, percent, hot.value)
+                own, at = sent(u, percent, hot.value)
                 keys.append(own)
+                places.append(at)
                 names.append(name)
                 held += len(own) + 8
                 if held > 1_000_000:
@@ -162,31 +171,31 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 continue
             head = np.frombuffer(b"".join([x[:24] for x in docs]), np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(docs), pa.int64()), pa.array(head[:, 1]), pa.array(head[:, 0]), pa.array(head[:, 2]), pa.array([x[24:] for x in docs], pa.binary())],
-                ["key", "name", "did", "n", "bits"],
+                [pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int64()), pa.array(head[:, 1]), pa.array(head[:, 0]), pa.array(head[:, 2]), pa.array([x[24:] for x in docs], pa.binary())],
+                ["key", "place", "name", "did", "n", "bits"],
             )
             kept.append(batch.filter(batch.column("key").is_valid()))
-        got = gathered(kept, {"key": U64, "name": np.int64})
+        got = gathered(kept, {"key": U64, "name": np.int64, "place": np.int32})
         step = 1 << 16
         order = np.lexsort((got["name"], got["key"]))
-        k, f = got["key"][order], got["name"][order]
+        k, f, at = (got[c][order] for c in ("key", "name", "place"))
         if len(k):
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
-            k, f = k[new], f[new]
+            k, f, at = k[new], f[new], at[new]
             same = np.zeros(len(k) + 1, bool)
             same[1:-1] = k[1:] == k[:-1]
             keep = same[1:] | same[:-1]
-            k, f = k[keep], f[keep]
+            k, f, at = k[keep], f[keep], at[keep]
         for a in range(0, len(k), step):
-            x, y = k[a : a + step].view(np.int64), f[a : a + step]
+            x, y, z = k[a : a + step].view(np.int64), f[a : a + step], at[a : a + step].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x), pa.array(y), *[pa.nulls(len(x), pa.int64())] * 2, pa.nulls(len(x), pa.binary())],
-                ["key", "name", "did", "n", "bits"],
+                [pa.array(x), pa.array(z), pa.array(y), *[pa.nulls(len(x), pa.int64())] * 2, pa.nulls(len(x), pa.binary())],
+                ["key", "place", "name", "did", "n", "bits"],
             )
 
-    blobs = docs.select("did", "text").mapInArrow(emit, "bucket int, key binary, name binary, doc binary")
-    return blobs.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "key long, name long, did long, n long, bits binary")
+    blobs = docs.select("did", "text").mapInArrow(emit, "bucket int, key binary, name binary, place binary, doc binary")
+    return blobs.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "key long, place long, name long, did long, n long, bits binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,7 +266,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     table = stored(_sets_and_parts(docs, words, percent), "parity")
     rows = table.filter("key is null").select("did", "name", "n")
     bit = table.filter("key is null").select("name", "bits").dropDuplicates(["name"])
-    parts = table.filter("key is not null").select("key", "name")
+    parts = table.filter("key is not null").select("key", "name", "place")
     # A name stands for one set: (name, n) would do the same with one more column to carry.
     classes = rows.filter("n > 0").groupBy("name").agg(F.min("did").alias("did"), F.min("n").alias("n"))
     nodes = stored(parts.select("name").distinct().join(classes, "name").join(bit, "name"), "nodes")
@@ -268,15 +277,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     while True:
         by_key = Window.partitionBy("key")
         live = parts.join(label, "name").withColumns({"lo": F.min("comp").over(by_key), "hi": F.max("comp").over(by_key)})
-        live = stored(live.filter("lo < hi").select("key", "name", "n", "comp"), "live")
+        live = stored(live.filter("lo < hi").select("key", "name", "place", "n", "comp"), "live")
         if live.isEmpty():
             break
-        order = F.col("name") if not turn else F.xxhash64("key", "name")
+        order = F.col("name") if not turn else F.xxhash64("name")
         ranked = live.withColumn("rank", F.row_number().over(by_key.orderBy(order, "name")))
         lead = ranked.filter(F.col("rank") <= 4 ** max(0, turn - 1)).select(
-            "key", F.col("name").alias("l_name"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp")
+            "key", F.col("name").alias("l_name"), F.col("place").alias("l_place"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp")
         )
-        met = live.join(lead, "key").filter((F.col("comp") != F.col("l_comp")) & near(F.col("n"), F.col("l_n")))
+        most = F.floor((F.col("n") + F.col("l_n")) * (100 - percent) / (100 + percent))
+        i, j, more = F.col("place"), F.col("l_place"), F.col("n") - F.col("l_n")
+        early = F.when(i >= 0, (2 * i <= most + more) & (2 * j <= most - more)).otherwise(-2 - i - j <= most)
+        may = (F.col("comp") != F.col("l_comp")) & near(F.col("n"), F.col("l_n")) & early
+        met = live.join(lead, "key").filter(may)
         pair = [F.least("name", "l_name").alias("a"), F.greatest("name", "l_name").alias("b")]
         if not turn:  # the leader with whom a set shares most parts, before others are tried
             best = met.groupBy("name", "l_name").count().groupBy("name").agg(F.max_by("l_name", F.struct("count", "l_name")).alias("l_name"))
@@ -285,7 +298,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
             pairs = met.select(*pair).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            parts = stored(ranked.filter(F.col("rank") > 4 ** max(0, turn - 1)).select("key", "name"), "parts")
+            parts = stored(ranked.filter(F.col("rank") > 4 ** max(0, turn - 1)).select("key", "name", "place"), "parts")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         close = stored(_possible(pairs, nodes, percent), "close")
