@@ -157,11 +157,11 @@ def _later(rows: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 
 def _starts(docs: DataFrame) -> DataFrame:
-    """(did, name, starts): the windows that also start earlier. docs: did, name, text, at (the repeated anchors)."""
+    """(did, name, starts): runs of windows that also start earlier. docs: did, name, text, at (the repeated anchors)."""
     parts = partitions(docs.sparkSession)
     buckets = 4 * parts
     entry = np.dtype([("key", U64), ("did", np.int64), ("name", np.int64), ("at", np.int64), ("lo", np.int16), ("hi", np.int16), ("bytes", np.uint8, SPAN)])
-    settled = np.dtype([("did", np.int64), ("name", np.int64), ("start", np.uint32)])
+    settled = np.dtype([("did", np.int64), ("name", np.int64), ("start", np.int64), ("n", np.int64)])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -180,11 +180,9 @@ def _starts(docs: DataFrame) -> DataFrame:
             later = (rows["did"][order] != rows["did"][first]) | (rows["at"][order] != rows["at"][first])
             later &= (x[order] == x[first]).all(axis=1)
             gone = rows[order[later]]
-            wide = (gone["hi"] - gone["lo"] + 1).astype(np.int64)
-            done = np.zeros(int(wide.sum()), settled)
-            done["did"], done["name"] = np.repeat(gone["did"], wide), np.repeat(gone["name"], wide)
-            step = np.arange(len(done)) - np.repeat(np.cumsum(wide) - wide, wide)
-            done["start"] = np.repeat(gone["at"] + gone["lo"], wide) + step
+            done = np.zeros(len(gone), settled)
+            done["did"], done["name"] = gone["did"], gone["name"]
+            done["start"], done["n"] = gone["at"] + gone["lo"], gone["hi"] - gone["lo"] + 1
             for column, values, bucket in (
                 ("rows", rows[np.sort(order[~later])], lambda v: v["key"] >> U64(24)),
                 ("done", done, lambda v: mix(v["name"].view(U64) if len(v) else np.zeros(0, U64))),
@@ -239,30 +237,41 @@ def _starts(docs: DataFrame) -> DataFrame:
                 found += [(low + each, start) for each, start in _later(some, np.argsort(np.lexsort((some["at"], some["did"]))))]
             at = to
         who = np.concatenate([a for a, _ in found] + [np.zeros(0, np.int64)]).astype(np.int64)
-        start = np.concatenate([s for _, s in found] + [np.zeros(0, np.int64)]).astype(np.uint32)
-        ids, name = np.concatenate((rows["did"][who], done["did"])), np.concatenate((rows["name"][who], done["name"]))
-        start = np.concatenate((start, done["start"]))
+        start = np.concatenate([s for _, s in found] + [np.zeros(0, np.int64)])
+        ids = np.concatenate((rows["did"][who], done["did"]))
+        name = np.concatenate((rows["name"][who], done["name"]))
+        start, n = np.concatenate((start, done["start"])), np.concatenate((np.ones(len(start), np.int64), done["n"]))
         if not len(ids):
             return
         order = np.lexsort((start, name, ids))
-        ids, name, start = ids[order], name[order], start[order]
+        ids, name, start, n = ids[order], name[order], start[order], n[order]
         cuts = np.unique(np.concatenate((_runs(ids), _runs(name))))
+        # Neighbouring windows make one run.
+        head = np.ones(len(ids), bool)
+        head[1:] = start[1:] != start[:-1] + n[:-1]
+        head[cuts[:-1]] = True
+        heads = np.flatnonzero(head)
+        runs = np.stack((start[heads], np.add.reduceat(n, heads)), axis=1).astype(np.uint32)
+        cuts = np.searchsorted(heads, cuts)
         for lo in range(0, len(cuts) - 1, 10_000):
             hi = min(lo + 10_000, len(cuts) - 1)
-            blobs = [start[cuts[k] : cuts[k + 1]].tobytes() for k in range(lo, hi)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[lo:hi]]), pa.array(name[cuts[lo:hi]]), pa.array(blobs, pa.binary())], ["did", "name", "starts"])
+            blobs = [runs[cuts[k] : cuts[k + 1]].tobytes() for k in range(lo, hi)]
+            of = heads[cuts[lo:hi]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(name[of]), pa.array(blobs, pa.binary())], ["did", "name", "starts"])
 
     sent = docs.select("did", "name", "text", "at").mapInArrow(emit, "bucket int, rows binary, done binary")
     return sent.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "did long, name long, starts binary")
 
 
 def removed_runs(starts: np.ndarray) -> list[tuple[int, int]]:
-    """The maximal runs of bytes covered by windows at these starts."""
+    """The maximal runs of bytes covered by windows. starts: pairs (first start, how many starts in a row)."""
     if not len(starts):
         return []
-    s = np.unique(starts).astype(np.int64)
-    cut = np.flatnonzero(s[1:] > s[:-1] + LENGTH) + 1
-    return list(zip(s[np.concatenate(([0], cut))].tolist(), (s[np.concatenate((cut - 1, [len(s) - 1]))] + LENGTH).tolist(), strict=True))
+    s = starts.reshape(-1, 2).astype(np.int64)
+    s = s[np.argsort(s[:, 0], kind="stable")]
+    low, high = s[:, 0], np.maximum.accumulate(s[:, 0] + s[:, 1] - 1 + LENGTH)
+    cut = np.flatnonzero(low[1:] > high[:-1]) + 1
+    return list(zip(low[np.concatenate(([0], cut))].tolist(), high[np.concatenate((cut - 1, [len(s) - 1]))].tolist(), strict=True))
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
@@ -274,8 +283,8 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     first = stored(by_text.select("name", "md5", "did", "n"), "first")
     repeated = _repeated(plain.filter(size >= LENGTH)).groupBy("name").agg(F.collect_list("at").alias("at"))
     anchors = stored(repeated.join(first.select("name", "did"), "name"), "anchors")
-    bytes_ = F.aggregate("at", F.lit(0), lambda n, b: n + F.length(b))
-    some = plain.join(small(anchors, bytes_), ["did", "name"])
+    # Texts move to their anchors at every size: a broadcast would only suit small inputs.
+    some = plain.join(anchors, ["did", "name"])
     starts = stored(_starts(some.select("did", "name", "text", "at")), "starts")
     runs = starts.groupBy("did", "name").agg(F.collect_list("starts").alias("starts"))
     copies = first.filter("n > 1").select("name", F.col("did").alias("least"))
