@@ -149,7 +149,9 @@ class MediaReader(DataSourceReader):
         found = [f for f in fs.get_file_info(pa.fs.FileSelector(path)) if f.path.endswith(".media")]
         return [Range(f.path, f.size, a, min(f.size, a + self.span)) for f in sorted(found, key=lambda f: f.path) for a in range(0, f.size, self.span)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark passes when there is nothing to read
+            return
         fs, _ = _folder(self.uri)
         with fs.open_input_file(partition.path) as file:
             at, n, magic = struct.unpack(_FOOTER, file.read_at(struct.calcsize(_FOOTER), partition.size - struct.calcsize(_FOOTER)))
