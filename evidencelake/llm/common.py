@@ -6,6 +6,7 @@ that need an order put null first (``did``).
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,20 @@ NULL_ID = -(1 << 63)
 U64 = np.uint64
 
 
+def _give_back_memory() -> None:
+    """Freed arrays of over 1 MB go back to the system at once: workers live long, and several share an executor."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back_memory()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session; one of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -38,6 +53,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most ``rows`` rows from now on, so that texts in flight between the JVM and Python workers
+    take little memory. Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -167,7 +167,7 @@ def word_scores(model: Model, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 #: Bytes of text that are decoded together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 
 
 def _labelled(model: Model, items: list[np.ndarray], switch: float) -> list[tuple[str, float, list[tuple[int, int, str]]]]:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import backoff_lm, histogram_shards, id_matrices, langid, media, merkle, mixing
 from .bin_completion import pack
+from .common import bounded_batches
 from .parity_join import jaccard_components
 from .suffix_dedup import digest
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
