@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencelake.llm import bin_completion, langid, mixing, parity_join, suffix_dedup
-from evidencelake.llm.common import did, stored, texts
+from evidencelake.llm.common import bounded_batches, did, stored, texts
 from evidencelake.llm.queries import MIX
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or without a letter (language ``und``) go."""
+    bounded_batches(spark)
     model = langid.train(docs.filter(langid.in_training()))
     # A prefix keeps the result columns apart from whatever the table has.
     own = docs.select([F.col(c).alias(f"d_{c}") for c in docs.columns] + [F.col("text")])
@@ -29,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word Jaccard similarity of 0.75 the one with the smallest doc_id stays.
     Rows that repeat a doc_id stay or go together."""
+    bounded_batches(spark)
     found = parity_join.jaccard_components(docs, words=5, percent=75)
     gone = found.filter(did("component_id") < did("doc_id")).select(did("doc_id").alias("_gone")).distinct()
     return docs.join(stored(gone, "gone"), did(docs["doc_id"]) == F.col("_gone"), "left_anti").select(docs.columns)
@@ -37,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a 100-byte string that starts earlier are cut out of the texts; documents left empty go. A
     character of which only a part is left goes too. n_chars is counted anew."""
+    bounded_batches(spark)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,11 +63,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    bounded_batches(spark)
     return mixing.repeated(docs, **MIX)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
+    bounded_batches(spark)
     return bin_completion.pack(docs, capacity=4096)
 
 
