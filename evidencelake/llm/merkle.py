@@ -140,3 +140,31 @@ def digest(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(a, F.col("edited_fingerprint")).alias("near_edited"), likeness(a, F.col("_next")).alias("near_next"),
     )
+
+
+def sql() -> str:
+    """The rows of digest() in DuckDB's SQL."""
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS k FROM documents
+), n AS (
+  SELECT doc_id, k, text, coalesce(lead(text) OVER (ORDER BY k), first_value(text) OVER (ORDER BY k)) AS nxt FROM d
+), e AS (
+  SELECT *, left(text, length(text) - length(text) // 4) || left(nxt, length(text) // 4) AS edited FROM n
+), x AS (
+  SELECT k, 1 AS kind, text AS t FROM e UNION ALL SELECT k, 2, edited FROM e UNION ALL SELECT k, 3, nxt FROM e
+), s AS (
+  SELECT k, kind, list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+    lambda p: list_transform(range(0, (len(string_split(p, ' ')) - 1) // {LEAF} + 1),
+      lambda i: md5(array_to_string(string_split(p, ' ')[i * {LEAF} + 1 : i * {LEAF} + {LEAF}], ' '))))) AS tree FROM x
+), g AS (
+  SELECT k, kind, tree, list_transform(tree, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))) AS dig FROM s
+), f AS (
+  SELECT k, kind, sha256(array_to_string(dig, '')) AS root, array_to_string(list_transform(range(1, len(dig) + 1), lambda i: left(dig[i], {SHORT}) || '=' ||
+    array_to_string(list_transform(flatten(tree[i]), lambda x: left(x, {SHORT})), '.')), ';') AS body,
+    list_distinct(list_transform(flatten(flatten(tree)), lambda x: left(x, {SHORT}))) AS leaves FROM g
+)
+SELECT e.doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, a.root || ':' || a.body AS fingerprint, b.root || ':' || b.body AS edited_fingerprint,
+  CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.leaves, b.leaves)) / len(list_distinct(list_concat(a.leaves, b.leaves))) END AS near_edited,
+  CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.leaves, c.leaves)) / len(list_distinct(list_concat(a.leaves, c.leaves))) END AS near_next
+FROM e JOIN f a ON a.k = e.k AND a.kind = 1 JOIN f b ON b.k = e.k AND b.kind = 2 JOIN f c ON c.k = e.k AND c.kind = 3"""

@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.sql(**MIX)}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.sql(**MIX), "op7_merkle_fingerprint": merkle.sql()}
