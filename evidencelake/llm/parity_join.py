@@ -158,7 +158,7 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 places.append(at)
                 names.append(name)
                 held += len(own) + 8
-                if held > 1_000_000:
+                if held > 250_000:
                     yield from flush()
         yield from flush()
 
