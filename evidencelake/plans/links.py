@@ -123,6 +123,28 @@ def supersession_forks(t: Tables) -> DataFrame:
     return _supersedes(t).groupBy(F.col("supersedes").alias("target")).agg(F.countDistinct("id").alias("successors")).filter("successors >= 2")
 
 
+_SUPER_ALL = "o AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), s AS (SELECT id, id - 1 - id % 3 AS supersedes FROM o)"
+
+
+def _supersedes_all(t: Tables) -> DataFrame:
+    """A record for each order of the table, whatever lines it has."""
+    ids = t.lineitem.select(F.col("l_orderkey").alias("id")).distinct()
+    return ids.select("id", (F.col("id") - 1 - F.col("id") % 3).alias("supersedes"))
+
+
+@query(f"WITH {_SUPER_ALL} SELECT id FROM s WHERE id NOT IN (SELECT supersedes FROM s)")
+def supersession_in_force_all(t: Tables) -> DataFrame:
+    """supersession_in_force over all orders."""
+    edges = _supersedes_all(t)
+    return edges.select("id").join(edges.select(F.col("supersedes").alias("id")), "id", "left_anti")
+
+
+@query(f"WITH {_SUPER_ALL} SELECT supersedes AS target, count(DISTINCT id) AS successors FROM s GROUP BY 1 HAVING count(DISTINCT id) >= 2")
+def supersession_forks_all(t: Tables) -> DataFrame:
+    """supersession_forks over all orders."""
+    return _supersedes_all(t).groupBy(F.col("supersedes").alias("target")).agg(F.countDistinct("id").alias("successors")).filter("successors >= 2")
+
+
 _CYCLE = "c AS (SELECT DISTINCT p_partkey % 40 AS src, (p_partkey * 7 + p_size) % 40 AS dst FROM part WHERE p_partkey <= 60)"
 
 
