@@ -19,14 +19,19 @@ def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """The exact two-sided sign test, from the running product of binomials."""
+    """The exact two-sided sign test, from the running product of binomials. They start at the largest, C(n, n / 2), as
+    1 and are divided by the sum of all, so that no n is too large; terms beyond 20 sqrt(n) places are 0 in doubles."""
     n, k = wins + losses, F.least(wins, losses)
-    # C(n, i) / 2^n for i = 0, 1, ...: each from the one before.
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("sum"))
-    def step(s: Column, i: Column) -> Column:
-        return F.struct((s["term"] * (n - i) / (i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
-    total = F.aggregate(F.sequence(F.lit(0), k.cast("int")), start, step, lambda s: s["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
+    half = F.floor(n / 2)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("low"))
+    def step(s: Column, j: Column) -> Column:
+        i = half - j
+        low = s["low"] + F.when(i <= k, s["term"]).otherwise(0.0)
+        return F.struct((s["term"] * i / (n - i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"), low.alias("low"))
+    places = F.sequence(F.lit(0), F.least(half, F.ceil(20 * F.sqrt(n))).cast("int"))
+    # The other half is the same; of an even n the largest term is in both.
+    p = F.aggregate(places, start, step, lambda s: 2 * s["low"] / (2 * s["sum"] - F.when(n % 2 == 0, 1.0).otherwise(0.0)))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), p))
 
 
 def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -58,6 +58,17 @@ def sign_test(t: Tables) -> DataFrame:
     return c.select("source", "w", "l", F.round(evals.sign_test(F.col("w"), F.col("l")), 9).alias("p"))
 
 
+@query(
+    "WITH c AS (SELECT source, count(*) FILTER (length(text) > 1200) AS w, count(*) FILTER (length(text) <= 1200) AS l FROM documents GROUP BY source), s AS (SELECT *, unnest(range(0, least(w, l) + 1)) AS i FROM c) "
+    "SELECT source, w, l, round(least(1.0, 2 * sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2)))), 9) AS p FROM s GROUP BY source, w, l"
+)
+def sign_test_all(t: Tables) -> DataFrame:
+    """sign_test on the whole counts."""
+    longer = F.char_length("text") > 1200
+    c = t.documents.groupBy("source").agg(F.count_if(longer).alias("w"), F.count_if(~longer).alias("l"))
+    return c.select("source", "w", "l", F.round(evals.sign_test(F.col("w"), F.col("l")), 9).alias("p"))
+
+
 @query(
     "WITH g AS (SELECT lang, avg(quality) AS rate, avg(length(text)) AS cost FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT bool_and(rate >= 0.2) AS rate_ok, bool_and(cost <= 5000) AS cost_ok, bool_and(rate >= 0.2 AND cost <= 5000) AS promoted FROM g"
 )

@@ -1,5 +1,12 @@
 """Queries over whole tables, and their operators beyond the sizes that the tables have."""
 
+from fractions import Fraction
+from math import comb
+
+import pytest
+from pyspark.sql import functions as F
+
+from evidencelake.operators import evals
 from evidencelake.plans import QUERIES
 
 
@@ -11,3 +18,20 @@ def test_supersession_covers_orders_of_any_id_and_line(spark, tmp_path):
     assert sorted(in_force) == [3, 4, 5, 200_001, 200_002, 200_003]
     forks = {r.target: r.successors for r in QUERIES["supersession_forks_all"](spark, str(tmp_path)).collect()}
     assert forks == {2: 3, 200_000: 3}
+
+
+def test_sign_test_of_any_count(spark):
+    def exact(w, losses):
+        n = w + losses
+        return min(1.0, float(Fraction(2 * sum(comb(n, i) for i in range(min(w, losses) + 1)), 2**n)))
+
+    pairs = [(0, 0), (1, 0), (3, 4), (5, 5), (305, 195), (537, 538), (600, 600), (1000, 1100), (5000, 4800), (0, 1200)]
+    rows = spark.createDataFrame(pairs, "w long, l long")
+    got = {(r.w, r.l): r.p for r in rows.select("w", "l", evals.sign_test(F.col("w"), F.col("l")).alias("p")).collect()}
+    assert got == {x: pytest.approx(exact(*x), rel=1e-9, abs=1e-300) for x in pairs}
+
+
+def test_sign_test_sees_whole_counts(spark, tmp_path):
+    texts = [("a", "x" * (2000 if k % 3 else 10)) for k in range(90)]
+    spark.createDataFrame(texts, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.w, r.l) for r in QUERIES["sign_test_all"](spark, str(tmp_path)).collect()] == [(60, 30)]
