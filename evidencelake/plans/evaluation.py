@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +135,36 @@ def vector_similar(t: Tables) -> DataFrame:
     return scored.filter("c > 0.2").select("vec_id", F.round("c", 4).alias("cosine"))
 
 
+#: Vectors a block: a task holds one block of queries and one of rows.
+_BLOCK = 1024
+
+
+@query(
+    "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 4) AS cosine FROM embeddings CROSS JOIN q WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) > 0.2"
+)
+def vector_similar_all(t: Tables) -> DataFrame:
+    """Vectors near those whose number is divisible by 100: blocks of queries against blocks of all rows."""
+
+    def blocks(rows: DataFrame, n: int, ids: str, vectors: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("vec_id"), F.lit(n))
+        each = rows.filter("embedding is not null").select(block.alias("block"), F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")).alias("v"))
+        return each.groupBy("block").agg(F.collect_list("v").alias("v")).select(F.col("v.vec_id").alias(ids), F.col("v.e").alias(vectors))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = lambda v: (m := np.array(v, np.float64)) / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        for batch in batches:
+            for a, x, b, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cosine = unit(x) @ unit(y).T
+                i, j = np.nonzero(cosine > 0.2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(a)[i], pa.int64()), pa.array(np.array(b)[j], pa.int64()), pa.array(cosine[i, j])], ["query_id", "vec_id", "cosine"])
+
+    rows, queries = t.embeddings, t.embeddings.filter("vec_id % 100 = 0")
+    n, m = (-(-x.count() // _BLOCK) or 1 for x in (rows, queries))
+    pairs = blocks(queries, m, "a", "x").crossJoin(blocks(rows, n, "b", "y"))
+    found = pairs.mapInArrow(score, "query_id long, vec_id long, cosine double")
+    return found.select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"))
+
+
 @query(
     r"WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS hit FROM documents) SELECT doc_id, hit, count(*) AS n FROM h GROUP BY ALL"
 )

@@ -35,3 +35,11 @@ def test_sign_test_sees_whole_counts(spark, tmp_path):
     texts = [("a", "x" * (2000 if k % 3 else 10)) for k in range(90)]
     spark.createDataFrame(texts, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.w, r.l) for r in QUERIES["sign_test_all"](spark, str(tmp_path)).collect()] == [(60, 30)]
+
+
+def test_vector_similar_looks_for_every_hundredth(spark, tmp_path):
+    rows = [(k, [1.0, 0.0] if k < 150 else [0.0, 1.0]) for k in range(0, 301, 50)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.query_id, r.vec_id, r.cosine) for r in QUERIES["vector_similar_all"](spark, str(tmp_path)).collect())
+    near = [(0, 50, 100), (150, 200, 250, 300)]
+    assert got == sorted((q, v, 1.0) for group in near for q in group if q % 100 == 0 for v in group)
