@@ -45,8 +45,9 @@ class Words:
         unknown = set().union(*parts).difference(known)
         if not unknown:
             return []
-        # Letters and the punctuation after them are words of their own to the tokenizer.
-        split = {w: (s, w[len(s) :]) for w in unknown if len(s := w.rstrip(_AFTER)) < len(w) and s.isalpha()}
+        # Letters and the punctuation after them are words of their own to the tokenizer, unless its lower case of the
+        # letters ends in a combining mark.
+        split = {w: (s, w[len(s) :]) for w in unknown if len(s := w.rstrip(_AFTER)) < len(w) and s.isalpha() and s.lower().isalpha()}
         single = list({x for w in unknown for x in split.get(w, (w,))}.difference(known))
         room = CACHE - len(known)
         known.update(zip(single, self.encode(single), strict=True))
