@@ -1,22 +1,32 @@
 """Best-fit packing by bin completion.
 
 The search sees only how many pieces there are of each length: at most ``capacity`` numbers, whatever the size of the
-table.  Best-fit decreasing gives the first incumbent.  Bin completion then fills bins one after the other around the
-largest piece left: it enumerates the undominated fillings of the room beside it, best fit first, takes each as often as
-the pieces allow, and drops every branch whose waste exceeds what a better solution than the incumbent could have.  It
-ends when the incumbent meets the lower bound or after ``nodes`` fillings; the incumbent is complete at any time.
+table.  Best-fit decreasing gives the first incumbent.  If it misses the lower bound, bin completion fills bins one
+after the other around the largest piece left: it enumerates the undominated fillings of the room beside it, least waste
+first and large pieces before small ones, takes each as often as the pieces allow, and drops every branch whose waste
+exceeds what a better solution than the incumbent could have.  Sets of sums that the shorter lengths can reach cut the
+enumeration to fillings that exist.  What a branch leaves is packed by best fit from time to time, so the incumbent is
+complete at any time.
+
+The search ends when the incumbent meets the lower bound, when all branches are closed, or at one of the limits ``nodes``
+and ``width``.  The result says which: ``lower_bound`` holds for every packing, and ``proved`` tells whether none has
+fewer sequences.
 
 The plan (runs of equal bins) is a bounded table.  Each piece gets its rank among the pieces of its length from counts
 of (length, bucket), and the rank gives its bin and offset.  No piece leaves the cluster.
 
 Defined results: null or empty texts are one piece of one token (the end id); repeated rows are packed each; an empty
-table returns no rows; extra columns are ignored; a null doc_id stays null.
+table returns no rows; extra columns are ignored; a null doc_id stays null; a text longer than a sequence is cut; pieces
+of equal length take the places of that length by a hash of (doc_id, piece), then by doc_id, piece and ids.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,62 +38,83 @@ from .tokens import TOKENIZER, pieces, words
 
 #: A filled bin: its lengths, the largest first.
 Filling = tuple[int, ...]
-#: Fillings tried by the search, and enumerated for one bin. The incumbent stands when they are used up.
-NODES, WIDTH = 2_000, 24
+#: Limits of the search: bins filled in all, and undominated fillings tried for one bin. A search that reaches one ends
+#: with its incumbent, and says so.
+NODES, WIDTH = 20_000, 8
+#: Sums are looked up in sets that are made anew after this many bins; older sets only prune less.
+FRESH = 64
 #: Texts tokenised at once.
 SLICE = 250
 
 
+class Plan(NamedTuple):
+    """Fillings with the number of bins of each; no packing has fewer than lower_bound bins; proved: nor fewer than this."""
+
+    bins: list[tuple[Filling, int]]
+    lower_bound: int
+    proved: bool
+
+    @property
+    def size(self) -> int:
+        return sum(n for _, n in self.bins)
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     """Best-fit decreasing, bins with the same content together: (filling, number of bins)."""
-    open_bins: dict[int, list[tuple[Filling, int]]] = {}
+    open_bins: dict[int, list[tuple[tuple, int]]] = {}  # by room; contents as chains (times, length, chain before)
     rooms: list[int] = []  # sorted keys of open_bins
-    done: list[tuple[Filling, int]] = []
 
-    def put(filling: Filling, n: int, room: int) -> None:
-        if not n:
-            return
-        if room not in open_bins:
-            open_bins[room] = []
-            rooms.insert(int(np.searchsorted(rooms, room)), room)
-        open_bins[room].append((filling, n))
+    def put(chain: tuple, n: int, room: int) -> None:
+        if n:
+            if room not in open_bins:
+                open_bins[room] = []
+                rooms.insert(bisect_left(rooms, room), room)
+            open_bins[room].append((chain, n))
 
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            at = int(np.searchsorted(rooms, length))
+            at = bisect_left(rooms, length)
             if at == len(rooms):
                 each = capacity // length
-                full = left // each
-                put((length,) * each, full, capacity - each * length)
-                if left % each:
-                    put((length,) * (left % each), 1, capacity - left % each * length)
+                put((each, length, ()), left // each, capacity - each * length)
+                put((left % each, length, ()), min(1, left % each), capacity - left % each * length)
                 break
             room = rooms[at]
-            filling, n = open_bins[room].pop()
+            chain, n = open_bins[room].pop()
             if not open_bins[room]:
                 del open_bins[room]
                 rooms.pop(at)
             each = room // length  # best fit goes on with the bin that it has just filled
             full = min(n, left // each)
             if full:
-                put(filling + (length,) * each, full, room - each * length)
-                put(filling, n - full, room)
+                put((each, length, chain), full, room - each * length)
+                put(chain, n - full, room)
                 left -= full * each
             else:
-                put(filling + (length,) * left, 1, room - left * length)
-                put(filling, n - 1, room)
+                put((left, length, chain), 1, room - left * length)
+                put(chain, n - 1, room)
                 left = 0
-    for bins in open_bins.values():
-        done += bins
-    return done
-
 
-def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """No packing has fewer bins: by volume, and by pieces of over half a bin with those that fit beside none of them."""
-    n = np.zeros(capacity + 1, np.int64)
-    for k, m in counts.items():
-        n[k] = m
+    def unrolled(chain: tuple) -> Filling:
+        out: list[int] = []
+        while chain:
+            times, length, chain = chain
+            out += [length] * times
+        return tuple(reversed(out))
+
+    return [(unrolled(chain), n) for bins in open_bins.values() for chain, n in bins]
+
+
+def lower_bound(counts: dict[int, int] | np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: by volume, and by pieces of over half a bin with those that fit beside none of them.
+    counts: by length, or an array with the count of each length from 0 to capacity."""
+    if isinstance(counts, dict):
+        n = np.zeros(capacity + 1, np.int64)
+        for k, m in counts.items():
+            n[k] = m
+    else:
+        n = counts
     size = n * np.arange(capacity + 1)
     pieces_to, volume_to = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(size)))
     half = capacity // 2
@@ -93,97 +124,172 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     room = middle * capacity - (volume_to[capacity - small + 1] - volume_to[half + 1])
     more = np.maximum(0, -(-(volume_to[half + 1] - volume_to[small] - room) // capacity))
     least = int((big + middle + more).max(initial=0))
-    return max(least, -(-int(size.sum()) // capacity), int(pieces_to[-1] - pieces_to[half + 1]))
+    return max(least, -(-int(volume_to[-1]) // capacity), int(pieces_to[-1] - pieces_to[half + 1]))
 
 
-def _splits_into(items: Filling, rooms: list[int]) -> bool:
-    """Whether items can be packed into rooms."""
+def _fits_into(items: Filling, rooms: Filling) -> bool:
+    """Whether items can be packed into rooms. Both are short: a filling has at most as many pieces as its search asked."""
     if not items:
         return True
+    seen = set()
     for k, room in enumerate(rooms):
-        if items[0] <= room and (not k or rooms[k - 1] != room):
-            if _splits_into(items[1:], sorted([*rooms[:k], room - items[0], *rooms[k + 1 :]])):
+        if items[0] <= room and room not in seen:
+            seen.add(room)
+            if _fits_into(items[1:], (*rooms[:k], room - items[0], *rooms[k + 1 :])):
                 return True
     return False
 
 
-def fillings(counts: dict[int, int], room: int, waste: int) -> list[Filling]:
-    """Fillings of room from counts that waste at most ``waste``, none dominated by another: best fit first. At most
-    WIDTH are returned, from a bounded enumeration that takes large pieces first."""
-    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
-    found: list[Filling] = []
-    budget = [40 * WIDTH]
-
-    def go(at: int, left: int, chosen: Filling) -> None:
-        budget[0] -= 1
-        fits = [k for k in range(at, len(lengths)) if lengths[k] <= left]
-        taken = False
-        for k in fits:
-            if budget[0] <= 0 or len(found) >= 4 * WIDTH:
+class _Search:
+    """Depth-first bin completion over counts that are changed in place and restored on the way back."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, width: int) -> None:
+        self.capacity, self.width = capacity, width
+        self.n = np.zeros(capacity + 1, np.int64)
+        for k, m in counts.items():
+            self.n[k] = m
+        self.lengths: list[int] = sorted(counts)
+        self.reach: list[int] = []
+        self.made = 0
+        self.cut = False  # a limit of the enumeration was reached
+
+    def take(self, need: dict[int, int], times: int) -> None:
+        for k, m in need.items():
+            self.n[k] -= m * times
+            if not self.n[k]:
+                self.lengths.pop(bisect_left(self.lengths, k))
+
+    def give(self, need: dict[int, int], times: int) -> None:
+        for k, m in need.items():
+            if not self.n[k]:
+                self.lengths.insert(bisect_left(self.lengths, k), k)
+                self.reach = []
+            self.n[k] += m * times
+
+    def _sums(self) -> None:
+        """known[j]: the lengths; reach[j]: a bit for each sum of any numbers of the j + 1 shortest of them. Lengths that
+        are used up later stay in: the sets then hold too much, never too little."""
+        full = (1 << (self.capacity + 1)) - 1
+        self.known, self.reach, self.made = list(self.lengths), [], 0
+        bits = 1
+        for k in self.known:
+            step = k
+            while step <= self.capacity:
+                bits |= bits << step & full
+                step *= 2
+            self.reach.append(bits)
+
+    def fillings(self, largest: int, waste: int) -> list[Filling]:
+        """Undominated fillings beside one piece of length largest that waste at most ``waste``: least waste first."""
+        if not self.reach or self.made >= FRESH:
+            self._sums()
+        self.made += 1
+        room = self.capacity - largest
+        short = [k for k in (self.lengths[0], largest) if k <= room]
+        if not short or (self.lengths[0] == largest and self.n[largest] == 1):
+            return [()] if room <= waste else []
+        found: list[Filling] = []
+        steps = 64 * self.width * 8
+        used: Counter[int] = Counter({largest: 1})
+
+        def go(top: int, left: int, chosen: tuple[int, ...]) -> None:
+            nonlocal steps
+            if not left:
+                found.append(chosen)
                 return
-            if chosen.count(lengths[k]) < counts[lengths[k]]:
-                taken = True
-                go(k, left - lengths[k], (*chosen, lengths[k]))
-        if not taken and left <= waste:
-            found.append(chosen)
-
-    go(0, room, ())
-    found.sort(key=lambda f: (-sum(f), len(f), f))
-    kept: list[Filling] = []
-    for f in found:
-        # f is dominated if its pieces fit into the places of another filling's pieces
-        if len(f) > 6 or not any(_splits_into(f, sorted(g)) for g in kept if sum(g) >= sum(f) and len(g) <= 6 and g != f):
-            kept.append(f)
-    return kept[:WIDTH]
-
-
-def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Filling, int]]:
+            at = bisect_right(self.known, min(top, left)) - 1
+            while at >= 0 and len(found) < self.width:
+                if not self.reach[at] >> left & 1:  # no sum of this and shorter lengths
+                    return
+                k = self.known[at]
+                steps -= 1
+                if steps <= 0:
+                    self.cut = True
+                    return
+                if used[k] < self.n[k]:
+                    used[k] += 1
+                    go(k, left - k, (*chosen, k))
+                    used[k] -= 1
+                at -= 1
+
+        least = self.lengths[0]
+        for w in range(min(waste, room) + 1):
+            if len(found) >= self.width or steps <= 0:
+                self.cut = True
+                break
+            before = len(found)
+            go(self.capacity, room - w, ())
+            if w >= least:  # a filling that leaves room for another piece is dominated by the one with that piece
+                found[before:] = [f for f in found[before:] if not self._room_for(f, largest, w)]
+        kept: list[Filling] = []
+        for f in found:
+            if not any(_fits_into(f, g) for g in kept if sum(g) >= sum(f) and len(g) <= 8 and len(f) <= 8):
+                kept.append(f)
+        return kept
+
+    def _room_for(self, filling: Filling, largest: int, left: int) -> bool:
+        for k in self.lengths:
+            if k > left:
+                return False
+            if filling.count(k) + (k == largest) < self.n[k]:
+                return True
+        return False
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int = WIDTH) -> Plan:
     """Fillings and how many bins get each, for all pieces of counts."""
     counts = {k: n for k, n in counts.items() if n}
-    if not counts:
-        return []
-    best = best_fit(counts, capacity)
-    least, total = lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
+    best, least = best_fit(counts, capacity), lower_bound(counts, capacity)
     size = sum(n for _, n in best)
-    budget = nodes
-
-    # A state: pieces left, what is filled so far, bins used, waste so far, fillings still to try.
-    def opened(left: dict[int, int], waste: int) -> list[tuple[int, Filling]]:
-        largest = max(left)
-        rest = left | {largest: left[largest] - 1}
-        allowed = (size - 1) * capacity - total - waste
-        return [(largest, f) for f in reversed(fillings(rest, capacity - largest, allowed))]
-
-    stack = [(counts, (), 0, 0, opened(counts, 0) if size > least else [])]
-    while stack and size > least and budget > 0:
-        left, filled, used, waste, ways = stack[-1]
-        if not ways:
+    if size <= least:
+        return Plan(best, least, True)
+    total = sum(k * n for k, n in counts.items())
+    search = _Search(counts, capacity, width)
+    path: list[tuple[Filling, int, dict[int, int]]] = []
+    used = waste = spent = 0
+    checked = pieces_left = sum(counts.values())
+
+    def opened() -> list[Filling]:
+        largest = search.lengths[-1]
+        return [(largest, *f) for f in reversed(search.fillings(largest, (size - 1) * capacity - total - waste))]
+
+    stack = [opened()]
+    while stack and size > least and spent < nodes:
+        if not stack[-1]:
             stack.pop()
+            if path:
+                filling, times, need = path.pop()
+                search.give(need, times)
+                used, waste = used - times, waste - times * (capacity - sum(filling))
+                pieces_left += times * len(filling)
             continue
-        largest, filling = ways.pop()
-        whole = (largest, *filling)
-        need = {k: whole.count(k) for k in set(whole)}
-        room = capacity - sum(whole)
-        allowed = (size - 1) * capacity - total - waste
-        times = min(left[k] // n for k, n in need.items())
-        if room:
-            times = min(times, allowed // room)
+        filling = stack[-1].pop()
+        need = dict(Counter(filling))
+        room, allowed = capacity - sum(filling), (size - 1) * capacity - total - waste
+        times = min(int(search.n[k]) // n for k, n in need.items())
+        times = min(times, allowed // room) if room else times
         if times < 1:
             continue
-        budget -= 1
-        after = {k: m for k, n in left.items() if (m := n - times * need.get(k, 0))}
-        now, bins, lost = (*filled, (whole, times)), used + times, waste + times * room
-        if not after:
-            if bins < size:
-                best, size = list(now), bins
-            continue
-        if bins + lower_bound(after, capacity) >= size:
+        spent += 1
+        search.take(need, times)
+        path.append((filling, times, need))
+        used, waste, pieces_left = used + times, waste + times * room, pieces_left - times * len(filling)
+        if used + lower_bound(search.n, capacity) >= size:
+            stack.append([])
             continue
-        tail = best_fit(after, capacity)  # each branch ends in best fit as its own incumbent
-        if bins + sum(n for _, n in tail) < size:
-            best, size = [*now, *tail], bins + sum(n for _, n in tail)
-        stack.append((after, now, bins, lost, opened(after, lost)))
-    return best
+        if not search.lengths or pieces_left <= 0.9 * checked or pieces_left < 64:
+            checked = pieces_left
+            tail = best_fit({k: int(search.n[k]) for k in search.lengths}, capacity)
+            if used + sum(n for _, n in tail) < size:
+                best = [(f, n) for f, n, _ in path] + tail
+                size = sum(n for _, n in best)
+        stack.append(opened() if search.lengths else [])
+        if not search.lengths:
+            checked = sum(counts.values())
+    # Taking a filling as often as possible leaves out branches that take it less often, so only a search whose
+    # fillings were each taken once has seen them all.
+    whole = not stack and not search.cut and max(counts.values()) == 1
+    return Plan(best, least, size <= least or whole)
 
 
 def document_pieces(docs: DataFrame, capacity: int, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -202,15 +308,17 @@ def document_pieces(docs: DataFrame, capacity: int, tokenizer: str = TOKENIZER)
     return docs.select(did().alias("did"), "text").mapInArrow(cut, "did long, piece long, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = TOKENIZER, nodes: int = NODES) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of docs (doc_id, text, ...)."""
+def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = TOKENIZER, nodes: int = NODES, width: int = WIDTH) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of docs (doc_id, text, ...), and for all
+    pieces alike sequences (their number), lower_bound (no packing has fewer) and proved (nor fewer than sequences)."""
     spark = docs.sparkSession
     cut = stored(document_pieces(docs, capacity, tokenizer), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     length, first, base, each, start = [], [], [], [], []
     seen: dict[int, int] = {}
     bins = 0
-    for filling, n in plan(counts, capacity, nodes):
+    made = plan(counts, capacity, nodes, width)
+    for filling, n in made.bins:
         at = 0
         for k in sorted(set(filling), reverse=True):
             times = filling.count(k)
@@ -247,5 +355,6 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = TOKENIZER, node
     ranked = ranked.select("did", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).alias("rank"))
     out = ranked.mapInArrow(place, ", ".join(f"{c} long" for c in names))
     return out.select(
-        F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id"), F.col("piece").cast("int").alias("piece"), *names[2:]
+        F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id"), F.col("piece").cast("int").alias("piece"), *names[2:],
+        F.lit(made.size).cast("long").alias("sequences"), F.lit(made.lower_bound).cast("long").alias("lower_bound"), F.lit(made.proved).alias("proved"),
     )
