@@ -1,19 +1,27 @@
 """LM scoring by a weighted backoff automaton.
 
-Words and one end token a document; a state is a history of up to ``order`` - 1 tokens that training has seen.  From a
-state with count n an arc for a token seen c times behind it has probability c / (n + k), where k = prior + spread * n;
-the failure arc to the state of the next shorter history has weight k / (n + k).  A token's probability is the sum over the arcs met on
-the way down to the empty history, whose arcs are (c + 1) / (N + 1 * (V + 1)), so each state's probabilities, unknown
-tokens included, sum to one at most.  A text is read once from left to right; each token moves to the state of its own
-history.
+Tokens are words, and one end a document.  A state is a history of up to ``order`` - 1 tokens (a start mark included)
+that training has seen; the empty history is the root.  A state seen n times has, with k = prior + spread * n,
+
+- an arc for each token that training has seen c times behind it, of probability
+  c / (n + k) + k / (n + k) * (the token's probability in the state of the next shorter history);
+- a failure arc of weight k / (n + k) to that shorter history's state, for all other tokens.
+
+The root has an arc for every token, (c + 1) / (N + 1 * (V + 1)), unknown ones included.  So the probabilities of each
+state sum to one.  A text is read once from left to right: from the current state failure arcs are followed to the first
+state with an arc for the token, their weights and the arc's probability are added up as logarithms, and the arc leads to
+the next state, the longest history that training has seen.  Long texts are read in runs of ``RUN`` tokens, each from the
+state that the tokens before it lead to, and all runs of a block step together.
 
 Distribution.  Documents are dealt into blocks of about ``BLOCK`` bytes.  A block counts its distinct n-grams (those of
 training documents; the others with count 0, as a request) and sends each once to the partition of its hash, which adds
-up all blocks and answers each block with the counts that differ from its own.  So a block has exactly the states and
-arcs that its texts can reach, no block has the model of the corpus, and nothing is collected at the driver.
+up all blocks and answers with what the others have.  So a block has exactly the states and arcs that its texts can
+reach, no block has the model of the corpus, and nothing is collected at the driver.  Keys go sorted, as differences, and
+all numbers byte plane by byte plane, which the compression of the exchange makes small.
 
-Defined results: null text is the empty text, one end token; without training documents N = V = 0; equal texts have
-equal scores; repeated rows are documents of their own; an empty table returns no rows; extra columns are ignored.
+Defined results: null text is the empty text, one end token; without training documents N = V = 0; a null doc_id is the
+empty text where held_out is decided, and is returned as null; equal texts have equal scores; repeated rows are
+documents of their own; very long texts are read whole; an empty table returns no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +36,13 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, did, fold, mix, partitions, texts, words
 
 U64 = np.uint64
-#: Bytes of text in a block.
-BLOCK = 8 << 20
+#: Bytes of text in a block, and tokens in a run.
+BLOCK, RUN = 4 << 20, 256
 #: Weight of the shorter history: in tokens, and in tokens for each token of the longer one.
-PRIOR, SPREAD = 4.0, 2.0
+PRIOR, SPREAD = 4.0, 0.5
 _END, _START = mix(np.array([11, 12], U64))
+#: The states that every automaton has, and bits of an n-gram's hash that are sent.
+ROOT, START, KEY_BITS = 0, 1, 56
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -41,69 +51,159 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Block:
-    """The n-grams of the texts of a block. grams[n]: sorted distinct ones; at[n]: the one that ends at each token;
-    counts[n]: how often training documents have them."""
+    """The n-grams of some texts. grams[n]: sorted distinct ones of n + 1 tokens; at[n]: the one that ends at each token,
+    -1 where the text has too few before it; counts[n]: how often training documents have them."""
 
     def __init__(self, items: Iterator[np.ndarray], train: np.ndarray, order: int) -> None:
-        end, start = np.array([_END]), np.full(order - 1, _START)
-        rows = [np.concatenate((words(x), end)) for x in items]
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        weight = np.repeat(train.astype(np.float64), self.sizes)
+        rows = [words(x) for x in items]
+        self.sizes = np.array([len(r) + 1 for r in rows], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
+        weight = np.repeat(train.astype(np.float64), self.sizes)
+        line = np.concatenate([x for r in rows for x in (np.array([_START]), r, np.array([_END]))] + [np.zeros(0, U64)])
+        place = np.arange(int(self.sizes.sum())) - np.repeat(self.first, self.sizes)  # in its text
+        ends = np.arange(len(place)) + np.repeat(np.arange(len(rows)), self.sizes) + 1  # of each token in line
         self.grams, self.at, self.counts = [], [], []
         for n in range(1, order + 1):
-            if n == 1:
-                keys = np.concatenate([*rows, np.zeros(0, U64)])
-            else:
-                padded = [np.concatenate((start[: n - 1], r)) for r in rows]
-                keys = np.concatenate([fold([p[j : j + len(p) - n + 1] for j in range(n)]) for p in padded] + [np.zeros(0, U64)])
-            grams, at = np.unique(keys, return_inverse=True)
+            full = place >= n - 2
+            end = ends[full]
+            keys = mix(fold([line[end - j] for j in range(n - 1, -1, -1)]) + U64(n)) >> U64(64 - KEY_BITS)
+            grams, own = np.unique(keys, return_inverse=True)
+            at = np.full(len(place), -1)
+            at[full] = own
             self.grams.append(grams)
             self.at.append(at)
-            self.counts.append(np.bincount(at, weights=weight, minlength=len(grams)).astype(np.int64))
-
-    def sent(self, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The order in which the n-grams are sent, and where each bucket starts in it."""
-        bucket = (self.grams[n] >> U64(48)) % U64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-    def score(self, total: int, distinct: int, prior: float, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, score) of each text."""
-        tokens = len(self.at[0])
-        seen = self.counts[0][self.at[0]]
-        base = (seen + 1) / (total + distinct + 1)
-        opening = np.zeros(tokens, bool)
-        opening[self.first] = True
-        # Every training document starts once and ends once.
-        ends = np.searchsorted(self.grams[0], _END)
-        starts = self.counts[0][ends] if tokens else 0
-        p = base
-        for n in range(1, len(self.grams)):
-            history = np.empty(tokens, np.int64)
-            history[1:] = self.counts[n - 1][self.at[n - 1]][:-1]
-            history[opening] = starts
-            arc = self.counts[n][self.at[n]]
-            back = prior + spread * history
-            p = (arc + back * p) / (history + back)
-        cut = self.first
-        add = lambda x: np.add.reduceat(x, cut) if tokens else np.zeros(0)
-        return add((seen > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
-
-
-_SENT = "bucket int, n int, block long, low binary, high binary, counts binary"
-_ANSWER = "block long, n int, bucket int, at binary, counts binary, total long, known long"
+            self.counts.append(np.bincount(own, weights=weight[full], minlength=len(grams)).astype(np.int64))
+        self.end = int(self.at[0][-1]) if len(place) else -1
+
+    def cuts(self, n: int, buckets: int) -> np.ndarray:
+        """Where the n-grams of each bucket start: buckets are ranges of hashes."""
+        bounds = np.array([b << KEY_BITS for b in range(buckets + 1)], object) // buckets
+        return np.searchsorted(self.grams[n], bounds.astype(U64))
+
+
+class Automaton:
+    """States and arcs over the n-grams of a block, whose counts are those of the corpus. Tokens: places in grams[0]."""
+
+    def __init__(self, block: Block, total: int, distinct: int, prior: float, spread: float) -> None:
+        self.block, self.tokens = block, len(block.grams[0])
+        seen = [c > 0 for c in block.counts]
+        order = len(seen)
+        back = lambda n: (prior + spread * n) / (n + prior + spread * n)
+        docs = int(block.counts[0][block.end]) if block.end >= 0 else 0  # every training document starts and ends once
+        p = (block.counts[0] + 1) / (total + distinct + 1)
+        self.base = np.log10(p)
+        #: The log-probability of a token that no training document has.
+        self.unknown = float(np.log10(1 / (total + distinct + 1)))
+        where = [np.full(len(g), -1) for g in block.grams]  # a place where each n-gram ends
+        for at, w in zip(block.at, where, strict=True):
+            ends = np.flatnonzero(at >= 0)
+            w[at[ends]] = ends
+        # States: root, start, then the seen n-grams of each length below order; no token follows an end.
+        bases = np.cumsum([2] + [len(g) for g in block.grams[: order - 1]])
+        goes_on = [s & (block.at[0][w] != block.end) for s, w in zip(seen, where, strict=True)]
+        self.state = [np.where(s, b + np.arange(len(s)), ROOT) for s, b in zip(goes_on[: order - 1], bases, strict=False)]
+        size = int(bases[order - 1])
+        self.fail, weight = np.zeros(size, np.int64), np.ones(size)
+        weight[START] = back(docs) if docs else 1.0
+        self.start = START if docs else ROOT
+        keys, logs, to = [], [], []
+        for n in range(order):
+            if n:
+                some = np.flatnonzero(seen[n])
+                end = where[n][some]
+                lower = block.at[n - 1][end]
+                opens = np.isin(end, block.first) if n == 1 else np.zeros(len(end), bool)
+                history = np.where(opens, 0, block.at[n - 1][end - 1])
+                times = np.where(opens, docs, block.counts[n - 1][history])
+                own = np.zeros(len(seen[n]))
+                k = prior + spread * times
+                own[some] = (block.counts[n][some] + k * p[lower]) / (times + k)
+                keys.append(np.where(opens, START, self.state[n - 1][history]) * self.tokens + block.at[0][end])
+                logs.append(np.log10(own[some]))
+                to.append(self.state[n][some] if n < order - 1 else self.state[n - 1][lower])
+                p = own
+            if n < order - 1:
+                some = np.flatnonzero(goes_on[n])
+                if n:
+                    self.fail[self.state[n][some]] = self.state[n - 1][block.at[n - 1][where[n][some]]]
+                weight[self.state[n][some]] = back(block.counts[n][some])
+        self.weight = np.log10(weight)
+        keys = np.concatenate([*keys, np.zeros(0, np.int64)])
+        sort = np.argsort(keys)
+        self.arcs, self.logs, self.to = (np.concatenate([*x, np.zeros(0)])[sort] for x in ([keys], logs, to))
+        self.arcs, self.to = self.arcs.astype(np.int64), self.to.astype(np.int64)
+
+    def step(self, states: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability, next state) of each token from each state."""
+        logp, state, after = np.zeros(len(states)), states.copy(), np.zeros(len(states), np.int64)
+        open_ = np.arange(len(states))
+        while len(open_):
+            now, token = state[open_], tokens[open_]
+            root = now == ROOT
+            at = open_[root]
+            logp[at] += self.base[token[root]]
+            after[at] = self.state[0][token[root]] if self.state else ROOT
+            open_, now, token = open_[~root], now[~root], token[~root]
+            key = now * self.tokens + token
+            arc = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+            hit = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(key), bool)
+            at = open_[hit]
+            logp[at] += self.logs[arc[hit]]
+            after[at] = self.to[arc[hit]]
+            open_, now = open_[~hit], now[~hit]
+            logp[open_] += self.weight[now]
+            state[open_] = self.fail[now]
+        return logp, after
+
+    def scores(self) -> np.ndarray:
+        """The log10 probability of each text of the block."""
+        block = self.block
+        runs = -(-block.sizes // RUN)
+        owner = np.repeat(np.arange(len(runs)), runs)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+        begin = block.first[owner] + turn * RUN
+        size = np.minimum(RUN, block.first[owner] + block.sizes[owner] - begin)
+        order = np.argsort(-size, kind="stable")
+        owner, turn, begin, size = owner[order], turn[order], begin[order], size[order]
+        state = np.where(turn == 0, self.start, ROOT)
+        for n, states in enumerate(self.state):  # the longest history seen before the run
+            before = np.where(turn > 0, block.at[n][begin - 1], -1)
+            state = np.where((before >= 0) & (states[before] != ROOT), states[before], state)
+        total = np.zeros(len(size))
+        for t in range(int(size[0]) if len(size) else 0):
+            alive = int(np.searchsorted(-size, -t, "left"))  # runs of more than t tokens
+            logp, state[:alive] = self.step(state[:alive], block.at[0][begin[:alive] + t])
+            total[:alive] += logp
+        return np.bincount(owner, weights=total, minlength=len(runs))
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each number, plane by plane."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def numbers(data: bytes, width: int) -> np.ndarray:
+    """The numbers of planes()."""
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").reshape(-1)
+
+
+_SENT = "bucket int, n int, block long, keys binary, counts binary"
+_ANSWER = "block long, n int, bucket int, size long, more binary, total long, known long"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, held: Column, order: int = 2, prior: float = PRIOR, spread: float = SPREAD) -> DataFrame:
+def score(docs: DataFrame, held: Column, order: int = 3, prior: float = PRIOR, spread: float = SPREAD) -> DataFrame:
     """doc_id, held_out (``held``), n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
     parts = partitions(spark)
     buckets = 4 * parts
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
-    rows = docs.select(did().alias("did"), held.alias("held"), "text", F.pmod(F.xxhash64(did(), "text"), F.lit(blocks)).alias("block"))
+    # The number of the row deals out rows that are equal in all columns, too.
+    block_of = F.pmod(F.xxhash64(did(), F.octet_length("text"), F.monotonically_increasing_id()), F.lit(blocks))
+    rows = docs.select(did().alias("did"), held.alias("held"), "text", block_of.alias("block"))
 
     def opened(table: pa.Table) -> Block:
         return Block(texts(table.column("text").combine_chunks()), ~table.column("held").to_numpy(zero_copy_only=False), order)
@@ -111,74 +211,70 @@ def score(docs: DataFrame, held: Column, order: int = 2, prior: float = PRIOR, s
     def ask(table: pa.Table) -> pa.Table:
         block, out = opened(table), []
         for n in range(order):
-            sent, cut = block.sent(n, buckets)
-            keys, counts = block.grams[n][sent], block.counts[n][sent].astype(np.uint32)
-            low, high = (keys & U64(0xFFFFFFFF)).astype(np.uint32), ((keys >> U64(32)) & U64(0xFFFF)).astype(np.uint16)
+            cut = block.cuts(n, buckets)
             for b in range(buckets):
                 x, y = cut[b], cut[b + 1]
                 if x < y or not n:  # the answers to single tokens bring the totals, so each bucket is asked
-                    out.append((b, n, table.column("block")[0].as_py(), low[x:y].tobytes(), high[x:y].tobytes(), counts[x:y].tobytes()))
-        return pa.table([pa.array(c) for c in zip(*out, strict=True)], pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("counts", pa.binary())]))
+                    keys = block.grams[n][x:y]
+                    apart = np.diff(keys, prepend=U64(0)) if len(keys) else keys
+                    out.append((b, n, table.column("block")[0].as_py(), planes(apart, 8), planes(block.counts[n][x:y], 4)))
+        return pa.table([pa.array(c) for c in zip(*out, strict=True)], pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if not table:
-            return
-        size = np.array([len(r[5]) // 4 for r in table])
-        head = np.repeat(np.array([r[0] * 16 + r[1] for r in table], U64), size)
-        low = np.frombuffer(b"".join([r[3] for r in table]), np.uint32).astype(U64)
-        high = np.frombuffer(b"".join([r[4] for r in table]), np.uint16).astype(U64)
-        own = np.frombuffer(b"".join([r[5] for r in table]), np.uint32).astype(np.int64)
-        # The bucket is within the key's other 16 bits: (bucket, n) and 48 bits name an n-gram.
-        kind, pair = np.unique(head, return_inverse=True)
-        keys, at = np.unique(mix(pair.astype(U64)) ^ (high << U64(32) | low), return_inverse=True)
-        total = np.bincount(at, weights=own).astype(np.int64)
-        of = np.zeros(len(keys), np.int64)
-        of[at] = pair
-        sums = np.bincount(of, weights=total, minlength=len(kind)).astype(np.int64)
-        known = np.bincount(of, weights=total > 0, minlength=len(kind)).astype(np.int64)
-        place = {int(k): j for j, k in enumerate(kind)}
-        full, end = total[at], np.cumsum(size)
-        for lo in range(0, len(table), 2_000):
-            out = []
-            for k in range(lo, min(lo + 2_000, len(table))):
-                bucket, n, block, *_ = table[k]
-                a, b = end[k] - size[k], end[k]
-                other = np.flatnonzero(full[a:b] != own[a:b])
-                j = place.get(bucket * 16 + n, -1)
-                out.append((block, n, bucket, other.astype(np.uint32).tobytes(), full[a:b][other].astype(np.int64).tobytes(), int(sums[j]) if j >= 0 else 0, int(known[j]) if j >= 0 else 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
-                ["block", "n", "bucket", "at", "counts", "total", "known"],
-            )
+        held_rows: list[tuple] = []
+        for batch in batches:  # in the order of (bucket, n): one such cell is held at a time
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held_rows and row[:2] != held_rows[0][:2]:
+                    yield from answered(held_rows)
+                    held_rows = []
+                held_rows.append(row)
+        if held_rows:
+            yield from answered(held_rows)
+
+    def answered(cell: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = [np.cumsum(numbers(r[3], 8), dtype=U64) for r in cell]
+        own = np.concatenate([numbers(r[4], 4) for r in cell]).astype(np.int64)
+        cuts = np.cumsum([0] + [len(k) for k in keys])
+        names, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, weights=own, minlength=len(names)).astype(np.int64)
+        more, sums, known = total[at] - own, int(total.sum()), int((total > 0).sum())
+        bucket, n = cell[0][:2]
+        for lo in range(0, len(cell), 500):
+            some = range(lo, min(lo + 500, len(cell)))
+            out = [(cell[k][2], n, bucket, int(cuts[k + 1] - cuts[k]), planes(more[cuts[k] : cuts[k + 1]], 8), sums, known) for k in some]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "n", "bucket", "size", "more", "total", "known"])
 
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = opened(table)
-        cuts = [block.sent(n, buckets) for n in range(order)]
+        cuts = [block.cuts(n, buckets) for n in range(order)]
         total = distinct = 0
-        for n, bucket, at, counts, sums, known in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "at", "counts", "total", "known")), strict=True):
-            sent, cut = cuts[n]
-            block.counts[n][sent[cut[bucket] + np.frombuffer(at, np.uint32)]] = np.frombuffer(counts, np.int64)
+        for n, bucket, size, more, sums, known in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "size", "more", "total", "known")), strict=True):
+            x, y = cuts[n][bucket : bucket + 2]
+            if y - x != size:
+                raise RuntimeError("a block was dealt other rows than before: the input of this operator must be repeatable")
+            block.counts[n][x:y] += numbers(more, 8).astype(np.int64)
             if not n:
                 total, distinct = total + sums, distinct + known
-        known, base, own = block.score(total, distinct, prior, spread)
+        made = Automaton(block, total, distinct, prior, spread)
+        seen = block.counts[0][block.at[0]] > 0
         ids = table.column("did").to_numpy()
         return pa.table(
             {
                 "doc_id": pa.array(ids, mask=ids == NULL_ID),
                 "held_out": table.column("held"),
                 "n_tokens": block.sizes,
-                "n_known": known.astype(np.int64),
+                "n_known": np.add.reduceat(seen.astype(np.int64), block.first),
                 "train_tokens": np.full(len(ids), total, np.int64),
-                "base_score": base,
-                "score": own,
+                "base_score": np.add.reduceat(made.base[block.at[0]], block.first),
+                "score": made.scores(),
             }
         )
 
-    asked = rows.groupBy("block").applyInArrow(ask, _SENT).repartition(parts, "bucket")
-    answers = asked.select("bucket", "n", "block", "low", "high", "counts").mapInArrow(answer, _ANSWER)
+    asked = rows.groupBy("block").applyInArrow(ask, _SENT).repartition(parts, "bucket").sortWithinPartitions("bucket", "n")
+    answers = asked.mapInArrow(answer, _ANSWER)
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, _SCORED)
 
 
-def digest(docs: DataFrame, order: int = 2, prior: float = PRIOR, spread: float = SPREAD) -> DataFrame:
+def digest(docs: DataFrame, order: int = 3, prior: float = PRIOR, spread: float = SPREAD) -> DataFrame:
     return score(docs.select("doc_id", "text"), held_out(), order, prior, spread)

@@ -7,10 +7,12 @@ Jaccard similarity s differ in at most d = (|A| + |B|)(1 - s)/(1 + s) shingles,
 share a filled part (pigeonhole).  It is enough to send about the first d + 1 filled parts of each sketch in one global order;
 any order is lossless.  The order puts parts last that are frequent in a sample, which only saves work.
 
-Documents with equal sets are one node (a class) from the start.  Candidates come as stars around one leader a part
-(rounds with 1, 1, 4, 16, ... leaders a part), never as all pairs, and only between nodes not yet connected; each is
-verified by exact intersection.  A leader that has met all others of its part leaves the part, so the rounds end when
-every part holds one component: no link that joins two components is lost.
+Documents with equal sets are one node (a class) from the start.  Candidates come first as stars around one leader a
+part, in a few rounds, and only between nodes not yet connected; each is verified by exact intersection.  A leader that
+has met all others of its part leaves the part.  Nearly all groups of copies are one component after that.  What is left
+in parts that still hold several components is compared in slices of ``SLICE`` sets, sketch against sketch, so that a pair
+moves on only if places and the distance of bit sketches leave a link possible; these pairs are verified, too.  Every part
+holds one component then or has had all its pairs ruled out: no link that joins two components is lost.
 
 Defined results: null or wordless texts have n_shingles 0 and component_id = doc_id; texts of fewer than ``words`` words
 have one shingle, their whole sequence; repeated rows each return a row; a null doc_id ranks below all others but is
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, dealt, did, gathered, longs, mix, partitions, shingles, small, stored, texts
@@ -34,6 +36,9 @@ RATIO, PLAIN = 4, 256
 #: One document in SAMPLE is looked at for frequent parts; a part seen OFTEN times there comes last in the order. The
 #: list is cut at HOT_MOST parts. All three change the work only, not the result.
 SAMPLE, OFTEN, HOT_MOST = 16, 3, 1 << 20
+#: Rounds of stars go on while one joins at least this share of the sets that are left; sets of a part that are compared
+#: in one task; bytes of a sketch that go along. They change the work only, too.
+GOES_ON, SLICE, CARRIED = 0.01, 512, 128
 
 
 def most_apart(n: int, m: int, percent: int) -> int:
@@ -62,8 +67,8 @@ def sketch(u: np.ndarray, low: int) -> np.ndarray:
 
 
 def bits(u: np.ndarray) -> bytes:
-    """The sketch of u with one-bit parts: as many bits as the next power of two from len(u) on, 64 at least."""
-    m = max(64, 1 << (len(u) - 1).bit_length()) if len(u) else 64
+    """The sketch of u with one-bit parts: as many bits as the next power of two from 2 len(u) on, 64 at least."""
+    m = max(64, 1 << (2 * len(u) - 1).bit_length()) if len(u) else 64
     return np.packbits((np.bincount((u & U64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -259,6 +264,129 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(verify, "a long, b long")
 
 
+def _alive(own: DataFrame, order: Column) -> DataFrame:
+    """The rows of own (key, name, place, n, comp) whose part holds several components, with its leader (the set that is
+    first by order; l_...), the number of its ``slices`` and the own ``slice``: a part of many sets is dealt to several
+    tasks. Components and leaders of parts are aggregates, so that no part is gathered in one task."""
+    lead = F.min(F.struct(order.alias("order"), *[F.col(c).alias(f"l_{c}") for c in ("name", "place", "n", "comp")])).alias("lead")
+    by_key = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n_key"), lead)
+    slices = F.ceil(F.col("n_key") / SLICE).cast("int").alias("slices")
+    leaders = stored(by_key.filter("lo < hi").select("key", "lead.*", slices).drop("order"), "leaders")
+    large = small(leaders.filter("slices > 1").select("key", F.col("slices").alias("more")))
+    slice_ = F.pmod(F.xxhash64("name"), F.coalesce("more", F.lit(1))).cast("int")
+    rows = own.join(large, "key", "left").withColumn("slice", slice_).drop("more")
+    each = leaders.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return stored(rows.join(each, ["key", "slice"]), "live")
+
+
+def _stars(live: DataFrame, percent: int) -> DataFrame:
+    """(name, l_name) for each set of live and the leader of its part, if they are not connected yet and may link."""
+    most = F.floor((F.col("n") + F.col("l_n")) * (100 - percent) / (100 + percent))
+    i, j, more = F.col("place"), F.col("l_place"), F.col("n") - F.col("l_n")
+    early = F.when(i >= 0, (2 * i <= most + more) & (2 * j <= most - more)).otherwise(-2 - i - j <= most)
+    near = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
+    return live.filter((F.col("comp") != F.col("l_comp")) & near & early).select("name", "l_name")
+
+
+def _block_pairs(key: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places x < y with one key, some at a time, where other (the side of the slice: -1 both, 0, 1) allows."""
+    cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+    size = np.diff(cuts)
+    ends = np.repeat(cuts[1:], size)
+    behind = ends - np.arange(len(key)) - 1  # partners of each place: those behind it in its group
+    done = np.cumsum(behind)
+    lo = 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + (1 << 19), "right")))
+        n = behind[lo:hi]
+        x = np.repeat(np.arange(lo, hi), n)
+        if len(x):
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (other[x] < 0) | (other[x] != other[y])
+            yield x[ok], y[ok]
+        lo = hi
+
+
+def _blocks(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets that share a part of live, are not connected and are not ruled out by places or sketches."""
+    parts = partitions(live.sparkSession)
+
+    def folded(x: bytes) -> bytes:
+        y = np.frombuffer(x, np.uint8)
+        while len(y) > CARRIED:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        return y.tobytes()
+
+    def fold_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(folded, batch.column(1).to_pylist()), pa.binary())], ["name", "bits"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            if rest.num_rows < 1 << 15:
+                continue
+            cell = np.stack([rest.column(c).to_numpy() for c in ("key", "one", "two")])
+            last = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0))
+            if len(last):  # the last cell may go on in the next batch
+                yield from compared(rest.slice(0, int(last[-1]) + 1))
+                rest = rest.slice(int(last[-1]) + 1).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield from compared(rest)
+
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, one, two, name, place, n, comp, side = (table.column(c).to_numpy() for c in ("key", "one", "two", "name", "place", "n", "comp", "side"))
+        blobs = table.column("bits").to_pylist()
+        size = np.array([len(b) for b in blobs])
+        group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+        wide = np.zeros((len(blobs), CARRIED // 8), U64)
+        for w in np.unique(size):
+            at = np.flatnonzero(size == w)
+            wide[at, : max(1, w // 8)] = np.frombuffer(b"".join([blobs[i] for i in at]), U64).reshape(len(at), -1)
+        for x, y in _block_pairs(group, np.where(one == two, -1, side)):
+            most = (n[x] + n[y]) * (100 - percent) // (100 + percent)
+            more = n[x] - n[y]
+            i, j = place[x], place[y]
+            early = np.where(i >= 0, (2 * i <= most + more) & (2 * j <= most - more), -2 - i - j <= most)
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & early
+            x, y, most = x[ok], y[ok], most[ok]
+            keep = np.zeros(len(x), bool)
+            narrow = np.minimum(size[x], size[y])
+            for w in np.unique(narrow):
+                at = np.flatnonzero(narrow == w)
+                sides = []
+                for z in (x[at], y[at]):
+                    own = wide[z]
+                    for step in [1 << k for k in range(int(size.max()).bit_length() - 1, 2, -1) if 1 << k > w]:
+                        own = np.where((size[z] >= step)[:, None], _half_folded(own, step // 16), own)
+                    sides.append(own[:, : w // 8])
+                keep[at] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1) <= most[at]
+            a, b = np.minimum(name[x[keep]], name[y[keep]]), np.maximum(name[x[keep]], name[y[keep]])
+            if len(a):
+                pair = np.unique(np.stack((a, b), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    sketches = nodes.select("name", "bits").mapInArrow(fold_all, "name long, bits binary")
+    rows = live.join(sketches, "name")
+    # A set meets those of every slice of its part: of the own slice once, and of each other one as one of two sides.
+    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.select(
+        "key", F.least("slice", "t").alias("one"), F.greatest("slice", "t").alias("two"), "name", F.col("place").cast("long").alias("place"), "n", "comp",
+        (F.col("slice") > F.col("t")).cast("int").alias("side"), "bits",
+    )
+    rows = rows.repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _half_folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Each row of 64-bit words with its first ``words`` words XORed by the next as many."""
+    out = rows.copy()
+    out[:, :words] ^= rows[:, words : 2 * words]
+    return out
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text, ...): two documents link when
     100 * |A & B| >= percent * |A | B|; component_id is the smallest doc_id reachable by links."""
@@ -271,46 +399,39 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     classes = rows.filter("n > 0").groupBy("name").agg(F.min("did").alias("did"), F.min("n").alias("n"))
     nodes = stored(parts.select("name").distinct().join(classes, "name").join(bit, "name"), "nodes")
     label = nodes.select("name", "n", F.col("name").alias("comp"))
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    tested: DataFrame | None = None
+
+    def joined(pairs: DataFrame) -> int:
+        """Verifies pairs (a, b) and joins the components of those that link; how many it joined."""
+        nonlocal label
+        close = stored(_possible(pairs, nodes, percent), "close")
+        ends = close.select(F.col("a").alias("name")).union(close.select("b")).distinct()
+        needed = stored(nodes.join(ends, "name").select("did"), "needed")
+        links = _linked(close, _sets(docs, needed, words), percent)
+        ends = label.select("name", "comp")
+        found = links.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").filter("ca <> cb")
+        edges = stored(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joined")
+        if edges.isEmpty():
+            return 0
+        to = stored(components(edges).toDF("comp", "to"), "to")
+        label = stored(label.join(to, "comp", "left").select("name", "n", F.coalesce("to", "comp").alias("comp")), "comps")
+        return to.filter("comp <> to").count()
+
     turn = 0
     while True:
-        by_key = Window.partitionBy("key")
-        live = parts.join(label, "name").withColumns({"lo": F.min("comp").over(by_key), "hi": F.max("comp").over(by_key)})
-        live = stored(live.filter("lo < hi").select("key", "name", "place", "n", "comp"), "live")
-        if live.isEmpty():
+        live = _alive(parts.join(label, "name"), F.xxhash64("name") if turn else F.col("name"))
+        left = live.select("name").distinct().count()
+        if not left:
             break
-        order = F.col("name") if not turn else F.xxhash64("name")
-        ranked = live.withColumn("rank", F.row_number().over(by_key.orderBy(order, "name")))
-        lead = ranked.filter(F.col("rank") <= 4 ** max(0, turn - 1)).select(
-            "key", F.col("name").alias("l_name"), F.col("place").alias("l_place"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp")
-        )
-        most = F.floor((F.col("n") + F.col("l_n")) * (100 - percent) / (100 + percent))
-        i, j, more = F.col("place"), F.col("l_place"), F.col("n") - F.col("l_n")
-        early = F.when(i >= 0, (2 * i <= most + more) & (2 * j <= most - more)).otherwise(-2 - i - j <= most)
-        may = (F.col("comp") != F.col("l_comp")) & near(F.col("n"), F.col("l_n")) & early
-        met = live.join(lead, "key").filter(may)
-        pair = [F.least("name", "l_name").alias("a"), F.greatest("name", "l_name").alias("b")]
+        met = _stars(live, percent)
         if not turn:  # the leader with whom a set shares most parts, before others are tried
             best = met.groupBy("name", "l_name").count().groupBy("name").agg(F.max_by("l_name", F.struct("count", "l_name")).alias("l_name"))
-            pairs = best.select(*pair).distinct()
         else:
-            pairs = met.select(*pair).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            parts = stored(ranked.filter(F.col("rank") > 4 ** max(0, turn - 1)).select("key", "name", "place"), "parts")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        close = stored(_possible(pairs, nodes, percent), "close")
-        ends = close.select(F.col("a").alias("name")).union(close.select("b")).distinct()
-        needed = stored(nodes.join(ends, "name").select("did"), "needed")
-        links = _linked(close, _sets(docs, needed, words), percent)
-        ends = label.select("name", "comp")
-        joined = links.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").filter("ca <> cb")
-        edges = stored(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joined")
-        if not edges.isEmpty():
-            to = components(edges).toDF("comp", "to")
-            label = stored(label.join(to, "comp", "left").select("name", "n", F.coalesce("to", "comp").alias("comp")), "comps")
+            best = met
+            parts = live.filter("name <> l_name").select("key", "name", "place")
+        n = joined(stored(best.select(F.least("name", "l_name").alias("a"), F.greatest("name", "l_name").alias("b")).distinct(), "pairs"))
+        if turn and n < GOES_ON * left:
+            joined(stored(_blocks(_alive(parts.join(label, "name"), F.col("name")), nodes, percent), "pairs"))
+            break
         turn += 1
     named = rows.join(label.select("name", "comp"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
     least = named.filter("n > 0").groupBy("comp").agg(F.min("did").alias("least"))

@@ -27,7 +27,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.digest(_documents(spark, sf_dir), order=2)
+    return backoff_lm.digest(_documents(spark, sf_dir), order=3)
 
 
 def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

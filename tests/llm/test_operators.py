@@ -167,21 +167,60 @@ def test_viterbi_is_exact():
             assert abs(value(path.tolist()) - best) < 1e-4
 
 
-def test_backoff_lm_sums_to_one_and_scores(spark, docs, rows, empty):
+def lm_brute(rows, prior, spread):
+    said = [["<s>", *lower_words(r[1]), "</s>"] for r in rows]
+    train = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2 for r in rows]
+    grams = [Counter(tuple(w[j : j + n]) for w, t in zip(said, train, strict=True) if t for j in range(len(w) - n + 1) if n > 1 or j) for n in (1, 2, 3)]
+    one, two, three = grams
+    total, distinct, docs = sum(one.values()), len(one), sum(train)
+    times = lambda h: docs if h == ("<s>",) else (one, two)[len(h) - 1][h]
+
+    def p(h, w):
+        if not h:
+            return (one[(w,)] + 1) / (total + distinct + 1)
+        n = times(h)
+        if not n:
+            return p(h[1:], w)
+        k = prior + spread * n
+        return ((two, three)[len(h) - 1][(*h, w)] + k * p(h[1:], w)) / (n + k)
+
+    out = []
+    for w in said:
+        base = sum(np.log10(p((), x)) for x in w[1:])
+        out.append((len(w) - 1, sum(one[(x,)] > 0 for x in w[1:]), total, base, sum(np.log10(p(tuple(w[max(0, j - 2) : j]), w[j])) for j in range(1, len(w)))))
+    return out
+
+
+def test_backoff_lm_scores(docs, rows, empty):
     got = {r.doc_id: r for r in backoff_lm.digest(docs).collect()}
-    said = {r[0]: [*lower_words(r[1]), "</s>"] for r in rows}
-    train = [i for i in said if zlib.crc32(str(i).encode()) % 7 != 2]
-    one, two = Counter(w for i in train for w in said[i]), Counter(p for i in train for p in zip(["<s>", *said[i]], said[i], strict=False))
-    n, v, before = sum(one.values()), len(one), dict(one) | {"<s>": len(train)}
-    for i, w in said.items():
-        base = [(one[x] + 1) / (n + v + 1) for x in w]
-        back = lambda h: 4.0 + 2.0 * before.get(h, 0)
-        own = [(two[(h, x)] + back(h) * p) / (before.get(h, 0) + back(h)) for h, x, p in zip(["<s>", *w], w, base, strict=False)]
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(one[x] > 0 for x in w), n)
-        assert np.isclose(got[i].base_score, np.log10(base).sum()) and np.isclose(got[i].score, np.log10(own).sum())
+    for r, (n, known, total, base, own) in zip(rows, lm_brute(rows, backoff_lm.PRIOR, backoff_lm.SPREAD), strict=True):
+        g = got[r[0]]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (n, known, total)
+        assert np.isclose(g.base_score, base) and np.isclose(g.score, own)
     assert backoff_lm.digest(empty).collect() == []
 
 
+def test_probabilities_of_each_state_of_the_automaton_sum_to_one(rows):
+    data = [np.frombuffer((r[1] or "").encode(), np.uint8) for r in rows]
+    block = backoff_lm.Block(iter(data), np.array([k % 5 != 0 for k in range(len(rows))]), 3)
+    total, distinct = int(block.counts[0].sum()), int((block.counts[0] > 0).sum())
+    made = backoff_lm.Automaton(block, total, distinct, 4.0, 0.5)
+    known = np.flatnonzero(block.counts[0])
+    for state in range(len(made.fail)):
+        if state > 1 and made.weight[state] == 0:
+            continue  # not a state: its n-gram is not in training
+        p = 10 ** made.step(np.full(len(known), state), known)[0]
+        fails, at = 0.0, state
+        while at != backoff_lm.ROOT:
+            fails, at = fails + made.weight[at], made.fail[at]
+        assert np.isclose(p.sum() + 10 ** (fails + made.unknown), 1)
+
+
+def test_planes_round_trip():
+    x = np.array([0, 1, 255, 256, 1 << 40, (1 << 56) - 1], np.uint64)
+    assert (backoff_lm.numbers(backoff_lm.planes(x, 8), 8) == x).all() and len(backoff_lm.numbers(b"", 8)) == 0
+
+
 def test_media_round_trip(spark, docs, rows, empty, tmp_path):
     got = {r.doc_id: r for r in media.digest(docs).collect()}
     for i, x, *_ in rows:
