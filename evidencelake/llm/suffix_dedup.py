@@ -3,19 +3,22 @@
 1. Restriction, without loss.  Equal texts are judged once: later copies of at least ``length`` bytes go whole.  In the
    others, every window of ``length`` bytes has an anchor, the ``GRAM`` bytes in it with the least hash; equal windows
    have equal anchors at equal places.  Anchors that occur once anywhere rule their windows out.
-2. Distributed difference-cover sort of the rest.  The bytes around each repeated anchor go to the partition of its
-   hash, so all suffixes that may share a prefix of ``length`` bytes meet there, aligned at the anchor.  Positions not
-   divisible by 3 (the difference cover) are sampled: their triples get names, and the names of triples of names recurse
-   to 9, 27, 81 and so the ``length`` - 1 bytes behind a position.  The remaining suffixes merge in by their first byte
-   and the name of the sampled suffix behind it.  The suffixes are sorted by name and place, and adjacent prefixes of one
-   name are compared byte by byte with the earliest: equal ones start a string that also starts earlier.
-
-Names are 64-bit hashes instead of global ranks, so recursion needs no further exchange; the byte comparison makes the
-result exact.
-
-Defined results: null is the empty text; documents shorter than ``length`` bytes lose nothing; rows that repeat a
-doc_id count as that one document (they never shorten each other at equal places); a null doc_id is below all others;
-an empty table returns no rows; extra columns are kept by ``dedup_spans`` and ignored by the digest.
+2. Distributed difference-cover sort of the rest.  The stretches of bytes around each repeated anchor go to the
+   partition of its hash, so all suffixes that may share a prefix of ``length`` bytes meet there; equal stretches are one
+   from then on, and anchors with one stretch left are done.  The other stretches of a partition make strings, in which
+   the positions not divisible by 3 (the difference cover) are sampled: their triples are sorted and named by rank, the
+   string of names is sorted in the same way until names are unique or stand for ``DEPTH`` = 3^5 bytes, the remaining
+   suffixes are sorted by their first byte and the rank behind it and merged in.  Then the ``length`` bytes of neighbours
+   in the suffix array are compared: all windows of a run of equal ones but the earliest start later.
+
+The order of suffixes that share ``DEPTH`` bytes is left open: no window is that long.  A global order of all suffixes
+(0.58 billion sampled triples for 0.5 GB) is not made: suffixes of different anchors never have to be compared.
+
+Defined results: null is the empty text; documents shorter than ``length`` bytes lose nothing; very long texts are read
+whole; rows that repeat a doc_id count as that one document (they never shorten each other at equal places); a null
+doc_id is below all others; of equal strings the one in the smallest doc_id, then at the first place, stays; an empty
+table returns no rows; extra columns are kept by ``dedup_spans``, whatever their names but ``spans``, and ignored by the
+digest.
 """
 
 from __future__ import annotations
@@ -31,15 +34,18 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, did, fold, gathered, grams, longs, mix, dealt, partitions, small, stored, texts
 
 U64 = np.uint64
-#: The length that the recursion of names is written for, and the bytes of an anchor.
+#: The length of a string, and the bytes of an anchor.
 LENGTH, GRAM = 100, 32
+#: Levels of names of triples: ranks tell suffixes apart that differ in their first 3^LEVELS bytes, LENGTH at least.
+LEVELS = 5
+DEPTH = 3**LEVELS
 #: Anchor places in a window; bytes from the first window that an anchor can serve to the end of the last.
 PLACES = LENGTH - GRAM + 1
 SPAN = LENGTH + PLACES - 1
 #: Anchors held before they are sent on.
 HELD = 1 << 20
-#: Rows whose names are made together.
-TOGETHER = 8192
+#: Bytes that make one string: the stretches of some anchors, of one at least.
+TOGETHER = 1 << 18
 
 
 def owners(data: np.ndarray) -> np.ndarray:
@@ -119,41 +125,108 @@ def _repeated(docs: DataFrame) -> DataFrame:
     return sent.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "name long, at binary")
 
 
-def names(x: np.ndarray) -> list[np.ndarray]:
-    """For each place a window may start at (a column of x, bytes aligned at an anchor) the name of its LENGTH bytes."""
-    wide = x.astype(U64)
-    one: dict[int, np.ndarray] = {}
-    sampled = [c for c in range(SPAN) if c % 3]
-    for c in sampled:
-        if c + 3 <= SPAN:
-            one[c] = wide[:, c] | wide[:, c + 1] << U64(8) | wide[:, c + 2] << U64(16)
-    levels = [one]
-    for step in (3, 9, 27):
-        below = levels[-1]
-        levels.append({c: fold([below[c], below[c + step], below[c + 2 * step]]) for c in below if c + 2 * step in below and c <= PLACES + 2 * LENGTH})
-    nine, most = levels[1], levels[3]
-    behind = {c: fold([most[c], nine[c + 81], nine[c + 90]]) for c in most if c <= PLACES and c + 90 in nine}
-    return [fold([behind[c], wide[:, c + LENGTH - 1]]) if c % 3 else fold([wide[:, c], behind[c + 1]]) for c in range(PLACES)]
-
-
-def _later(rows: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of rows, starts of windows) for each window in rows that an earlier window equals. rank: of the rows by
-    document and place."""
-    order = np.argsort(rank)
+def _sorted(columns: list[np.ndarray], tops: list[int]) -> tuple[np.ndarray, np.ndarray | None]:
+    """The order of rows by columns (each from 0 to its top), and the rows as single numbers where 64 bits hold them."""
+    if sum(int(t).bit_length() for t in tops) > 63:
+        return np.lexsort(columns[::-1]), None
+    key = columns[0].astype(np.int64)
+    for c, t in zip(columns[1:], tops[1:], strict=True):
+        key = key << int(t).bit_length() | c
+    return np.argsort(key, kind="stable"), key
+
+
+def _before(columns: list[np.ndarray], others: list[np.ndarray], tops: list[int]) -> np.ndarray:
+    """How many of others (rows in order) are below each row of columns."""
+    n = len(others[0])
+    both = [np.concatenate((o, c)) for o, c in zip(others, columns, strict=True)]
+    order, key = _sorted(both, tops)
+    if key is not None:
+        return np.searchsorted(np.sort(key[:n]), key[n:], "left")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(order < n) - (order < n)
+    return rank[n:]
+
+
+def suffix_ranks(text: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+    """The rank of each suffix of text (numbers from 1 on) by its first 3^levels symbols at least: difference cover 3."""
+    n = len(text)
+    s = np.concatenate((text.astype(np.int64), np.zeros(3, np.int64)))
+    top = int(text.max(initial=1))
+    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # the last of ``one`` sees the end of the text
+    sampled = np.concatenate((one, two))
+    if not len(sampled):
+        return np.zeros(n, np.int64)
+    order, key = _sorted([s[sampled], s[sampled + 1], s[sampled + 2]], [top] * 3)
+    triple = [key[order]] if key is not None else [s[sampled + k][order] for k in range(3)]
+    new = np.zeros(len(order), np.int64)
+    for t in triple:
+        new[1:] |= t[1:] != t[:-1]
+    names = np.empty(len(order), np.int64)
+    names[order] = np.cumsum(new) + 1
+    last = int(new.sum()) + 1
+    among = names - 1 if last == len(names) else suffix_ranks(names, levels - 1) if levels > 1 else None
+    if among is None:
+        among = np.empty(len(order), np.int64)
+        among[order] = np.arange(len(order))
+    rank = np.zeros(n + 3, np.int64)
+    rank[sampled] = among + 1
+    # The rest, by the first symbol and the sampled suffix behind it, merged with each of the two sampled classes.
+    rest = np.arange(0, n, 3)
+    tops = [top, len(sampled) + 1]
+    rest = rest[_sorted([s[rest], rank[rest + 1]], tops)[0]]
+    end = int(len(one) > 0 and one[-1] == n)  # the empty suffix, before all others, is none of the text
+    one = one[one < n]
+    place = np.empty(n, np.int64)
+    place[rest] = np.arange(len(rest))
+    place[rest] += _before([s[rest], rank[rest + 1]], [s[one], rank[one + 1]], tops)
+    pair = lambda x: [s[x], s[x + 1], rank[x + 2]]
+    place[rest] += _before(pair(rest), pair(two), [top, *tops])
+    for x, columns, limits in ((one, lambda x: [s[x], rank[x + 1]], tops), (two, pair, [top, *tops])):
+        place[x] = rank[x] - 1 - end + (_before(columns(x), columns(rest), limits) if len(rest) else 0)
+    order = np.argsort(place, kind="stable")
+    out = np.empty(n, np.int64)
+    out[order] = np.arange(n)
+    return out
+
+
+def _settled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stay, rows that go): of stretches with equal anchors, windows and bytes the earliest stays."""
     x = np.ascontiguousarray(rows["bytes"])
-    for c, name in enumerate(names(x)):
-        valid = order[(rows["lo"][order] <= c) & (rows["hi"][order] >= c)]
-        if len(valid) < 2:
-            continue
-        whole = fold([rows["key"][valid], name[valid]])
-        sort = np.argsort(whole, kind="stable")  # equal names stay in the order of (doc_id, place)
-        cuts = _runs(whole[sort])
-        first = np.repeat(valid[sort[cuts[:-1]]], np.diff(cuts))
-        each = valid[sort]
-        later = (rows["did"][each] != rows["did"][first]) | (rows["at"][each] != rows["at"][first])
-        each, first = each[later], first[later]
-        equal = (x[each, c : c + LENGTH] == x[first, c : c + LENGTH]).all(axis=1)
-        yield each[equal], rows["at"][each[equal]] + c
+    alike = fold([rows["key"], rows["lo"].astype(U64) << U64(16) | rows["hi"].astype(U64), *x.view(U64).T])
+    order = np.lexsort((rows["at"], rows["did"], alike))
+    cuts = _runs(alike[order])
+    first = np.repeat(order[cuts[:-1]], np.diff(cuts))
+    later = (rows["did"][order] != rows["did"][first]) | (rows["at"][order] != rows["at"][first])
+    later &= (x[order] == x[first]).all(axis=1)
+    return rows[np.sort(order[~later])], rows[order[later]]
+
+
+def _later(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of rows, starts of windows) for each window in rows (stretches) that an earlier window equals."""
+    lo, size = rows["lo"].astype(np.int64), rows["hi"].astype(np.int64) - rows["lo"] + LENGTH
+    cuts = np.cumsum(size + 1) - (size + 1)  # a separator behind each stretch
+    text = np.ones(int(cuts[-1] + size[-1]) + 1, np.int16)
+    owner = np.repeat(np.arange(len(rows)), size)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    at = cuts[owner] + within
+    text[at] = rows["bytes"][owner, lo[owner] + within].astype(np.int16) + 2
+    rank = suffix_ranks(text)
+    windows = within < size[owner] - LENGTH + 1
+    at, owner, within = at[windows], owner[windows], within[windows]
+    order = np.argsort(rank[at])
+    at, owner, start = at[order], owner[order], (rows["at"][owner] + lo[owner] + within)[order]
+    equal = np.zeros(len(at), bool)  # to the neighbour before
+    view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
+    for k in range(1, len(at), 1 << 15):
+        x = at[k - 1 : k + (1 << 15)]
+        equal[k : k + len(x) - 1] = (view[x[1:]] == view[x[:-1]]).all(axis=1)
+    run = np.cumsum(~equal)
+    order = np.lexsort((start, rows["did"][owner], run))
+    owner, start = owner[order], start[order]
+    cuts = _runs(run[order])
+    first = np.repeat(cuts[:-1], np.diff(cuts))
+    later = (rows["did"][owner] != rows["did"][owner[first]]) | (start != start[first])
+    return owner[later], start[later]
 
 
 def _starts(docs: DataFrame) -> DataFrame:
@@ -168,23 +241,15 @@ def _starts(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(held)
-            held.clear()
             # Of equal stretches of one task only the earliest is sent; the others are settled here, so that a passage
             # in very many documents reaches its partition at most once a task.
-            x = np.ascontiguousarray(rows["bytes"])
-            alike = fold([rows["key"], rows["lo"].astype(U64) << U64(16) | rows["hi"].astype(U64), *np.ascontiguousarray(x).view(U64).T])
-            order = np.lexsort((rows["at"], rows["did"], alike))
-            cuts = _runs(alike[order])
-            first = np.repeat(order[cuts[:-1]], np.diff(cuts))
-            later = (rows["did"][order] != rows["did"][first]) | (rows["at"][order] != rows["at"][first])
-            later &= (x[order] == x[first]).all(axis=1)
-            gone = rows[order[later]]
+            rows, gone = _settled(np.concatenate(held))
+            held.clear()
             done = np.zeros(len(gone), settled)
             done["did"], done["name"] = gone["did"], gone["name"]
             done["start"], done["n"] = gone["at"] + gone["lo"], gone["hi"] - gone["lo"] + 1
             for column, values, bucket in (
-                ("rows", rows[np.sort(order[~later])], lambda v: v["key"] >> U64(24)),
+                ("rows", rows, lambda v: v["key"] >> U64(24)),
                 ("done", done, lambda v: mix(v["name"].view(U64) if len(v) else np.zeros(0, U64))),
             ):
                 batch = dealt((bucket(values) % U64(buckets)).astype(np.int32), {column: values})
@@ -223,24 +288,28 @@ def _starts(docs: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches, {"rows": entry, "done": settled})
-        rows, done = got["rows"], got["done"]
-        del got
-        rows = rows[np.lexsort((rows["at"], rows["did"], rows["key"]))]
+        done = got["done"]
+        rows, gone = _settled(got.pop("rows"))
+        rows = rows[np.argsort(rows["key"], kind="stable")]
         found: list[tuple[np.ndarray, np.ndarray]] = []
         cuts = _runs(rows["key"])
+        several = np.diff(cuts) > 1  # an anchor with one stretch left has no other window to compare
+        rows = rows[np.repeat(several, np.diff(cuts))]
+        cuts = _runs(rows["key"])
+        length = np.concatenate(([0], np.cumsum(rows["hi"].astype(np.int64) - rows["lo"] + LENGTH + 1)))
         at = 0
-        while at < len(cuts) - 1:  # some anchors at a time, so that the names of all columns fit in memory
-            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TOGETHER, "right")) - 1)
+        while at < len(cuts) - 1:  # some anchors at a time, so that their string fits in memory
+            to = max(at + 1, int(np.searchsorted(length[cuts], length[cuts[at]] + TOGETHER, "right")) - 1)
             low, high = int(cuts[at]), int(cuts[to])
-            if high - low > 1:
-                some = rows[low:high]
-                found += [(low + each, start) for each, start in _later(some, np.argsort(np.lexsort((some["at"], some["did"]))))]
+            each, start = _later(rows[low:high])
+            found.append((low + each, start))
             at = to
         who = np.concatenate([a for a, _ in found] + [np.zeros(0, np.int64)]).astype(np.int64)
         start = np.concatenate([s for _, s in found] + [np.zeros(0, np.int64)])
-        ids = np.concatenate((rows["did"][who], done["did"]))
-        name = np.concatenate((rows["name"][who], done["name"]))
-        start, n = np.concatenate((start, done["start"])), np.concatenate((np.ones(len(start), np.int64), done["n"]))
+        ids = np.concatenate((rows["did"][who], gone["did"], done["did"]))
+        name = np.concatenate((rows["name"][who], gone["name"], done["name"]))
+        n = np.concatenate((np.ones(len(start), np.int64), gone["hi"].astype(np.int64) - gone["lo"] + 1, done["n"]))
+        start = np.concatenate((start, gone["at"] + gone["lo"], done["start"]))
         if not len(ids):
             return
         order = np.lexsort((start, name, ids))
@@ -276,8 +345,11 @@ def removed_runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """docs with ``spans``: array of (start, end) in bytes of the UTF-8 text, the maximal runs that go."""
-    own = docs.withColumns({"_did": did(), "_name": F.xxhash64("text")})
-    plain = own.select(F.col("_did").alias("did"), F.col("_name").alias("name"), "text")
+    other = [c for c in docs.columns if c.lower() != "spans"]
+    # The caller's columns travel as one, so that their names meet none of ours.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"), did().alias("did"), F.xxhash64("text").alias("name"))
+    text = F.col("row.text")
+    plain = own.select("did", "name", text.alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     by_text = plain.filter(size >= LENGTH).groupBy("name", F.md5("text").alias("md5")).agg(F.min("did").alias("did"), F.count("*").alias("n"))
     first = stored(by_text.select("name", "md5", "did", "n"), "first")
@@ -287,7 +359,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     some = plain.join(anchors, ["did", "name"])
     starts = stored(_starts(some.select("did", "name", "text", "at")), "starts")
     runs = starts.groupBy("did", "name").agg(F.collect_list("starts").alias("starts"))
-    copies = first.filter("n > 1").select("name", F.col("did").alias("least"))
+    copies = first.filter("n > 1").select("name", "md5", F.col("did").alias("least"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,15 +368,15 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
                 for blobs in batch.column(2).to_pylist()
             ]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["_did", "_name", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["did", "name", "spans"])
 
     kind = "array<struct<start:bigint,end:bigint>>"
-    spans = stored(runs.mapInArrow(cover, f"_did long, _name long, spans {kind}"), "spans")
-    out = own.join(small(spans, 16 * F.size("spans")), ["_did", "_name"], "left")
-    out = out.join(small(stored(copies, "copies").toDF("_name", "_least")), "_name", "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.cast("long").alias("end")))
-    value = F.when(F.col("_did") > F.col("_least"), whole).otherwise(F.coalesce("spans", F.array().cast(kind)))
-    return out.select(*docs.columns, value.alias("spans"))
+    spans = stored(runs.mapInArrow(cover, f"did long, name long, spans {kind}"), "spans")
+    out = own.join(small(spans, 16 * F.size("spans")), ["did", "name"], "left").withColumn("md5", F.md5(text))
+    out = out.join(small(stored(copies, "copies"), F.lit(40)), ["name", "md5"], "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text).cast("long").alias("end")))
+    value = F.when(F.col("did") > F.col("least"), whole).otherwise(F.coalesce("spans", F.array().cast(kind)))
+    return out.select("row.*", value.alias("spans"))
 
 
 def kept(data: bytes, spans: list[dict]) -> bytes:
