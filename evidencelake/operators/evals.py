@@ -43,11 +43,42 @@ def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
-    """(group, p, value): the value at rank ceil(p n) of each group."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    marks = F.explode(F.array(*[F.lit(s) for s in shares])).alias("p")
-    return ranked.select(group, F.col(value).alias("value"), "_r", "_n", marks).filter(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("_n")))).select(group, "p", "value")
+    """(group, p, value): the value at rank ceil(p n) of each group. Equal values are counted before anything moves;
+    values fall into cells of their group's range, counts of cells say in which cell a rank lies, and only the values of
+    such cells are put in order, so no group is sorted in one task."""
+    cells = 1024
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("times"))
+    ends = counts.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("times").alias("n"))
+    same = F.expr(f"a.`{group}` <=> b.`{group}`")
+    span = F.col("hi").cast("double") - F.col("lo").cast("double")
+    at = F.when(span > 0, F.least(F.lit(cells - 1), F.floor((F.col(value).cast("double") - F.col("lo").cast("double")) / span * cells))).otherwise(0)
+    placed = counts.alias("a").join(ends.alias("b"), same).select(F.col(f"a.{group}").alias(group), F.col(f"a.{value}").alias("value"), "times", "n", at.cast("int").alias("cell"))
+    # As many rows as cells in each group.
+    sums = placed.groupBy(group, "cell").agg(F.sum("times").alias("in_cell"), F.min("n").alias("n"))
+    before = F.coalesce(F.sum("in_cell").over(Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = F.explode(F.array(*[F.struct(F.lit(s).alias("p"), F.greatest(F.lit(1), F.ceil(F.lit(s) * F.col("n"))).alias("rank")) for s in shares])).alias("mark")
+    wanted = sums.withColumn("before", before).select(group, "cell", "before", "in_cell", marks)
+    wanted = wanted.filter((F.col("mark.rank") > F.col("before")) & (F.col("mark.rank") <= F.col("before") + F.col("in_cell"))).select(group, "cell", "before", "mark.p", "mark.rank")
+    met = placed.alias("a").join(wanted.alias("b"), same & F.expr("a.cell = b.cell")).select(F.col(f"b.{group}").alias(group), "p", "rank", "before", "value", "times")
+    upto = F.sum("times").over(Window.partitionBy(group, "p").orderBy("value"))
+    return met.withColumn("upto", F.col("before") + upto).filter("upto >= rank").groupBy(group, "p").agg(F.min("value").alias("value"))
+
+
+def verbatim(docs: DataFrame, claims: DataFrame, key: str, claim_key: str, words: int = 4) -> DataFrame:
+    """(claim_key, key, at, n): claims that stand word for word in a text, with the first place (from 1) and length. The
+    words of a claim between its first and its last stand in the text as they are, so the hash of ``words`` of them is
+    looked up among those of the texts; only ids move for that. Claims too short for it are compared with each text."""
+    listed = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    hashed = lambda w, i: F.xxhash64(*[F.element_at(w, i + k) for k in range(words)])
+    named = claims.select(claim_key, "claim", F.size(listed(F.col("claim"))).alias("size"))
+    anchors = named.filter(F.col("size") >= words + 2).select(claim_key, hashed(listed(F.col("claim")), F.lit(2)).alias("anchor"))
+    w = docs.select(key, listed(F.col("text")).alias("w")).filter(F.size("w") >= words)
+    all_ = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: hashed(F.col("w"), i)))
+    ids = w.select(key, F.explode(all_).alias("anchor")).join(anchors, "anchor").select(key, claim_key).distinct()
+    long = ids.join(docs.select(key, "text"), key).join(claims.select(claim_key, "claim"), claim_key)
+    short = docs.select(key, "text").join(named.filter(F.col("size") < words + 2).select(claim_key, "claim"), F.contains("text", F.col("claim")))
+    met = long.filter(F.contains("text", F.col("claim"))).select(claim_key, key, "text", "claim").union(short.select(claim_key, key, "text", "claim"))
+    return met.select(claim_key, key, F.instr("text", F.col("claim")).cast("long").alias("at"), F.char_length("claim").cast("long").alias("n"))
 
 
 def sample(rows: DataFrame, key: str, seed: str, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -71,14 +71,62 @@ def spread(seeds: DataFrame, edges: DataFrame, degree: DataFrame, hops: int = 1)
     return active
 
 
-def reachable(pairs: DataFrame) -> DataFrame:
-    """(src, dst) of all paths in pairs (src, dst): path lengths double each round until nothing is new."""
-    paths, n = cut(pairs.select("src", "dst").distinct()), -1
-    while (now := paths.count()) != n:
-        n = now
-        longer = paths.toDF("src", "via").join(paths.toDF("via", "dst"), "via").select("src", "dst")
-        paths = cut(paths.union(longer).distinct())
-    return paths
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, cycle): nodes of strongly connected components of more than one node, named by their least. Labels only, no
+    paths: nodes that cannot be in a cycle go first; then the largest node that reaches a node colours it, the nodes of a
+    colour that reach their colour's node are one component, and the rest goes on within its colours."""
+    rest = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    found: DataFrame | None = None
+    while not rest.isEmpty():
+        while True:  # nodes without a way in or out
+            ends = rest.select(F.col("src").alias("node")).intersect(rest.select(F.col("dst").alias("node")))
+            kept = cut(rest.join(ends.toDF("src"), "src", "left_semi").join(ends.toDF("dst"), "dst", "left_semi").select("src", "dst"))
+            if kept.count() == rest.count():
+                break
+            rest = kept
+        if rest.isEmpty():
+            break
+        color = cut(rest.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")))
+        while True:
+            came = rest.join(color.toDF("src", "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("c"))
+            now = cut(color.join(came, "node", "left").select("node", F.col("color").alias("was"), F.greatest("color", F.coalesce("c", "color")).alias("color")))
+            done = now.filter("was <> color").isEmpty()
+            color = now.select("node", "color")
+            if done:
+                break
+        inside = cut(rest.join(color.toDF("src", "color"), "src").join(color.toDF("dst", "other"), "dst").filter("color = other").select("src", "dst", "color"))
+        back = cut(color.filter("node = color"))
+        while True:
+            more = inside.join(back.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "color")
+            now = cut(back.union(more).distinct())
+            if now.count() == back.count():
+                break
+            back = now
+        part = back.groupBy("color").agg(F.min("node").alias("cycle"), F.count("*").alias("n")).filter("n > 1")
+        part = back.join(part, "color").select("node", "cycle")
+        found = cut(part if found is None else found.union(part))
+        rest = cut(inside.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
+
+
+def store(pages: DataFrame, path: str) -> None:
+    """Writes the nodes, resolved links, edges and degrees of pages below path."""
+    spark = pages.sparkSession
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    pages.select(F.col("page_id").alias("node"), "url", F.sha2("html", 256).alias("sha256")).write.parquet(f"{path}/nodes")
+    resolve(page_links(pages), pages).write.parquet(f"{path}/resolved")
+    edges_of(read("resolved")).write.parquet(f"{path}/edges")
+    degrees(read("nodes").select("node"), read("edges")).write.parquet(f"{path}/degrees")
+
+
+class Links:
+    """A stored link graph."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -87,4 +87,5 @@ def rrf(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def floor(scored: DataFrame, share: float) -> DataFrame:
     """Rows with at least ``share`` of the best score."""
-    return scored.withColumn("_best", F.max("score").over(Window.partitionBy())).filter(F.col("score") >= share * F.col("_best")).drop("_best")
+    best = scored.agg(F.max("score").alias("best_of_all"))
+    return scored.crossJoin(F.broadcast(best)).filter(F.col("score") >= share * F.col("best_of_all")).drop("best_of_all")  # one row

@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidencelake.operators.graph import Links, store
+from evidencelake.operators.index import Index, build
+from evidencelake.operators.shared import generations
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +21,18 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark, self._folder = spark, folder
 
+    @property
+    def index(self) -> Index:
+        """The stored index of the documents: built at the first use after they change."""
+        path = f"{self._folder}/documents.parquet"
+        return Index(self._spark, generations(self._spark, "index", [path], lambda folder: build(self.documents, folder)))
+
+    @property
+    def links(self) -> Links:
+        """The stored link graph of the pages: built at the first use after they change."""
+        path = f"{self._folder}/pages.parquet"
+        return Links(self._spark, generations(self._spark, "links", [path], lambda folder: store(self.pages, folder)))
+
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 

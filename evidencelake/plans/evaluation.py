@@ -51,23 +51,11 @@ def paired_outcomes(t: Tables) -> DataFrame:
     return evals.paired(a, b, "doc_id")
 
 
-@query(
-    "WITH RECURSIVE c AS (SELECT source, count(*) FILTER (length(text) > 1200) % 12 AS w, count(*) FILTER (length(text) <= 1200) % 9 AS l FROM documents GROUP BY source), "
-    "s AS (SELECT source, w, l, 0 AS i, pow(0.5, w + l) AS term, CAST(0 AS DOUBLE) AS acc FROM c UNION ALL SELECT source, w, l, i + 1, term * (w + l - i) / (i + 1), acc + term FROM s WHERE i <= least(w, l)) "
-    "SELECT source, w, l, round(CASE WHEN w + l = 0 THEN 1.0 ELSE least(1.0, 2 * max(acc)) END, 9) AS p FROM s GROUP BY source, w, l"
-)
-def sign_test(t: Tables) -> DataFrame:
-    longer = F.char_length("text") > 1200
-    c = t.documents.groupBy("source").agg((F.count_if(longer) % 12).alias("w"), (F.count_if(~longer) % 9).alias("l"))
-    return c.select("source", "w", "l", F.round(evals.sign_test(F.col("w"), F.col("l")), 9).alias("p"))
-
-
 @query(
     "WITH c AS (SELECT source, count(*) FILTER (length(text) > 1200) AS w, count(*) FILTER (length(text) <= 1200) AS l FROM documents GROUP BY source), s AS (SELECT *, unnest(range(0, least(w, l) + 1)) AS i FROM c) "
     "SELECT source, w, l, round(least(1.0, 2 * sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2)))), 9) AS p FROM s GROUP BY source, w, l"
 )
-def sign_test_all(t: Tables) -> DataFrame:
-    """sign_test on the whole counts."""
+def sign_test(t: Tables) -> DataFrame:
     longer = F.char_length("text") > 1200
     c = t.documents.groupBy("source").agg(F.count_if(longer).alias("w"), F.count_if(~longer).alias("l"))
     return c.select("source", "w", "l", F.round(evals.sign_test(F.col("w"), F.col("l")), 9).alias("p"))
@@ -112,27 +100,7 @@ def quota_sample(t: Tables) -> DataFrame:
     "SELECT item_id, doc_id, CAST(instr(d.text, b.text) AS BIGINT) AS at, CAST(length(b.text) AS BIGINT) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
 )
 def claim_spans(t: Tables) -> DataFrame:
-    """Verbatim passages. The first 32 characters of the passages are looked for in each document; only documents that
-    have them meet the whole passage."""
-    head = 32
-    text = F.col("text")
-    claims = t.benchmark.select("item_id", text.alias("claim"))
-    heads = claims.select(F.collect_set(F.substring("claim", 1, head)).alias("heads"))  # one row: a head a passage
-    found = t.documents.crossJoin(F.broadcast(heads)).select("doc_id", "text", F.explode(F.filter("heads", lambda h: F.contains(text, h))).alias("head"))
-    joined = found.join(claims.withColumn("head", F.substring("claim", 1, head)), "head").filter(F.contains("text", F.col("claim")))
-    return joined.select("item_id", "doc_id", F.instr("text", F.col("claim")).cast("long").alias("at"), F.char_length("claim").cast("long").alias("n"))
-
-
-@query(
-    "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 4) AS cosine FROM embeddings CROSS JOIN q WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) > 0.2"
-)
-def vector_similar(t: Tables) -> DataFrame:
-    """Vectors near that of number 0."""
-    one = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("e"))
-    d = lambda x: x.cast("double")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: d(p) * d(q)), F.lit(0.0), lambda s, v: s + v)
-    scored = t.embeddings.crossJoin(F.broadcast(one)).select("vec_id", (dot("embedding", "e") / F.sqrt(dot("embedding", "embedding") * dot("e", "e"))).alias("c"))  # one vector
-    return scored.filter("c > 0.2").select("vec_id", F.round("c", 4).alias("cosine"))
+    return evals.verbatim(t.documents, t.benchmark.select("item_id", F.col("text").alias("claim")), "doc_id", "item_id")
 
 
 #: Vectors a block: a task holds one block of queries and one of rows.
@@ -142,7 +110,7 @@ _BLOCK = 1024
 @query(
     "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 4) AS cosine FROM embeddings CROSS JOIN q WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) > 0.2"
 )
-def vector_similar_all(t: Tables) -> DataFrame:
+def vector_similar(t: Tables) -> DataFrame:
     """Vectors near those whose number is divisible by 100: blocks of queries against blocks of all rows."""
 
     def blocks(rows: DataFrame, n: int, ids: str, vectors: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelake.operators import graph
+from evidencelake.operators import graph, ledger
 
 from .base import Tables, query
 
@@ -24,15 +24,15 @@ dg AS (SELECT p.page_id AS node, count(*) FILTER (way = 1) AS out_degree, count(
 
 
 def _resolved(t: Tables) -> DataFrame:
-    return graph.resolve(graph.page_links(t.pages), t.pages)
+    return t.links.table("resolved")
 
 
 def _edges(t: Tables) -> DataFrame:
-    return graph.edges_of(_resolved(t))
+    return t.links.table("edges")
 
 
 def _nodes(t: Tables) -> DataFrame:
-    return t.pages.select(F.col("page_id").alias("node"))
+    return t.links.table("nodes").select("node")
 
 
 @query(f"WITH {_LINKS} SELECT src, dst, CAST(line AS INT) AS line FROM e")
@@ -47,12 +47,12 @@ def unresolved_reasons(t: Tables) -> DataFrame:
 
 @query(f"WITH {_LINKS} SELECT * FROM dg")
 def link_degrees(t: Tables) -> DataFrame:
-    return graph.degrees(_nodes(t), _edges(t))
+    return t.links.table("degrees")
 
 
 @query(f"WITH {_LINKS} SELECT node FROM dg WHERE degree = 0")
 def orphans(t: Tables) -> DataFrame:
-    return graph.degrees(_nodes(t), _edges(t)).filter("degree = 0").select("node")
+    return t.links.table("degrees").filter("degree = 0").select("node")
 
 
 @query(f"WITH {_LINKS} SELECT node, o AS other, CASE way WHEN 1 THEN 'out' ELSE 'in' END AS way FROM b QUALIFY row_number() OVER (PARTITION BY node ORDER BY way, o) <= 25")
@@ -90,7 +90,7 @@ def _spread_sql(hops: int) -> str:
 def _spread(t: Tables, hops: int) -> DataFrame:
     seeds = t.pages.filter("page_id % 10 = 0").select(F.col("page_id").alias("node"), F.lit(1.0).alias("activation"))
     edges = _edges(t)
-    return graph.spread(seeds, edges, graph.degrees(_nodes(t), edges), hops).select("node", F.round("activation", 6).alias("activation"))
+    return graph.spread(seeds, edges, t.links.table("degrees"), hops).select("node", F.round("activation", 6).alias("activation"))
 
 
 @query(_spread_sql(1))
@@ -103,49 +103,27 @@ def spread_two_hop(t: Tables) -> DataFrame:
     return _spread(t, 2)
 
 
-_SUPER = "s AS (SELECT l_orderkey AS id, l_orderkey - 1 - l_orderkey % 3 AS supersedes FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 < 3 AND l_orderkey <= 3000)"
+_SUPER = "o AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), s AS (SELECT id, id - 1 - id % 3 AS supersedes FROM o)"
 
 
 def _supersedes(t: Tables) -> DataFrame:
-    """Each record of a chain names an earlier one; several may name the same (a fork)."""
-    rows = t.lineitem.filter("l_linenumber = 1 and l_orderkey % 5 < 3 and l_orderkey <= 3000")
-    return rows.select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") - 1 - F.col("l_orderkey") % 3).alias("supersedes"))
+    """Each record of a chain names an earlier one; several may name the same (a fork). A record for each order."""
+    ids = t.lineitem.select(F.col("l_orderkey").alias("id")).distinct()
+    return ids.select("id", (F.col("id") - 1 - F.col("id") % 3).alias("supersedes"))
 
 
 @query(f"WITH {_SUPER} SELECT id FROM s WHERE id NOT IN (SELECT supersedes FROM s)")
 def supersession_in_force(t: Tables) -> DataFrame:
     edges = _supersedes(t)
-    return edges.select("id").join(edges.select(F.col("supersedes").alias("id")), "id", "left_anti")
+    return ledger.in_force(edges.select("id"), edges)
 
 
 @query(f"WITH {_SUPER} SELECT supersedes AS target, count(DISTINCT id) AS successors FROM s GROUP BY 1 HAVING count(DISTINCT id) >= 2")
 def supersession_forks(t: Tables) -> DataFrame:
-    return _supersedes(t).groupBy(F.col("supersedes").alias("target")).agg(F.countDistinct("id").alias("successors")).filter("successors >= 2")
-
-
-_SUPER_ALL = "o AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), s AS (SELECT id, id - 1 - id % 3 AS supersedes FROM o)"
-
-
-def _supersedes_all(t: Tables) -> DataFrame:
-    """A record for each order of the table, whatever lines it has."""
-    ids = t.lineitem.select(F.col("l_orderkey").alias("id")).distinct()
-    return ids.select("id", (F.col("id") - 1 - F.col("id") % 3).alias("supersedes"))
-
-
-@query(f"WITH {_SUPER_ALL} SELECT id FROM s WHERE id NOT IN (SELECT supersedes FROM s)")
-def supersession_in_force_all(t: Tables) -> DataFrame:
-    """supersession_in_force over all orders."""
-    edges = _supersedes_all(t)
-    return edges.select("id").join(edges.select(F.col("supersedes").alias("id")), "id", "left_anti")
-
-
-@query(f"WITH {_SUPER_ALL} SELECT supersedes AS target, count(DISTINCT id) AS successors FROM s GROUP BY 1 HAVING count(DISTINCT id) >= 2")
-def supersession_forks_all(t: Tables) -> DataFrame:
-    """supersession_forks over all orders."""
-    return _supersedes_all(t).groupBy(F.col("supersedes").alias("target")).agg(F.countDistinct("id").alias("successors")).filter("successors >= 2")
+    return ledger.successors(_supersedes(t)).filter("n >= 2").withColumnRenamed("n", "successors")
 
 
-_CYCLE = "c AS (SELECT DISTINCT p_partkey % 40 AS src, (p_partkey * 7 + p_size) % 40 AS dst FROM part WHERE p_partkey <= 60)"
+_CYCLE = "c AS (SELECT p_partkey AS src, p_partkey - p_partkey % 8 + (p_partkey * 3 + p_size) % 8 AS dst FROM part)"
 
 
 @query(
@@ -153,12 +131,9 @@ _CYCLE = "c AS (SELECT DISTINCT p_partkey % 40 AS src, (p_partkey * 7 + p_size)
     "SELECT a.src AS node, min(a.dst) AS cycle FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1"
 )
 def supersedes_cycles(t: Tables) -> DataFrame:
-    """Nodes that reach each other, more than one together: a cycle is named by its least node."""
-    edges = t.part.filter("p_partkey <= 60").select((F.col("p_partkey") % 40).alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 40).alias("dst"))
-    paths = graph.reachable(edges)
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = paths.join(back, ["src", "dst"])
-    return both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("cycle"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    """Records that supersede each other in a ring, more than one together; every part is a record."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    return graph.strong_components(t.part.select(p.alias("src"), (p - p % 8 + (p * 3 + size) % 8).alias("dst")))
 
 
 @query(

@@ -26,34 +26,34 @@ s AS (SELECT tf.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf
 
 @query(f"WITH {_BM25} SELECT s.doc_id, round(score, 6) AS score, n_terms, sha256(text) AS sha256 FROM s JOIN documents USING (doc_id) ORDER BY s.score DESC, s.doc_id LIMIT 10")
 def bm25_topk(t: Tables) -> DataFrame:
-    best = search.top(search.bm25(t.documents, TERMS), 10)
+    best = search.top(t.index.scores(TERMS), 10)
     full = t.documents.join(F.broadcast(best), "doc_id")  # ten rows
     return full.select("doc_id", F.round("score", 6).alias("score"), "n_terms", F.sha2("text", 256).alias("sha256"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, n_terms FROM s")
 def bm25_scores(t: Tables) -> DataFrame:
-    return search.bm25(t.documents, TERMS).select("doc_id", F.round("score", 6).alias("score"), "n_terms")
+    return t.index.scores(TERMS).select("doc_id", F.round("score", 6).alias("score"), "n_terms")
 
 
 @query(f"WITH {_BM25.replace(_LIST, chr(39) + 'of' + chr(39) + ', ' + chr(39) + 'the' + chr(39))} SELECT doc_id, round(score, 6) AS score FROM s WHERE n_terms = 2")
 def bm25_all_terms(t: Tables) -> DataFrame:
-    return search.bm25(t.documents, ["of", "the"]).filter("n_terms = 2").select("doc_id", F.round("score", 6).alias("score"))
+    return t.index.scores(["of", "the"]).filter("n_terms = 2").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM s WHERE score >= 0.3 * (SELECT max(score) FROM s)")
 def relevance_floor(t: Tables) -> DataFrame:
-    return search.floor(search.bm25(t.documents, TERMS), 0.3).select("doc_id", F.round("score", 6).alias("score"))
+    return search.floor(t.index.scores(TERMS), 0.3).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_D}) AS term FROM documents) GROUP BY term")
 def doc_freq(t: Tables) -> DataFrame:
-    return search.doc_freq(t.documents)
+    return t.index.table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"SELECT doc_id, CAST(len({_D}) AS BIGINT) AS dl FROM documents")
 def doc_lengths(t: Tables) -> DataFrame:
-    return search.doc_lengths(t.documents)
+    return t.index.table("text_lengths")
 
 
 def _count(term: str) -> str:
@@ -74,7 +74,7 @@ def grep_rank(t: Tables) -> DataFrame:
     "FROM k WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0"
 )
 def phrase_search(t: Tables) -> DataFrame:
-    return search.phrase_docs(t.documents, ["of", "the"])
+    return t.index.phrase(["of", "the"])
 
 
 def _rank_sql(terms: list[str]) -> str:
@@ -87,7 +87,7 @@ def _rank_sql(terms: list[str]) -> str:
     "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0 / (60 + a.pos), 0) + coalesce(1.0 / (60 + b.pos), 0), 6) AS rrf FROM a FULL JOIN b ON a.doc_id = b.doc_id"
 )
 def rrf_fusion(t: Tables) -> DataFrame:
-    lists = [search.ranked(search.bm25(t.documents, terms), 80) for terms in (["with", "by"], ["les", "des"])]
+    lists = [search.ranked(t.index.scores(terms), 80) for terms in (["with", "by"], ["les", "des"])]
     return search.rrf(*lists).select("doc_id", F.round("rrf", 6).alias("rrf"))
 
 
@@ -190,7 +190,7 @@ def skip_counts(t: Tables) -> DataFrame:
 )
 def withheld(t: Tables) -> DataFrame:
     """The twenty best against a later generation in which some documents are gone or changed; no slot is filled again."""
-    best = search.ranked(search.bm25(t.documents, TERMS), 20)
+    best = search.ranked(t.index.scores(TERMS), 20)
     indexed = t.documents.join(F.broadcast(best), "doc_id").select("doc_id", F.sha2("text", 256).alias("sha"))  # twenty rows
     now = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     current = t.documents.filter("doc_id % 4 <> 0").select("doc_id", F.sha2(now, 256).alias("now"))
@@ -204,7 +204,7 @@ def withheld(t: Tables) -> DataFrame:
 )
 def budget_cut(t: Tables) -> DataFrame:
     """Whole documents in rank order until the budget of characters is used up."""
-    best = search.top(search.bm25(t.documents, TERMS), 30)
+    best = search.top(t.index.scores(TERMS), 30)
     rows = t.documents.join(F.broadcast(best.select("doc_id", "score")), "doc_id").select("doc_id", "score", F.char_length("text").alias("n"))
     order = Window.orderBy(F.desc("score"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # thirty rows
     return rows.select("doc_id", F.sum("n").over(order).alias("used")).filter("used <= 20000")
@@ -216,7 +216,7 @@ def budget_cut(t: Tables) -> DataFrame:
 )
 def coverage_receipt(t: Tables) -> DataFrame:
     sums = t.documents.agg(F.countDistinct(F.sha2("text", 256)).alias("distinct_texts"), F.count("*").alias("indexed"))
-    matched = search.bm25(t.documents, TERMS).agg(F.count("*").alias("matched"))
+    matched = t.index.scores(TERMS).agg(F.count("*").alias("matched"))
     return sums.crossJoin(matched).withColumn("status", F.when(F.col("matched") == 0, "NOT_FOUND").otherwise("FOUND"))  # one row each
 
 
