@@ -37,9 +37,12 @@ _give_back_memory()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; one of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset, a local session gets a
+    folder of its own; on a cluster a folder of one machine would lose data, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidencelake-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -50,7 +53,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evidencelake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes what stored() has written for tables, once nothing reads them any more."""
+    for table in tables:
+        path = getattr(table, "stored_path", None)
+        if path is not None:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:

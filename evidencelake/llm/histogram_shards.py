@@ -70,15 +70,15 @@ def _refine(rows: DataFrame, key: str, goals: dict[int, int], slack: int) -> dic
 def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01) -> DataFrame:
     """docs with size, law, shard and slot: sizes of shards are near equal, slots of a shard gapless from 0."""
     new = ["size", "law", "shard", "slot"]
-    other = [c for c in docs.columns if c not in new]
+    other = [c for c in docs.columns if c.lower() not in new]
     own = docs.select(
-        *other,
+        F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"),  # so that the caller's names meet none of ours
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         _half(F.xxhash64("text")).alias("_text"),
         _half(F.xxhash64(did())).alias("_id"),
         did().alias("_did"),
     )
-    return _shard(own, shards, tolerance).select(*other, *new)
+    return _shard(own, shards, tolerance).select("row.*", *new)
 
 
 def _shard(own: DataFrame, shards: int, tolerance: float) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _LOWER, _SPACE, texts
 
@@ -192,13 +193,13 @@ def _labelled(model: Model, items: list[np.ndarray], switch: float) -> list[tupl
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """docs with lang_pred and score, and with ``spans`` also lang_spans, array of (start, end, lang) in bytes."""
     new = ["lang_pred", "score", *["lang_spans"] * spans]
-    other = [c for c in docs.columns if c not in new]
+    other = [c for c in docs.columns if c.lower() not in new]
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = list(texts(batch.column("_text")))
+            items = list(texts(batch.column(1)))
             found, a, size = [], 0, 0
             for b, x in enumerate(items):
                 size += len(x)
@@ -208,12 +209,13 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             if spans:
                 columns.append(pa.array([[{"start": p, "end": q, "lang": x} for p, q, x in f[2]] for f in found], kind))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(other))), *columns], [*other, *new])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", *new])
 
-    rows = docs.select(*other, F.col("text").alias("_text"))
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*other).schema.fields]
-    types += ["lang_pred string", "score double", *["lang_spans array<struct<start:bigint,end:bigint,lang:string>>"] * spans]
-    return rows.mapInArrow(predict, ", ".join(types))
+    # The caller's columns travel as one, so that their names meet none of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"), F.col("text").alias("text"))
+    types = ["lang_pred string", "score double", *["lang_spans array<struct<start:bigint,end:bigint,lang:string>>"] * spans]
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(types)).fields])
+    return rows.mapInArrow(predict, schema).select("row.*", *new)
 
 
 def digest(docs: DataFrame, sample: int = SAMPLE, switch: float = SWITCH) -> DataFrame:

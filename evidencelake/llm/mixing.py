@@ -11,8 +11,11 @@ order, so that no source, however large, is gathered in one task; only the cell
 row.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others; a source of size 0 has
-target 0 and its documents are taken floor(0) = 0 times; repeated rows are documents of their own; an empty table
-returns no rows; extra columns are kept unless a result column has their name.
+target 0 and its documents are taken floor(0) = 0 times; empty texts of other sources are repeated as their place in the
+order says, never more than ``epochs`` times; a null doc_id is hashed as the empty text; of documents with equal hashes
+the one with the smaller doc_id, then size comes first, and equal rows in any order; very long texts are counted whole;
+repeated rows are documents of their own; an empty table returns no rows; extra columns are kept, whatever their names,
+unless a result column has their name.
 """
 
 from __future__ import annotations
@@ -59,9 +62,11 @@ def targets(sizes: DataFrame, weights: list[float], share: float, epochs: float)
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target, times (how often the mix repeats the document) and taken (words)."""
     new = ["size", "source_size", "target", "times", "taken"]
-    other = [c for c in docs.columns if c not in new]
-    own = docs.select(*other).withColumn("size", size_words() if "text" in other else F.col("size").cast("long"))
-    return _mix(own, weights, share, epochs, seed).select(*other, *new)
+    other = [c for c in docs.columns if c.lower() not in new]
+    size = size_words() if "text" in docs.columns else F.col("size").cast("long")
+    # The caller's columns travel as one, so that their names meet none of ours.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), size.alias("size"))
+    return _mix(own, weights, share, epochs, seed).select("row.*", *new)
 
 
 def _mix(own: DataFrame, weights: list[float], share: float, epochs: float, seed: int) -> DataFrame:
@@ -89,7 +94,7 @@ def _mix(own: DataFrame, weights: list[float], share: float, epochs: float, seed
     at = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     edge = full.filter(ends).withColumn("more", (2 * at + F.col("size") <= 2 * F.col("need")).cast("long"))
     rest = full.filter(~ends).withColumn("more", (F.col("ahead") < F.col("need")).cast("long"))
-    times = F.col("whole") + F.when(F.col("source_size") > 0, F.col("more")).otherwise(0)
+    times = F.col("whole") + F.when((F.col("source_size") > 0) & (F.col("need") > 0), F.col("more")).otherwise(0)
     return edge.unionByName(rest).withColumns({"times": times}).withColumn("taken", F.col("times") * F.col("size"))
 
 
@@ -101,8 +106,9 @@ def digest(docs: DataFrame, weights: list[float], share: float, epochs: float, s
 
 def repeated(docs: DataFrame, weights: list[float], share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixed table: each document of docs as often as the mix takes it, with the columns of docs."""
-    mixed = mix(docs, weights, share, epochs, seed).filter("times > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"), "doc_id", "source", size_words().alias("size"))
+    mixed = mix(whole, weights, share, epochs, seed).filter("times > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("whole_row.*")
 
 
 def sql(weights: list[float], share: float, epochs: float, seed: int) -> str:

@@ -15,8 +15,9 @@ moves on only if places and the distance of bit sketches leave a link possible;
 holds one component then or has had all its pairs ruled out: no link that joins two components is lost.
 
 Defined results: null or wordless texts have n_shingles 0 and component_id = doc_id; texts of fewer than ``words`` words
-have one shingle, their whole sequence; repeated rows each return a row; a null doc_id ranks below all others but is
-returned as null; an empty table returns no rows; extra columns are ignored.
+have one shingle, their whole sequence; very long texts are read whole; repeated rows each return a row; a null doc_id
+ranks below all others but is returned as null; an empty table returns no rows; extra columns are ignored, and kept by
+``one_of_each`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, dealt, did, gathered, longs, mix, partitions, shingles, small, stored, texts
+from .common import NULL_ID, dealt, did, forget, gathered, longs, mix, partitions, shingles, small, stored, texts
 
 U64 = np.uint64
 #: Bands of set sizes [L, 4 L).  Below PLAIN a part is a single shingle; from there on a sketch has 2 L parts.
@@ -127,7 +128,7 @@ def _hot(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (key null, name, did, n) for each document and (key, name) for each part that two different sets send."""
+    """Rows (key null, name, did, hash, n) for each document and (key, name) for each part that two different sets send."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(_hot(docs, words))
     parts = partitions(spark)
@@ -153,11 +154,11 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
             held = 0
 
         for batch in batches:
-            ids = longs(batch.column(0))
-            for i, data in zip(ids, texts(batch.column(1)), strict=True):
+            ids, hashes = longs(batch.column(0)), longs(batch.column(2))
+            for i, data, h in zip(ids, texts(batch.column(1)), hashes, strict=True):
                 u = shingles(data, words)
                 name = set_name(u) if len(u) else np.int64(0)
-                rows.append(np.array([i, name, len(u)], np.int64).tobytes() + bits(u))
+                rows.append(np.array([i, name, len(u), h], np.int64).tobytes() + bits(u))
                 own, at = sent(u, percent, hot.value)
                 keys.append(own)
                 places.append(at)
@@ -174,10 +175,11 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
             if not docs:
                 kept.append(batch)
                 continue
-            head = np.frombuffer(b"".join([x[:24] for x in docs]), np.int64).reshape(-1, 3)
+            head = np.frombuffer(b"".join([x[:32] for x in docs]), np.int64).reshape(-1, 4)
+            none = pa.nulls(len(docs), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int64()), pa.array(head[:, 1]), pa.array(head[:, 0]), pa.array(head[:, 2]), pa.array([x[24:] for x in docs], pa.binary())],
-                ["key", "place", "name", "did", "n", "bits"],
+                [none, none, pa.array(head[:, 1]), pa.array(head[:, 0]), pa.array(head[:, 2]), pa.array(head[:, 3]), pa.array([x[32:] for x in docs], pa.binary())],
+                ["key", "place", "name", "did", "n", "hash", "bits"],
             )
             kept.append(batch.filter(batch.column("key").is_valid()))
         got = gathered(kept, {"key": U64, "name": np.int64, "place": np.int32})
@@ -195,12 +197,12 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for a in range(0, len(k), step):
             x, y, z = k[a : a + step].view(np.int64), f[a : a + step], at[a : a + step].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x), pa.array(z), pa.array(y), *[pa.nulls(len(x), pa.int64())] * 2, pa.nulls(len(x), pa.binary())],
-                ["key", "place", "name", "did", "n", "bits"],
+                [pa.array(x), pa.array(z), pa.array(y), *[pa.nulls(len(x), pa.int64())] * 3, pa.nulls(len(x), pa.binary())],
+                ["key", "place", "name", "did", "n", "hash", "bits"],
             )
 
-    blobs = docs.select("did", "text").mapInArrow(emit, "bucket int, key binary, name binary, place binary, doc binary")
-    return blobs.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "key long, place long, name long, did long, n long, bits binary")
+    blobs = docs.select("did", "text", F.xxhash64("text")).mapInArrow(emit, "bucket int, key binary, name binary, place binary, doc binary")
+    return blobs.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "key long, place long, name long, did long, n long, hash long, bits binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,8 +214,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = label.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "c").alias("to"))
         jump = step.join(label.toDF("to", "root"), "to", "left")
         now = stored(jump.select("node", "was", F.least("to", F.coalesce("root", "to")).alias("comp")), "label")
-        label = now.select("node", "comp")
+        forget(label)
+        label = now.drop("was")
+        label.stored_path = now.stored_path
         if now.filter("was <> comp").isEmpty():
+            forget(both)
             return label
 
 
@@ -276,7 +281,9 @@ def _alive(own: DataFrame, order: Column) -> DataFrame:
     slice_ = F.pmod(F.xxhash64("name"), F.coalesce("more", F.lit(1))).cast("int")
     rows = own.join(large, "key", "left").withColumn("slice", slice_).drop("more")
     each = leaders.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    return stored(rows.join(each, ["key", "slice"]), "live")
+    live = stored(rows.join(each, ["key", "slice"]), "live")
+    forget(leaders)
+    return live
 
 
 def _stars(live: DataFrame, percent: int) -> DataFrame:
@@ -387,12 +394,12 @@ def _half_folded(rows: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text, ...): two documents link when
-    100 * |A & B| >= percent * |A | B|; component_id is the smallest doc_id reachable by links."""
+def linked(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """did, hash (of the text), n and comp for each row of docs: the number of shingles, and a name of the component
+    (null without shingles)."""
     docs = docs.select("doc_id", "text").withColumn("did", did())
     table = stored(_sets_and_parts(docs, words, percent), "parity")
-    rows = table.filter("key is null").select("did", "name", "n")
+    rows = table.filter("key is null").select("did", "name", "n", "hash")
     bit = table.filter("key is null").select("name", "bits").dropDuplicates(["name"])
     parts = table.filter("key is not null").select("key", "name", "place")
     # A name stands for one set: (name, n) would do the same with one more column to carry.
@@ -410,15 +417,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         ends = label.select("name", "comp")
         found = links.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").filter("ca <> cb")
         edges = stored(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joined")
-        if edges.isEmpty():
-            return 0
-        to = stored(components(edges).toDF("comp", "to"), "to")
-        label = stored(label.join(to, "comp", "left").select("name", "n", F.coalesce("to", "comp").alias("comp")), "comps")
-        return to.filter("comp <> to").count()
-
-    turn = 0
+        n = 0
+        if not edges.isEmpty():
+            to = stored(components(edges).toDF("comp", "to"), "to")
+            old, label = label, stored(label.join(to, "comp", "left").select("name", "n", F.coalesce("to", "comp").alias("comp")), "comps")
+            n = to.filter("comp <> to").count()
+            forget(old, to)
+        forget(pairs, close, needed, edges)
+        return n
+
+    turn, live = 0, None
     while True:
-        live = _alive(parts.join(label, "name"), F.xxhash64("name") if turn else F.col("name"))
+        old, live = live, _alive(parts.join(label, "name"), F.xxhash64("name") if turn else F.col("name"))
+        if old is not None:
+            forget(old)
         left = live.select("name").distinct().count()
         if not left:
             break
@@ -433,9 +445,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
             joined(stored(_blocks(_alive(parts.join(label, "name"), F.col("name")), nodes, percent), "pairs"))
             break
         turn += 1
-    named = rows.join(label.select("name", "comp"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-    least = named.filter("n > 0").groupBy("comp").agg(F.min("did").alias("least"))
-    out = named.filter("n > 0").join(least, "comp").select("did", "n", "least")
-    out = out.union(rows.filter("n = 0").select("did", "n", F.col("did").alias("least")))
+    named = rows.filter("n > 0").join(label.select("name", "comp"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+    return named.select("did", "hash", "n", "comp").union(rows.filter("n = 0").select("did", "hash", "n", F.lit(None).cast("long")))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text, ...): two documents link when
+    100 * |A & B| >= percent * |A | B|; component_id is the smallest doc_id reachable by links."""
+    rows = linked(docs, words, percent)
+    least = rows.filter("comp is not null").groupBy("comp").agg(F.min("did").alias("least"))
+    out = rows.join(least, "comp", "left").withColumn("least", F.coalesce("least", "did"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id, then the least hash of its text, and any of
+    rows that are equal in both. Rows without shingles stay."""
+    texted = stored(linked(docs, words, percent).filter("comp is not null").groupBy("did", "hash").agg(F.min("comp").alias("comp"), F.count("*").alias("times")), "texted")
+    first = texted.groupBy("comp").agg(F.min(F.struct("did", "hash")).alias("first"))
+    judged = texted.join(first, "comp").withColumn("stays", F.struct("did", "hash") == F.col("first"))
+    # Rows that go, and those of which one is to be taken; all others stay as they are.
+    some = stored(judged.filter("not stays or times > 1").select("did", "hash", "stays"), "some")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, did().alias("did"), F.xxhash64("text").alias("hash"))
+    out = own.join(small(some), ["did", "hash"], "left_anti").select("row")
+    repeated = own.join(small(some.filter("stays")), ["did", "hash"], "left_semi").groupBy("did", "hash").agg(F.first("row").alias("row"))
+    return out.union(repeated.select("row")).select("row.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, did, fold, gathered, grams, longs, mix, dealt, partitions, small, stored, texts
+from .common import did, fold, forget, gathered, grams, longs, mix, dealt, partitions, small, stored, texts
 
 U64 = np.uint64
 #: The length of a string, and the bytes of an anchor.
@@ -358,6 +358,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     # Texts move to their anchors at every size: a broadcast would only suit small inputs.
     some = plain.join(anchors, ["did", "name"])
     starts = stored(_starts(some.select("did", "name", "text", "at")), "starts")
+    forget(anchors)
     runs = starts.groupBy("did", "name").agg(F.collect_list("starts").alias("starts"))
     copies = first.filter("n > 1").select("name", "md5", F.col("did").alias("least"))
 
@@ -372,8 +373,10 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
     kind = "array<struct<start:bigint,end:bigint>>"
     spans = stored(runs.mapInArrow(cover, f"did long, name long, spans {kind}"), "spans")
+    copies = stored(copies, "copies")
+    forget(starts, first)
     out = own.join(small(spans, 16 * F.size("spans")), ["did", "name"], "left").withColumn("md5", F.md5(text))
-    out = out.join(small(stored(copies, "copies"), F.lit(40)), ["name", "md5"], "left")
+    out = out.join(small(copies, F.lit(40)), ["name", "md5"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text).cast("long").alias("end")))
     value = F.when(F.col("did") > F.col("least"), whole).otherwise(F.coalesce("spans", F.array().cast(kind)))
     return out.select("row.*", value.alias("spans"))

@@ -39,15 +39,18 @@ class Words:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _letters(self, word: str) -> bool:
+        return word.isascii() or self.tokenizer.normalizer.normalize_str(word).isalpha()
+
     def _learn(self, parts: list[list[str]]) -> list[str]:
         """Makes the ids of all words of parts known; returns the words for which there is no room afterwards."""
         known = self.known
         unknown = set().union(*parts).difference(known)
         if not unknown:
             return []
-        # Letters and the punctuation after them are words of their own to the tokenizer, unless its lower case of the
-        # letters ends in a combining mark.
-        split = {w: (s, w[len(s) :]) for w in unknown if len(s := w.rstrip(_AFTER)) < len(w) and s.isalpha() and s.lower().isalpha()}
+        # Letters and the punctuation after them are words of their own to the tokenizer, if its normaliser leaves
+        # letters alone: some become a letter and a combining mark.
+        split = {w: (s, w[len(s) :]) for w in unknown if len(s := w.rstrip(_AFTER)) < len(w) and s.isalpha() and self._letters(s)}
         single = list({x for w in unknown for x in split.get(w, (w,))}.difference(known))
         room = CACHE - len(known)
         known.update(zip(single, self.encode(single), strict=True))
