@@ -420,7 +420,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         n = 0
         if not edges.isEmpty():
             to = stored(components(edges).toDF("comp", "to"), "to")
-            old, label = label, stored(label.join(to, "comp", "left").select("name", "n", F.coalesce("to", "comp").alias("comp")), "comps")
+            old, label = label, stored(label.join(small(to), "comp", "left").select("name", "n", F.coalesce("to", "comp").alias("comp")), "comps")
             n = to.filter("comp <> to").count()
             forget(old, to)
         forget(pairs, close, needed, edges)
@@ -453,8 +453,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text, ...): two documents link when
     100 * |A & B| >= percent * |A | B|; component_id is the smallest doc_id reachable by links."""
     rows = linked(docs, words, percent)
-    least = rows.filter("comp is not null").groupBy("comp").agg(F.min("did").alias("least"))
-    out = rows.join(least, "comp", "left").withColumn("least", F.coalesce("least", "did"))
+    # A component may hold a large share of all rows: the smallest id of each reaches them without an exchange of rows by
+    # component, if the table of those with several ids is counted to be small.
+    several = rows.filter("comp is not null").groupBy("comp").agg(F.min("did").alias("least"), F.max("did").alias("most"))
+    least = stored(several.filter("least < most").select("comp", "least"), "least")
+    out = rows.join(small(least), "comp", "left").withColumn("least", F.coalesce("least", "did"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"))
 
@@ -463,8 +466,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     """docs with one row of each component: the one with the smallest doc_id, then the least hash of its text, and any of
     rows that are equal in both. Rows without shingles stay."""
     texted = stored(linked(docs, words, percent).filter("comp is not null").groupBy("did", "hash").agg(F.min("comp").alias("comp"), F.count("*").alias("times")), "texted")
-    first = texted.groupBy("comp").agg(F.min(F.struct("did", "hash")).alias("first"))
-    judged = texted.join(first, "comp").withColumn("stays", F.struct("did", "hash") == F.col("first"))
+    alone = F.struct("did", "hash")
+    first = texted.groupBy("comp").agg(F.min(alone).alias("first"), F.count("*").alias("members"))
+    first = stored(first.filter("members > 1").select("comp", "first"), "first")
+    judged = texted.join(small(first), "comp", "left").withColumn("stays", F.col("first").isNull() | (alone == F.col("first")))
     # Rows that go, and those of which one is to be taken; all others stay as they are.
     some = stored(judged.filter("not stays or times > 1").select("did", "hash", "stays"), "some")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
