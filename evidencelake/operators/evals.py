@@ -91,3 +91,39 @@ def facets(rows: DataFrame, names: list[str], *aggregates: Column) -> DataFrame:
     """(facet, value, ...): one row for each value of each column, from one pass."""
     wide = rows.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(n).alias("facet"), F.col(n).cast("string").alias("value")) for n in names])))
     return wide.groupBy(F.col("_f.facet").alias("facet"), F.col("_f.value").alias("value")).agg(*aggregates)
+
+
+def span_states(claims: DataFrame) -> DataFrame:
+    """claims (a, b, quote, text, ...) with state: the first thing that is wrong with a quote from lines a to b (from 1), or
+    ok."""
+    plain = lambda c: F.regexp_replace(c, r"\s+", " ")
+    lines = F.split("text", "\n", -1)
+    span = F.when(F.col("b") >= F.col("a"), F.array_join(F.slice(lines, F.col("a"), F.greatest(F.lit(0), F.col("b") - F.col("a") + 1)), "\n")).otherwise("")
+    state = (
+        F.when(F.col("b") < F.col("a"), "lines are out of order")
+        .when(F.col("b") - F.col("a") + 1 > 21, "span is too long")
+        .when(F.char_length("quote") < 12, "quote is too short")
+        .when(F.contains(span, F.col("quote")), "ok")
+        .when(F.contains(plain(span), plain(F.col("quote"))), "ok but for white space")
+        .when(F.contains("text", F.col("quote")), "stands elsewhere")
+        .otherwise("not found")
+    )
+    return claims.withColumn("state", state)
+
+
+def least_sample(total: Column, bad: Column, risk: float) -> Column:
+    """The smallest sample of ``total`` that misses all ``bad`` ones with a probability of ``risk`` at most: each draw
+    multiplies it by the share of good ones that are left."""
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(0).cast("long").alias("n"))
+
+    def draw(s: Column, _: Column) -> Column:
+        left = s["p"] * (total - bad - s["n"]) / (total - s["n"])
+        return F.when(s["p"] > risk, F.struct(left.alias("p"), (s["n"] + 1).alias("n"))).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), total), start, draw)["n"]
+
+
+def contract(evidence: DataFrame) -> DataFrame:
+    """(query, groups, met, complete) of evidence (query, grp, there): a group is met by any, a query by all its groups."""
+    g = evidence.groupBy("query", "grp").agg(F.bool_or("there").alias("met"))
+    return g.groupBy("query").agg(F.count("*").alias("groups"), F.count_if("met").alias("met"), F.bool_and("met").alias("complete"))

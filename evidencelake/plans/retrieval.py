@@ -218,34 +218,3 @@ def coverage_receipt(t: Tables) -> DataFrame:
     sums = t.documents.agg(F.countDistinct(F.sha2("text", 256)).alias("distinct_texts"), F.count("*").alias("indexed"))
     matched = t.index.scores(TERMS).agg(F.count("*").alias("matched"))
     return sums.crossJoin(matched).withColumn("status", F.when(F.col("matched") == 0, "NOT_FOUND").otherwise("FOUND"))  # one row each
-
-
-_TRIGGERS = [("alpha", "the", 1.0), ("alpha", "of the", 1.5), ("beta", "les", 1.0), ("gamma", "und", 2.0), ("gamma", "/plan", 1.0)]
-_TRIGGER_SQL = ", ".join(f"('{r}', '{p}', {w})" for r, p, w in _TRIGGERS)
-
-
-@query(
-    f"WITH g(route, phrase, priority) AS (VALUES {_TRIGGER_SQL}), m AS (SELECT conv_id, turn, route, (CASE WHEN phrase LIKE '/%' THEN 4 ELSE len(string_split(phrase, ' ')) END) * priority AS w "
-    "FROM conversations JOIN g ON contains(' ' || lower(text) || ' ', ' ' || phrase || ' ')), r AS (SELECT conv_id, turn, route, CAST(sum(w) AS DOUBLE) AS score FROM m GROUP BY ALL) "
-    "SELECT conv_id, turn, route, score FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, route) <= 2"
-)
-def route_score(t: Tables) -> DataFrame:
-    """The two best routes of each prompt: matched triggers by their tokens and priority."""
-    triggers = t._spark.createDataFrame(_TRIGGERS, "route string, phrase string, priority double")
-    hit = F.expr("contains(concat(' ', lower(text), ' '), concat(' ', phrase, ' '))")
-    weight = F.when(F.col("phrase").startswith("/"), 4).otherwise(F.size(F.split("phrase", " "))) * F.col("priority")
-    scored = t.conversations.join(F.broadcast(triggers), hit).groupBy("conv_id", "turn", "route").agg(F.sum(weight).cast("double").alias("score"))  # five triggers
-    best = Window.partitionBy("conv_id", "turn").orderBy(F.desc("score"), "route")
-    return scored.withColumn("n", F.row_number().over(best)).filter("n <= 2").drop("n")
-
-
-@query(
-    "WITH a AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS users, count(*) FILTER (contains(lower(text), 'the')) AS hits FROM conversations GROUP BY conv_id) "
-    "SELECT conv_id, CASE WHEN hits = 0 THEN 'NOT_FOUND' WHEN users = 0 THEN 'PARTIAL' WHEN hits = n THEN 'SUPPORTED' WHEN hits >= users THEN 'USER_STATED' ELSE 'PARTIAL' END AS status FROM a"
-)
-def evidence_gate(t: Tables) -> DataFrame:
-    hit = F.contains(F.lower("text"), F.lit("the"))
-    a = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("users"), F.count_if(hit).alias("hits"))
-    n, users, hits = F.col("n"), F.col("users"), F.col("hits")
-    status = F.when(hits == 0, "NOT_FOUND").when(users == 0, "PARTIAL").when(hits == n, "SUPPORTED").when(hits >= users, "USER_STATED").otherwise("PARTIAL")
-    return a.select("conv_id", status.alias("status"))

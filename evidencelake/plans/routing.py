@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 from .base import Tables, query
 
 
-@query(
-    "WITH a AS (SELECT source, count(*) AS n, count(DISTINCT sha256(text)) AS distinct_texts, count(*) FILTER (length(text) < 100) AS short FROM documents GROUP BY source) "
-    "SELECT source, CASE WHEN n = 0 THEN 'missing' WHEN distinct_texts < n * 0.9 THEN 'degraded' WHEN short > 0 THEN 'stale' ELSE 'ok' END AS overall FROM a"
-)
-def health_ladder(t: Tables) -> DataFrame:
-    """The first rung that applies to each source."""
-    a = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct(F.sha2("text", 256)).alias("d"), F.count_if(F.char_length("text") < 100).alias("short"))
-    overall = F.when(F.col("n") == 0, "missing").when(F.col("d") < F.col("n") * 0.9, "degraded").when(F.col("short") > 0, "stale").otherwise("ok")
-    return a.select("source", overall.alias("overall"))
-
-
 @query(
     "WITH v AS (SELECT * FROM (VALUES (8.0, 0), (5.0, 1), (1.5, 2)) x(w, m)), r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY m ORDER BY length(text) DESC, doc_id) AS pos FROM documents JOIN v ON doc_id % 3 <> m), "
     "f AS (SELECT doc_id, sum(w / (40 + pos)) AS score FROM r WHERE pos <= 80 GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score FROM f"
@@ -34,26 +23,6 @@ def weighted_fusion(t: Tables) -> DataFrame:
     return out.groupBy("doc_id").agg(F.round(F.sum("c"), 6).alias("score"))
 
 
-@query(
-    "SELECT doc_id, CASE WHEN length(text) <= 160 THEN 'inline' WHEN length(text) <= 600 THEN 'brief' ELSE 'full' END AS tier, "
-    "CASE WHEN source LIKE 'src1%' THEN 'canonical' WHEN lang = 'en' THEN 'reference' ELSE 'other' END AS authority FROM documents"
-)
-def delivery_tiers(t: Tables) -> DataFrame:
-    n = F.char_length("text")
-    tier = F.when(n <= 160, "inline").when(n <= 600, "brief").otherwise("full")
-    authority = F.when(F.col("source").startswith("src1"), "canonical").when(F.col("lang") == "en", "reference").otherwise("other")
-    return t.documents.select("doc_id", tier.alias("tier"), authority.alias("authority"))
-
-
-@query(
-    "SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' AND turn > 0 AND regexp_matches(lower(text), '(^|[^a-z])(no|not|wrong|non|nein)([^a-z]|$)') GROUP BY conv_id"
-)
-def corrections(t: Tables) -> DataFrame:
-    """The first later row of a user that corrects."""
-    said = F.rlike(F.lower("text"), F.lit("(^|[^a-z])(no|not|wrong|non|nein)([^a-z]|$)"))
-    return t.conversations.filter((F.col("role") == "user") & (F.col("turn") > 0) & said).groupBy("conv_id").agg(F.min("turn").alias("turn"))
-
-
 @query(
     "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS used FROM lineitem"
 )
