@@ -67,12 +67,14 @@ def forget(*tables: DataFrame) -> None:
             place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of at most ``rows`` rows from now on, so that texts in flight between the JVM and Python workers
-    take little memory. Results do not depend on it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes from now on, so that texts and sets in flight between
+    the JVM and Python workers take little memory. Spark reads both settings when a plan runs, which the caller does, so
+    they stay set in the session; results do not depend on them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(str(spark.conf.get(key, "0")).rstrip("bB") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
