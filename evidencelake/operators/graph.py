@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-#: Spreading: share passed on, factor of a link followed backwards, degree from which a node is a hub, least activation
-#: (fixed values).
-DECAY, BACK, HUB, LEAST = 0.5, 0.8, 24, 0.005
+#: Spreading: share passed on, factor of a link followed backwards, degree from which a node is a hub, least activation,
+#: most active nodes (fixed values).
+DECAY, BACK, HUB, LEAST, NODES = 0.5, 0.8, 24, 0.005, 64
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -71,6 +71,52 @@ def spread(seeds: DataFrame, edges: DataFrame, degree: DataFrame, hops: int = 1)
     return active
 
 
+def _contributions(front: DataFrame, links: DataFrame, degree: DataFrame) -> DataFrame:
+    """(u, du, v, c, via): what each node of front (node, activation, via) would pass on over links (src, dst, rel): the
+    strongest way to each neighbour, followed backwards at BACK, and twice its relevance more."""
+    factor = 1 + 2 * F.col("rel")
+    ways = links.select(F.col("src").alias("u"), F.col("dst").alias("v"), factor.alias("w")).union(links.select("dst", "src", BACK * factor))
+    deg = degree.select("node", F.greatest("degree", F.lit(1)).alias("d"))
+    ways = ways.groupBy("u", "v").agg(F.max("w").alias("w")).join(deg.toDF("u", "du"), "u").join(deg.toDF("v", "dv"), "v")
+    met = front.join(ways, front["node"] == ways["u"])
+    return met.select("u", "du", "v", (F.col("activation") * DECAY * F.col("w") / F.col("du") / F.sqrt("dv")).alias("c"), "via")
+
+
+def _hop(active: DataFrame, front: DataFrame, links: DataFrame, degree: DataFrame) -> DataFrame:
+    """(node, gain, via, known): what nodes gain in a step, the way of the largest part, and whether they were active."""
+    c = _contributions(front, links, degree).filter((F.col("du") <= HUB) & (F.col("c") >= LEAST))
+    gained = c.groupBy(F.col("v").alias("node")).agg(F.sum("c").alias("gain"), F.max_by(F.concat("via", F.lit(">"), F.col("v").cast("string")), "c").alias("via"))
+    return gained.join(active.select("node", F.lit(True).alias("known")), "node", "left")
+
+
+def spread_traced(seeds: DataFrame, links: DataFrame, degree: DataFrame, hops: int = 2, most: int = NODES) -> DataFrame:
+    """(node, activation, hop, via) after ``hops`` steps from seeds (node, activation) over links (src, dst, rel). A step
+    that would make more than ``most`` nodes active is undone and is the last."""
+    active = cut(seeds.select("node", "activation", F.lit(0).alias("hop"), F.col("node").cast("string").alias("via")))
+    front = active
+    for k in range(1, hops + 1):
+        gained = cut(_hop(active, front, links, degree))
+        new = gained.filter("known is null").select("node", F.least(F.lit(1.0), F.col("gain")).alias("activation"), F.lit(k).alias("hop"), "via")
+        if active.count() + new.count() > most:
+            break
+        stronger = active.join(gained.select("node", "gain"), "node", "left").select("node", F.least(F.lit(1.0), F.col("activation") + F.coalesce("gain", F.lit(0.0))).alias("activation"), "hop", "via")
+        active, front = cut(stronger.union(new)), new
+    return active
+
+
+def spread_counters(seeds: DataFrame, links: DataFrame, degree: DataFrame, most: int = NODES) -> DataFrame:
+    """One row for the first step: hubs among the seeds, contributions below the threshold, nodes reached anew, and
+    whether they are few enough."""
+    front = seeds.select("node", "activation", F.col("node").cast("string").alias("via"))
+    hubs = seeds.join(degree, "node").agg(F.count_if(F.greatest("degree", F.lit(1)) > HUB).alias("hubs"))
+    c = _contributions(front, links, degree).filter(F.col("du") <= HUB)
+    weak = c.agg(F.count_if(F.col("c") < LEAST).alias("below_threshold"))
+    new = _hop(seeds, front, links, degree).agg(F.count_if(F.col("known").isNull()).alias("reached"))
+    total = seeds.agg(F.count("*").alias("seeds"))
+    one = hubs.crossJoin(weak).crossJoin(new).crossJoin(total)  # one row each
+    return one.select("hubs", "below_threshold", "reached", (F.col("seeds") + F.col("reached") <= most).alias("fits"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, cycle): nodes of strongly connected components of more than one node, named by their least. Labels only, no
     paths: nodes that cannot be in a cycle go first; then the largest node that reaches a node colours it, the nodes of a
