@@ -72,7 +72,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20)
     the JVM and Python workers take little memory. Spark reads both settings when a plan runs, which the caller does, so
     they stay set in the session; results do not depend on them."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = int(str(spark.conf.get(key, "0")).rstrip("bB") or 0)
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
