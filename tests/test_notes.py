@@ -45,20 +45,60 @@ def test_chunks_give_the_text_back():
 
 
 def test_blocks_keep_places_and_headings():
-    for lo, hi, chain, body in notes.blocks(NOTE):
-        assert NOTE[lo:hi] == body
-        assert chain in ("", "Boat", "Boat > Hull")
-    assert notes.blocks(NOTE)[-1][2] == "Boat > Hull"
+    found = notes.blocks(NOTE)
+    assert all(NOTE[lo:hi] == body for lo, hi, _, body in found)
+    assert [chain for *_, chain, _ in found] == ["", "", "", "Hull"][-len(found) :] and "aliases" not in found[0][3]
+    long = "## A\n\n" + "x" * 3000 + "\nshort"
+    assert "".join(b for *_, b in notes.blocks(long)).replace("\n", "") == long.replace("\n", "") and all(len(b) <= notes.BLOCK for *_, b in notes.blocks(long))
 
 
-def test_greedy_pack_respects_its_limits():
-    items = [{"path": f"p{k % 3}", "lo": 10 * k, "hi": 10 * k + 8, "score": 1.0 + k % 5, "cost": 10 + k, "terms": [f"t{k % 4}"]} for k in range(20)]
-    taken = notes.greedy_pack(items, 120)
-    assert sum(p["cost"] for p in taken) <= 120 and all(sum(q["path"] == p["path"] for q in taken) <= 3 for p in taken)
+def test_rows_know_fences_quotes_lists_and_code():
+    text = "> ```\n> [[a]]\n> ```\n- item\n\n    [[kept]]\n\nplain\n\n    [[code]]\n~~~\n[[b]]\n```\n~~~\n# Head #\n####### none"
+    assert [r.kind for r in notes.rows(text)] == ["fence"] * 3 + ["text", "blank", "text", "blank", "text", "blank", "code"] + ["fence"] * 4 + ["heading", "text"]
+    assert [x[1] for x in notes.links(text)] == ["kept"]
+    assert notes.headings(text) == [(15, 1, "Head")]
+
+
+def test_links_between_brackets():
+    row = "[[a|b]] ``[[no]]`` ![[p.png]] [x](<my note.md> \"t\") [y](http://x.y/) [z](#here) [w](f/) [[c#h#^blk]] ![i](j.png) [u](v%20w.md#T%20U)"
+    assert [tuple(x) for x in notes.scan(row)] == [
+        ("wikilink", "a", "", ""), ("embed", "p.png", "", ""), ("mdlink", "my note.md", "", ""), ("wikilink", "c", "", "blk"), ("mdlink", "v w.md", "T U", ""),
+    ]
+
+
+def test_frontmatter_values_and_their_lines():
+    text = "---\n# about\nrelated: ['it''s', \"a, \\\"b\\\"\", plain]  \nup: one # why\nodd line\nparent:\n  - x\n  - \"[[y]]\"\n---\n"
+    assert notes.frontmatter_lines(text) == ({"related": [("it's", 3), ('a, "b"', 3), ("plain", 3)], "up": [("one", 4)], "parent": [("x", 7), ("[[y]]", 8)]}, 1)
+
+
+def passage(path, lo, score, tokens, terms, text=None):
+    return {"path": path, "lo": lo, "hi": lo + 8, "score": score, "tokens": tokens, "terms": terms, "text": text or f"{path}:{lo}"}
+
+
+def test_packer_respects_its_limits():
+    items = [passage(f"p{k % 3}", 10 * k, 1.0 + k % 5, 10 + k, [f"t{k % 4}"]) for k in range(20)]
+    taken = notes.Packer({"t0", "t1", "t2", "t3"}, 120).fill(items)
+    assert sum(p["tokens"] for p in taken) <= 120 and all(sum(q["path"] == p["path"] for q in taken) <= 3 for p in taken)
+    small = notes.Packer({"t0"}, 10_000, characters=10, source_characters=5).fill(items)
+    assert sum(len(p["text"]) for p in small) <= 10
+
+
+def test_packer_weighs_utility_against_the_floor():
+    # 0.15 alone is below 0.2 of the best, but a new term of two is worth a quarter of the best score more.
+    items = [passage("a", 0, 1.0, 10, ["x"]), passage("b", 0, 0.15, 10, ["y"]), passage("c", 0, 0.15, 10, ["x"])]
+    assert [p["path"] for p in notes.Packer({"x", "y"}, 100).fill(items)] == ["a", "b"]
+    # all covered: the floor is 0.6 of the best
+    items = [passage("a", 0, 1.0, 10, ["x"]), passage("b", 0, 0.55, 10, ["x"]), passage("c", 0, 0.6, 10, ["x"]), passage("d", 0, 0.9, 10, ["x"], "a:0")]
+    packer = notes.Packer({"x"}, 100)
+    assert [p["path"] for p in packer.fill(items)] == ["a", "c"] and [p["path"] for p in packer.duplicates] == ["d"]
 
 
 def test_hard_tokens():
-    assert notes.hard_tokens('On 2024-05-01 the "north gate" opened at 10:30 for 1,200 people (ID-77).') == ["north gate", "2024-05-01", "10:30", "ID-77", "1,200"]
+    claim = 'On 5 March 2024 Harbor Board paid $48,000 to foo.bar() at 10:30:15, see "north gate" on 2024-05-01 (ID-77), https://x.org/a'
+    assert notes.hard_tokens(claim) == [
+        ("date", "5 March 2024"), ("name", "Harbor Board"), ("number", "$48,000"), ("identifier", "foo.bar()"), ("time", "10:30:15"), ("quote", "north gate"),
+        ("date", "2024-05-01"), ("identifier", "ID-77"), ("url", "https://x.org/a"),
+    ]
 
 
 def test_notes_as_tables(spark, tmp_path):
