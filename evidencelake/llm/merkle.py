@@ -13,11 +13,14 @@ is found within the bucket, and the first row of each bucket goes to the bucket
 
 Defined results: null is the empty text (one section, one paragraph, one empty leaf); rows that repeat a doc_id follow
 each other by text; a null doc_id comes first; in a table of one row the next document is the row itself; an empty table
-returns no rows; extra columns are ignored.
+returns no rows; extra columns are ignored; of equal doc_ids the lesser text comes first; very long texts are read whole, in
+time that grows with their length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +31,30 @@ LEAF, SHORT = 8, 8
 BUCKET, BUCKETS_MOST = 8 << 20, 1 << 14
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it, also within its own lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _leaves(paragraph: Column) -> Column:
-    words = F.split(paragraph, " ")
-    turns = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / LEAF).cast("int"))
-    return F.transform(turns, lambda i: F.md5(F.array_join(F.slice(words, i * LEAF + 1, LEAF), " ").cast("binary")))
+    def cut(words: Column) -> Column:
+        turns = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / LEAF).cast("int"))
+        return F.transform(turns, lambda i: F.md5(F.array_join(F.slice(words, i * LEAF + 1, LEAF), " ").cast("binary")))
+
+    return _let(F.split(paragraph, " "), cut)
 
 
 def tree(text: Column) -> Column:
     """array of sections, each (digest, leaves): leaves are the digests of its paragraphs' leaves, in order."""
     sections = F.split(F.coalesce(text, F.lit("")), "\n\n")
 
-    def section(s: Column) -> Column:
-        paragraphs = F.transform(F.split(s, "\n"), _leaves)
+    def joined(paragraphs: Column) -> Column:
         nodes = F.transform(paragraphs, lambda leaves: F.md5(F.array_join(leaves, "").cast("binary")))
         return F.struct(F.md5(F.array_join(nodes, "").cast("binary")).alias("digest"), F.flatten(paragraphs).alias("leaves"))
 
+    def section(s: Column) -> Column:
+        return _let(F.transform(F.split(s, "\n"), _leaves), joined)
+
     return F.transform(sections, section)
 
 
@@ -54,7 +66,7 @@ def fingerprint(sections: Column) -> Column:
     short = lambda s: F.concat(
         F.substring(s["digest"], 1, SHORT), F.lit("="), F.array_join(F.transform(s["leaves"], lambda x: F.substring(x, 1, SHORT)), ".")
     )
-    return F.concat(root(sections), F.lit(":"), F.array_join(F.transform(sections, short), ";"))
+    return _let(sections, lambda x: F.concat(root(x), F.lit(":"), F.array_join(F.transform(x, short), ";")))
 
 
 def leaves(print_: Column) -> Column:
@@ -65,8 +77,7 @@ def leaves(print_: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, 0 to 1."""
-    x, y = leaves(a), leaves(b)
-    share = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    share = _let(F.struct(leaves(a).alias("x"), leaves(b).alias("y")), lambda p: F.size(F.array_intersect(p["x"], p["y"])) / F.size(F.array_union(p["x"], p["y"])))
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(share)
 
 
@@ -93,24 +104,27 @@ def _bucket(ids: Column, cuts: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """did, text and next_text: the text of the next row by doc_id; after the last comes the first."""
-    rows = docs.select(did().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    size, low = rows.agg(F.sum(F.octet_length("text") + 16), F.min("did")).first()
+    """did, text and print (its fingerprint), and next_text and next_print: those of the next row by doc_id; after the last
+    comes the first. Each text's tree is made once, before rows move."""
+    keys = docs.select(did().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    size, low = keys.agg(F.sum(F.octet_length("text") + 16), F.min("did")).first()
+    rows = keys.withColumn("print", fingerprint(tree(F.col("text"))))
     wanted = min(BUCKETS_MOST, int(size or 0) // BUCKET + 1)
     points = [k / wanted for k in range(1, wanted)]
-    cuts = rows.agg(F.percentile_approx("did", points, 20_000)).first()[0] if points else []
+    cuts = keys.agg(F.percentile_approx("did", points, 20_000)).first()[0] if points else []
     cuts = sorted({c for c in cuts or [] if c > low})
     rows = rows.withColumn("bucket", _bucket(F.col("did"), cuts))
     order = Window.partitionBy("bucket").orderBy("did", "text")
-    inside = rows.withColumn("next_text", F.lead("text").over(order))
+    inside = rows.withColumn("next", F.lead(F.struct("text", "print")).over(order))
     # The first row of each bucket: its least doc_id (a number a bucket), and of the rows that have it the least text.
-    least = rows.groupBy("bucket").agg(F.min("did").alias("did"))
-    first = rows.join(F.broadcast(least), ["bucket", "did"]).groupBy("bucket").agg(F.min("text").alias("first_text"))
+    least = keys.withColumn("bucket", _bucket(F.col("did"), cuts)).groupBy("bucket").agg(F.min("did").alias("did"))
+    # BUCKETS_MOST rows at most
+    first = rows.join(F.broadcast(least), ["bucket", "did"]).groupBy("bucket").agg(F.min(F.struct("text", "print")).alias("first"))
     everyone = Window.orderBy("bucket")  # a row a bucket
     turn = F.coalesce(F.lag("bucket").over(everyone), F.max("bucket").over(Window.partitionBy()))
-    ahead = first.select(turn.alias("bucket"), "first_text")
-    out = inside.join(ahead, "bucket")
-    return out.select("did", "text", F.coalesce("next_text", "first_text").alias("next_text"))
+    ahead = first.select(turn.alias("bucket"), "first")
+    out = inside.join(ahead, "bucket").withColumn("next", F.coalesce("next", "first"))
+    return out.select("did", "text", "print", F.col("next.text").alias("next_text"), F.col("next.print").alias("next_print"))
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -128,17 +142,14 @@ def digest(docs: DataFrame) -> DataFrame:
         F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id"),
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        tree(F.col("text")).alias("a"),
-        tree(F.col("edited")).alias("b"),
-        tree(F.col("next_text")).alias("c"),
-    )
-    prints = prints.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), fingerprint(F.col("c")).alias("_next")
+        F.col("print").alias("fingerprint"),
+        fingerprint(tree(F.col("edited"))).alias("edited_fingerprint"),
+        "next_print",
     )
     a = F.col("fingerprint")
     return prints.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(a, F.col("edited_fingerprint")).alias("near_edited"), likeness(a, F.col("_next")).alias("near_next"),
+        likeness(a, F.col("edited_fingerprint")).alias("near_edited"), likeness(a, F.col("next_print")).alias("near_next"),
     )
 
 
