@@ -132,3 +132,52 @@ def test_capped_stream(spark, tmp_path):
     got = spark.table("capped").collect()
     assert sorted((r.session, r.event_id) for r in got if not r.overflow) == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5)]
     assert sorted(r.session for r in got if r.overflow) == [0, 1]
+
+
+def run(stream, folder, name, **options):
+    query = stream.writeStream.format("memory").queryName(name).outputMode(options.get("mode", "append")).option("checkpointLocation", str(folder / name)).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return stream.sparkSession.table(name).collect()
+
+
+def test_smallest_over_frames_in_any_order():
+    import pandas as pd
+
+    frames = [pd.DataFrame({"event_id": x}) for x in ([9, 3], [1], [], [7, 2])]
+    assert ledgers._smallest(iter(frames), "event_id", 3) == ([1, 2, 3], 5)
+
+
+def test_chained_stream(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text("\n".join(json.dumps({"user_id": k % 2, "event_id": 9 - k}) for k in range(6)))
+    stream = spark.readStream.schema("user_id long, event_id long").json(str(tmp_path / "in"))
+    got = sorted((r.session, r.n, r.event_id, r.prev, r.sha) for r in run(ledgers.chained(stream, "user_id"), tmp_path, "chain"))
+    want = []
+    for session, events in ((0, (5, 7, 9)), (1, (4, 6, 8))):
+        prev = ""
+        for n, e in enumerate(events):
+            sha = hashlib.sha256(f"{n}:{prev}:{e}".encode()).hexdigest()
+            want.append((session, n, e, prev, sha))
+            prev = sha
+    assert got == want
+
+
+def test_daily_counts_and_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"ts": f"2024-01-0{1 + k // 3}T0{k}:00:00", "event_type": "a", "event_id": k % 4} for k in range(6)]
+    (tmp_path / "in" / "x.json").write_text("\n".join(map(json.dumps, rows)))
+    stream = lambda: spark.readStream.schema("ts timestamp, event_type string, event_id long").json(str(tmp_path / "in"))
+    got = run(ledgers.daily_counts(stream()), tmp_path, "daily", mode="complete")
+    assert sorted((str(r.day), r.n) for r in got) == [("2024-01-01", 3), ("2024-01-02", 3)]
+    assert sorted(r.event_id for r in run(ledgers.once(stream(), "event_id", "ts", "3 days"), tmp_path, "once")) == [0, 1, 2, 3]
+
+
+def test_index_merger_replaces_changed_notes(spark, tmp_path):
+    merge = ledgers.index_merger(str(tmp_path / "index"))
+    first = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "doc_id long, text string")
+    second = spark.createDataFrame([(2, "deux"), (3, None)], "doc_id long, text string")
+    merge(first, 0), merge(second, 1), merge(second, 1)
+    got = spark.read.parquet(str(tmp_path / "index" / "1")).collect()
+    assert sorted((r.doc_id, r.content) for r in got) == [(1, "one"), (2, "deux")]
