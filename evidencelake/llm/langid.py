@@ -4,14 +4,15 @@ Training counts byte 4-grams of words by language over a bounded sample of the l
 language, a documented parameter; the sample is chosen by a hash of doc_id).  Counts become log probabilities in a table
 of ``CELLS`` hashed 4-grams a language.
 
-Prediction.  The lead bytes of a word give its script; a language is a candidate for the word if at least SCRIPT_SHARE
+Prediction.  The ranges of code points of a word's letters give its script; a language is a candidate for the word if at least SCRIPT_SHARE
 of its training words are in that script (all are, if none is).  Each candidate scores the word by the mean log
 probability of its 4-grams times its number of letters.  Viterbi over the words, with a penalty for each switch, labels
 spans of one language.  The document's language is the one with most bytes in its spans; ``score`` is that share.
 
 Defined results: null text or text without a letter is ``und`` with score 0; ties go to the language first in code-point
 order; repeated rows give equal results; without training data every text is ``und``; an empty table returns no rows;
-columns with the names of results are replaced.
+columns with the names of results are replaced, others kept whatever their names; a null doc_id is the empty text where
+the training documents are chosen; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -34,15 +35,40 @@ CELLS = 1 << 15
 SWITCH = 12.0
 SCRIPT_SHARE = 0.02
 UNKNOWN = "und"
-#: Scripts by the lead byte of a UTF-8 sequence: (first, last, number); 0 is no letter of a known script.
-_SCRIPTS = (
-    (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xC9, 1), (0xCE, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD6, 4), (0xD7, 0xD7, 5),
-    (0xD8, 0xDB, 6), (0xE0, 0xE0, 7), (0xE1, 0xE1, 8), (0xE3, 0xE3, 9), (0xE4, 0xE9, 10), (0xEA, 0xED, 11),
+#: Where the letters of each script begin, up to the next entry (fixed values; "" has no letters, "other" is one script).
+SCRIPT_STARTS = (
+    (0x00C0, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Syriac"),
+    (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "Nko"), (0x0800, "other"), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"),
+    (0x0A80, "Gujarati"), (0x0B00, "Oriya"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"),
+    (0x0E00, "Thai"), (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"),
+    (0x13A0, "Cherokee"), (0x1400, "Canadian"), (0x1680, "other"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x1900, "other"), (0x1E00, "Latin"),
+    (0x1F00, "Greek"), (0x2000, ""), (0x2C00, "other"), (0x2C60, "Latin"), (0x2C80, "Coptic"), (0x2D00, "Georgian"), (0x2D30, "Tifinagh"),
+    (0x2D80, "Ethiopic"), (0x2DE0, "Cyrillic"), (0x2E00, ""), (0x3040, "Kana"), (0x3100, "Bopomofo"), (0x3130, "Hangul"), (0x3200, ""), (0x3400, "Han"),
+    (0xA000, "Yi"), (0xA4D0, "other"), (0xA640, "Cyrillic"), (0xA720, "Latin"), (0xA800, "other"), (0xAC00, "Hangul"), (0xF900, "Han"), (0xFB00, "Latin"),
+    (0xFB13, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, ""), (0xFE70, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"),
+    (0xFFE0, ""), (0x10000, "other"), (0x1F000, ""), (0x20000, "Han"),
 )
-N_SCRIPTS = 12
-_SCRIPT = np.zeros(256, np.int8)
-for _first, _last, _number in _SCRIPTS:
-    _SCRIPT[_first : _last + 1] = _number
+#: Numbers of scripts: 0 has no letters, Latin is 1, so a word with letters of several has the number of another one.
+_NAMES = ["", "Latin", *sorted({name for _, name in SCRIPT_STARTS} - {"", "Latin"})]
+N_SCRIPTS = len(_NAMES)
+_STARTS = np.array([0] + [start for start, _ in SCRIPT_STARTS])
+_SCRIPT_OF = np.array([0] + [_NAMES.index(name) for _, name in SCRIPT_STARTS], np.int8)
+_ASCII = np.zeros(256, np.int8)
+_ASCII[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+
+
+def scripts(data: np.ndarray) -> np.ndarray:
+    """The script of the character that starts at each byte of UTF-8; 0 within characters and where there is no letter."""
+    out = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        wide = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
+        first = wide[lead]
+        low = [wide[lead + k] & 63 for k in (1, 2, 3)]
+        two, three = (first & 31) << 6 | low[0], (first & 15) << 12 | low[0] << 6 | low[1]
+        point = np.where(first < 0xE0, two, np.where(first < 0xF0, three, (first & 7) << 18 | low[0] << 12 | low[1] << 6 | low[2]))
+        out[lead] = _SCRIPT_OF[np.searchsorted(_STARTS, point, "right") - 1]
+    return out
 
 
 def _cells(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +81,7 @@ def _cells(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     low[1:-2] = np.where(space[1:-1], 32, _LOWER[data])
     code = low[:-3] | low[1:-2] << np.uint32(8) | low[2:-1] << np.uint32(16) | low[3:] << np.uint32(24)
     code *= np.uint32(0x9E3779B1)
-    script = np.maximum.reduceat(_SCRIPT[data], starts) if len(starts) else np.zeros(0, np.int8)
+    script = np.maximum.reduceat(scripts(data), starts) if len(starts) else np.zeros(0, np.int8)
     return code >> np.uint32(32 - 15), starts, ends, script
 
 

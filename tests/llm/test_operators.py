@@ -158,6 +158,21 @@ def test_language_id(spark, docs, empty):
     assert langid.digest(empty).collect() == []
 
 
+def test_scripts_of_letters():
+    said = {"a": "Latin", "é": "Latin", "ж": "Cyrillic", "ქ": "Georgian", "ខ": "Khmer", "አ": "Ethiopic", "ệ": "Latin", "漢": "Han", "𠀀": "Han", "ⴰ": "Tifinagh", "ܐ": "Syriac", "ﷲ": "Arabic", "5": "", "—": ""}
+    for letter, name in said.items():
+        data = np.frombuffer(f" {letter} ".encode(), np.uint8)
+        assert langid._NAMES[langid.scripts(data).max()] == name
+
+
+def test_languages_of_scripts_that_share_a_lead_byte(spark):
+    said = {"ka": "ეს არის ჩემი სახლი და ბაღი", "km": "នេះ ជា ផ្ទះ របស់ ខ្ញុំ និង សួន", "am": "ይህ የእኔ ቤት እና የአትክልት ስፍራ ነው"}
+    many = [(k, " ".join(random.Random(k).choices(x.split(), k=9)), lang) for k in range(60) for lang, x in list(said.items())[k % 3 : k % 3 + 1]]
+    model = langid.train(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+    rows = spark.createDataFrame(list(said.items()), "doc_id string, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(rows, model).collect()} == {k: (k, 1.0) for k in said}
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(3)
     for scores in [[rng.normal(size=(n, 3)).astype(np.float32) for n in (1, 5, 6)]]:
