@@ -27,7 +27,6 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import NULL_ID, did, longs, shared_dir, texts
@@ -95,8 +94,17 @@ def _folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
+#: The file that lists the archives of a folder.
+_LIST = "_archives"
+
+
+def _archive(part: int, attempt: int, number: int) -> str:
+    return f"{part:06d}-{attempt:06d}-{number:04d}.media"
+
+
 def write_archives(docs: DataFrame, uri: str) -> int:
-    """Stores each text of docs (doc_id, text, ...) as a member; returns how many there are."""
+    """Stores each text of docs (doc_id, text, ...) as a member; returns how many there are. An attempt of a task writes
+    files of its own; the driver lists those of the attempts that Spark took, and only listed files are read."""
     fs, path = _folder(uri)
     fs.create_dir(path, recursive=True)
 
@@ -112,7 +120,7 @@ def write_archives(docs: DataFrame, uri: str) -> int:
             out.write(table.tobytes())
             out.write(struct.pack(_FOOTER, at, len(entries), _MAGIC))
             out.close()
-            store.move(own, f"{folder}/{task.partitionId():06d}-{number:04d}.media")
+            store.move(own, f"{folder}/{_archive(task.partitionId(), task.taskAttemptId(), number)}")
             out, entries, at, number = None, [], 0, number + 1
 
         for batch in batches:
@@ -128,9 +136,13 @@ def write_archives(docs: DataFrame, uri: str) -> int:
                     close()
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([members], pa.int64())], ["members"])
+        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "attempt": task.taskAttemptId(), "files": number, "members": members}])
 
-    return docs.select(did(), "text").mapInArrow(write, "members long").agg(F.sum("members")).first()[0] or 0
+    taken = docs.select(did(), "text").mapInArrow(write, "part long, attempt long, files long, members long").collect()  # a row a task
+    names = [_archive(r["part"], r["attempt"], n) for r in taken for n in range(r["files"])]
+    with fs.open_output_stream(f"{path}/{_LIST}") as out:
+        out.write("\n".join(sorted(names)).encode())
+    return sum(r["members"] for r in taken)
 
 
 class Range(InputPartition):
@@ -146,7 +158,9 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         fs, path = _folder(self.uri)
-        found = [f for f in fs.get_file_info(pa.fs.FileSelector(path)) if f.path.endswith(".media")]
+        with fs.open_input_file(f"{path}/{_LIST}") as listed:
+            names = listed.read().decode().split()
+        found = fs.get_file_info([f"{path}/{name}" for name in names])
         return [Range(f.path, f.size, a, min(f.size, a + self.span)) for f in sorted(found, key=lambda f: f.path) for a in range(0, f.size, self.span)]
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
