@@ -259,3 +259,22 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             want[(i, piece, start, len(ids) // 4, zlib.crc32(ids))] += times[i]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == +want
+
+
+def test_slices_of_large_parts_lose_no_link(spark, monkeypatch):
+    """Families of texts about as alike as the threshold, with slices of three sets and blocks from the second round on."""
+    monkeypatch.setattr(parity_join, "SLICE", 3)
+    monkeypatch.setattr(parity_join, "GOES_ON", 2.0)
+    rng = random.Random(4)
+    table = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(90)]
+        for _ in range(16):
+            own = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(90)] = f"x{rng.randrange(10_000)}"
+            table.append((len(table), " ".join(own), None, None, None))
+    want = jaccard_brute(table)
+    assert 3 < len({c for _, c in want.values()}) < len(table)
+    docs = spark.createDataFrame([r[:2] for r in table], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.jaccard_components(docs).collect()} == want
