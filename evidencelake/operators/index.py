@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions.text import tokens
 
 from .search import B, K1, idf
+from .shared import remove
 
 #: Characters of a chunk, and where in it the last line end may cut (fixed values).
 CHUNK, HALF = 6000, 3000
@@ -58,28 +59,33 @@ def read_base(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return base.withColumn("usable", (F.col("hashes") == 1) & (F.col("last") - F.col("first") + 1 == F.col("records")))
 
 
-def postings(rows: DataFrame, keys: list[str], text: str, where: bool = True) -> DataFrame:
-    """(term, *keys, tf, dl, positions): the tokens of each row meet in its task, so only one exchange, by term, follows."""
-    listed = rows.repartition(*keys).select(*keys, tokens(F.col(text)).alias("all"))
-    each = listed.select(*keys, F.size("all").cast("long").alias("dl"), F.posexplode("all").alias("pos", "term"))
+def postings(listed: DataFrame, keys: list[str], where: bool = True) -> DataFrame:
+    """(term, *keys, tf, dl, positions) of rows (*keys, all: tokens): the tokens of each row meet in its task, so only one
+    exchange, by term, follows."""
+    rows = listed.repartition(*keys)
+    each = rows.select(*keys, F.size("all").cast("long").alias("dl"), F.posexplode("all").alias("pos", "term"))
     place = [F.array_sort(F.collect_list("pos")).alias("positions")] if where else []
     return each.groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"), *place)
 
 
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Writes records, postings of texts and of records, lengths and the manifest below path."""
+    """Writes records, postings of texts and of records, lengths and the manifest below path. Tokens are made once."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
     records(docs, key, text).write.parquet(f"{path}/records")
-    rows = spark.read.parquet(f"{path}/records")
-    put = lambda df, name: df.repartition(n, "term").sortWithinPartitions("term").write.parquet(f"{path}/{name}")
-    put(postings(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)), [key], text), "postings")
-    put(postings(rows, [key, "chunk"], "content", where=False), "record_postings")
-    lengths = rows.select(key, "chunk", F.size(tokens(F.col("content"))).cast("long").alias("dl"))
-    lengths.write.parquet(f"{path}/lengths")
-    whole = docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("dl"))
-    whole.write.parquet(f"{path}/text_lengths")
-    count = lambda name: spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = read("records")
+
+    def put(df: DataFrame, keys: list[str], of: str, name: str, lengths: str, where: bool) -> None:
+        df.select(*keys, tokens(F.col(of)).alias("all")).write.parquet(f"{path}/{name}_tokens")
+        listed = read(f"{name}_tokens")
+        listed.select(*keys, F.size("all").cast("long").alias("dl")).write.parquet(f"{path}/{lengths}")
+        postings(listed, keys, where).repartition(n, "term").sortWithinPartitions("term").write.parquet(f"{path}/{name}")
+        remove(spark, f"{path}/{name}_tokens")
+
+    put(docs, [key], text, "postings", "text_lengths", True)
+    put(rows, [key, "chunk"], "content", "record_postings", "lengths", False)
+    count = lambda name: read(name).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     manifest = count("text_lengths").toDF("notes", "avgdl").crossJoin(count("lengths").toDF("records", "record_avgdl"))  # one row each
     digest = rows.agg(F.bit_xor(F.xxhash64(key, "chunk", "sha256")).alias("digest"))
     manifest.crossJoin(digest).coalesce(1).write.json(f"{path}/manifest")

@@ -37,13 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes what cut() has written for tables, once nothing reads them any more."""
     for table in tables:
         path = getattr(table, "stored_path", None)
         if path is not None:
-            system, place = _place(table.sparkSession, path)
-            system.delete(place, True)
+            remove(table.sparkSession, path)
 
 
 def generation(spark: SparkSession, paths: list[str]) -> str:
