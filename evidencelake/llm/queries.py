@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, histogram_shards, id_matrices, langid, media, merkle, mixing
+from . import backoff_lm, ball_tree, histogram_shards, id_matrices, langid, lexical, license_scan, media, merkle, mixing
 from .bin_completion import pack
 from .common import bounded_batches
 from .parity_join import jaccard_components
@@ -62,6 +62,19 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark, rows=ball_tree.TREE)
+    return ball_tree.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_matrices": op2_token_matrices,
@@ -73,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_license_scan": op13_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.sql(**MIX), "op7_merkle_fingerprint": merkle.sql()}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.sql(**MIX), "op7_merkle_fingerprint": merkle.sql(), "op11_ranked_search": lexical.sql(k=50), "op12_centroid_clusters": ball_tree.sql(k=16, rounds=3)}
