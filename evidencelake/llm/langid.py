@@ -52,8 +52,8 @@ SCRIPT_STARTS = (
 _NAMES = ["", "Latin", *sorted({name for _, name in SCRIPT_STARTS} - {"", "Latin"})]
 N_SCRIPTS = len(_NAMES)
 _STARTS = np.array([0] + [start for start, _ in SCRIPT_STARTS])
-_SCRIPT_OF = np.array([0] + [_NAMES.index(name) for _, name in SCRIPT_STARTS], np.int8)
-_ASCII = np.zeros(256, np.int8)
+_SCRIPT_OF = np.array([0] + [_NAMES.index(name) for _, name in SCRIPT_STARTS], np.int16)
+_ASCII = np.zeros(256, np.int16)
 _ASCII[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 
 
@@ -81,7 +81,7 @@ def _cells(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     low[1:-2] = np.where(space[1:-1], 32, _LOWER[data])
     code = low[:-3] | low[1:-2] << np.uint32(8) | low[2:-1] << np.uint32(16) | low[3:] << np.uint32(24)
     code *= np.uint32(0x9E3779B1)
-    script = np.maximum.reduceat(scripts(data), starts) if len(starts) else np.zeros(0, np.int8)
+    script = np.maximum.reduceat(scripts(data), starts) if len(starts) else np.zeros(0, np.int16)
     return code >> np.uint32(32 - 15), starts, ends, script
 
 
@@ -152,9 +152,9 @@ def _viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     grid = np.empty((int(flat[-1]), k), np.float32)  # step after step
     for d, i in enumerate(order):
         grid[flat[: lens[d]] + d] = scores[i]
-    came = np.empty((int(flat[-1]), k), np.int8)
+    came = np.empty((int(flat[-1]), k), np.int16)
     best = np.zeros((n, k), np.float32)
-    own = np.arange(k, dtype=np.int8)
+    own = np.arange(k, dtype=np.int16)
     for t in range(steps):
         m = alive[t]
         now = best[:m]
@@ -165,12 +165,12 @@ def _viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
         now = np.where(stay, now, jump[:, None]) + grid[flat[t] : flat[t + 1]]
         best[:m] = now - now.max(axis=1, keepdims=True)
     label = best.argmax(axis=1)
-    out = np.empty(int(flat[-1]), np.int8)
+    out = np.empty(int(flat[-1]), np.int16)
     for t in range(steps - 1, -1, -1):
         m = alive[t]
         out[flat[t] : flat[t + 1]] = label[:m]
         label[:m] = came[np.arange(flat[t], flat[t + 1]), label[:m]]
-    found: list[np.ndarray] = [np.zeros(0, np.int8)] * n
+    found: list[np.ndarray] = [np.zeros(0, np.int16)] * n
     for d, i in enumerate(order):
         found[i] = out[flat[: lens[d]] + d]
     return found
