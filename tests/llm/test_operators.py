@@ -308,8 +308,50 @@ def test_bin_completion_finds_the_optimum():
     for _ in range(40):
         lengths = sorted((rng.randint(10, 70) for _ in range(11)), reverse=True)
         plan = bin_completion.plan(dict(Counter(lengths)), 100)
-        assert sum(n for _, n in plan) == optimum(lengths, 100) >= bin_completion.lower_bound(dict(Counter(lengths)), 100)
-        assert sum((Counter({k: n * f.count(k) for k in set(f)}) for f, n in plan), Counter()) == Counter(lengths)
+        assert plan.size == optimum(lengths, 100) >= plan.lower_bound == bin_completion.lower_bound(dict(Counter(lengths)), 100)
+        assert sum((Counter({k: n * f.count(k) for k in set(f)}) for f, n in plan.bins), Counter()) == Counter(lengths)
+        assert all(sum(f) <= 100 for f, _ in plan.bins)
+
+
+def test_bin_completion_says_proved_only_of_the_optimum():
+    rng = random.Random(11)
+    proved = 0
+    for _ in range(60):
+        lengths = sorted((rng.choice([12, 20, 27, 33, 34, 41, 50, 51, 66]) for _ in range(10)), reverse=True)
+        plan = bin_completion.plan(dict(Counter(lengths)), 100)
+        best = optimum(lengths, 100)
+        assert plan.lower_bound <= best <= plan.size and (not plan.proved or plan.size == best)
+        proved += plan.proved
+    assert proved > 30
+    cut = bin_completion.plan({51: 3, 49: 1, 34: 4, 33: 3, 27: 2}, 100, nodes=1)
+    assert cut.size >= cut.lower_bound and cut.proved == (cut.size == cut.lower_bound)
+
+
+def test_viterbi_of_many_languages():
+    """The best label of each word, of 300 labels, equals the one of plain rounds."""
+    rng = np.random.default_rng(3)
+    for k in (150, 300):
+        scores = [rng.normal(size=(n, k)).astype(np.float32) for n in (5, 1, 9)]
+        for own, path in zip(scores, langid._viterbi(scores, 0.75), strict=True):
+            best, back = own[0].astype(np.float64), []
+            for row in own[1:]:
+                top = int(best.argmax())
+                back.append([j if best[j] >= best[top] - 0.75 else top for j in range(k)])
+                best = np.maximum(best, best[top] - 0.75) + row
+            want = [int(best.argmax())]
+            for b in reversed(back):
+                want.append(b[want[-1]])
+            assert path.tolist() == want[::-1]
+
+
+def test_language_id_with_two_hundred_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[(k * (7 + j) + j * j * (k // 26 + 1)) % 26] for j in range(9))
+    rows = [(d * 200 + k, f"{word(k)} {word(k + 1000)} " * 6, f"l{k:03}") for d in range(4) for k in range(200)]
+    got = langid.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert len(got) == 800 and sum(truth[r.doc_id] == r.lang_pred for r in got if not r.held_out) > 500
+    assert {r.lang_pred for r in got} > {"l150", "l199"}
 
 
 def test_id_matrices(docs, rows, empty):
