@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and the letters without (fixed values).
-MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöøōőùúûüūůűýÿžźżšśťřğł"
-PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooooouuuuuuuyyzzzsstrgl"[: len(MARKED)]
-assert len(MARKED) == len(PLAIN)
+
+def _folded(c: str) -> str:
+    """A letter in lower case without its marks; a mark of its own becomes nothing."""
+    return unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c.lower()) if unicodedata.category(x)[0] != "M"))
+
+
+def _table() -> tuple[str, str]:
+    """The letters that folding changes and what they become, then the marks, which it drops. One code point stands for one:
+    what only compatibility takes apart (ligatures, full-width letters) stays."""
+    changed, marks = [], []
+    for n in range(sys.maxunicode + 1):
+        c = chr(n)
+        plain = c.lower() == c and not unicodedata.decomposition(c) and unicodedata.category(c)[0] != "M"
+        if not plain and (f := _folded(c)) != c:
+            (changed if f else marks).append((c, f))
+    return "".join(c for c, _ in changed + marks), "".join(f for _, f in changed)
+
+
+MARKED, PLAIN = _table()
 TOKEN = r"[\p{L}\p{N}]+"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks, for the Latin letters of MARKED."""
-    return F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case without marks, for all scripts, letter by letter: a capital sigma is a small one wherever it stands."""
+    return F.translate(c, MARKED, PLAIN)
 
 
 def tokens(c: Column) -> Column:
