@@ -1,15 +1,21 @@
 """The stored index: records (chunks of texts), postings with positions, lengths, and a manifest.
 
-``build`` writes one generation; ``Index`` reads it. Postings are sorted by term, so a query reads the row groups of its
-terms alone. Ranking adds up one row a term and record, with the counts of the corpus from the manifest.
+``build`` writes one generation; ``Index`` reads it. Postings are dealt by term and block of notes and sorted by term within
+files: a query reads the row groups of its terms alone, and a term of very many notes lies in all files. Beside them stands in
+how many notes or records each term is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidencelake.functions.text import tokens
 
@@ -20,6 +26,8 @@ from .shared import remove
 CHUNK, HALF = 6000, 3000
 #: Share of changed notes from which an update builds anew (fixed value).
 MAX_REWRITE_SHARE = 0.4
+#: Notes whose numbers agree but for so many low bits are a block, which lies in one file.
+BLOCK_BITS = 6
 
 
 def chunk_starts(text: Column) -> Column:
@@ -36,13 +44,19 @@ def chunk_starts(text: Column) -> Column:
     return F.when(size <= CHUNK, F.array(F.lit(0))).otherwise(many)
 
 
-def records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk, start, content, sha256): the chunks of each text, in order, and the hash of the whole text."""
+def _chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, t, chunks, chunk, start, content)."""
     own = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
     starts = own.withColumn("starts", chunk_starts(F.col("t")))
     each = starts.select(key, "t", "starts", F.posexplode("starts").alias("chunk", "start"))
     end = F.coalesce(F.try_element_at("starts", F.col("chunk") + 2), F.char_length("t"))
-    return each.select(key, F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), F.substr("t", F.col("start") + 1, end - F.col("start")).alias("content"), F.sha2("t", 256).alias("sha256"))
+    content = F.substr("t", F.col("start") + 1, end - F.col("start"))
+    return each.select(key, "t", F.size("starts").alias("chunks"), F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), content.alias("content"))
+
+
+def records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk, start, content, sha256): the chunks of each text, in order, and the hash of the whole text."""
+    return _chunks(docs, key, text).select(key, "chunk", "start", "content", F.sha2("t", 256).alias("sha256"))
 
 
 def stored_text(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -59,36 +73,69 @@ def read_base(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return base.withColumn("usable", (F.col("hashes") == 1) & (F.col("last") - F.col("first") + 1 == F.col("records")))
 
 
-def postings(listed: DataFrame, keys: list[str], where: bool = True) -> DataFrame:
-    """(term, *keys, tf, dl, positions) of rows (*keys, all: tokens): the tokens of each row meet in its task, so only one
-    exchange, by term, follows."""
-    rows = listed.repartition(*keys)
-    each = rows.select(*keys, F.size("all").cast("long").alias("dl"), F.posexplode("all").alias("pos", "term"))
-    place = [F.array_sort(F.collect_list("pos")).alias("positions")] if where else []
-    return each.groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"), *place)
+def block(key: str) -> Column:
+    return F.shiftright(F.col(key), BLOCK_BITS)
+
+
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term adds to a score, but for its idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def postings(listed: DataFrame, keys: list[str]) -> DataFrame:
+    """(term, *keys, tf, dl, positions) of rows (*keys, all: tokens). Each row's tokens are sorted in its task, a batch at a
+    time; nothing is exchanged."""
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column(len(keys))
+            size = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = listed.flatten().dictionary_encode()
+            if not len(code):
+                continue
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            group = row * len(code.dictionary) + code.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(group, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(order))
+            starts = np.append(0, ends[:-1])
+            first = order[starts]
+            places = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+            own = [batch.column(k).take(pa.array(row[first])) for k in range(len(keys))]
+            columns = [code.dictionary.take(code.indices.take(pa.array(first))), *own, pa.array(ends - starts), pa.array(size[row[first]]), places]
+            yield pa.RecordBatch.from_arrays(columns, ["term", *keys, "tf", "dl", "positions"])
+
+    kinds = [T.StructField("term", T.StringType()), *[listed.schema[k] for k in keys], *T.StructType.fromDDL("tf long, dl long, positions array<int>").fields]
+    return listed.select(*keys, "all").mapInArrow(sort, T.StructType(kinds))
 
 
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Writes records, postings of texts and of records, lengths and the manifest below path. Tokens are made once."""
+    """Writes records, postings of texts and of records, lengths, counts of terms and the manifest below path. Tokens are made
+    once; those of a text that is one record are the record's."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     records(docs, key, text).write.parquet(f"{path}/records")
-    rows = read("records")
+    whole = F.when((F.col("chunk") == 0) & (F.col("chunks") > 1), tokens(F.col("t")))
+    _chunks(docs, key, text).select(key, "chunk", tokens(F.col("content")).alias("part"), whole.alias("whole")).write.parquet(f"{path}/tokens")
+    made = read("tokens")
+    texts = made.filter("chunk = 0").select(key, F.coalesce("whole", "part").alias("all"))
+    parts = made.select(key, "chunk", F.col("part").alias("all"))
 
-    def put(df: DataFrame, keys: list[str], of: str, name: str, lengths: str, where: bool) -> None:
-        df.select(*keys, tokens(F.col(of)).alias("all")).write.parquet(f"{path}/{name}_tokens")
-        listed = read(f"{name}_tokens")
+    def put(listed: DataFrame, keys: list[str], name: str, lengths: str, columns: list[str]) -> None:
         listed.select(*keys, F.size("all").cast("long").alias("dl")).write.parquet(f"{path}/{lengths}")
-        postings(listed, keys, where).repartition(n, "term").sortWithinPartitions("term").write.parquet(f"{path}/{name}")
-        remove(spark, f"{path}/{name}_tokens")
+        rows = postings(listed, keys).select("term", *keys, "tf", "dl", *columns).repartition(n, "term", block(key))
+        rows.sortWithinPartitions("term", *keys).write.parquet(f"{path}/{name}")
 
-    put(docs, [key], text, "postings", "text_lengths", True)
-    put(rows, [key, "chunk"], "content", "record_postings", "lengths", False)
+    put(texts, [key], "postings", "text_lengths", ["positions"])
+    put(parts, [key, "chunk"], "record_postings", "lengths", [])
+    remove(spark, f"{path}/tokens")
     count = lambda name: read(name).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     manifest = count("text_lengths").toDF("notes", "avgdl").crossJoin(count("lengths").toDF("records", "record_avgdl"))  # one row each
-    digest = rows.agg(F.bit_xor(F.xxhash64(key, "chunk", "sha256")).alias("digest"))
+    digest = read("records").agg(F.bit_xor(F.xxhash64(key, "chunk", "sha256")).alias("digest"))
     manifest.crossJoin(digest).coalesce(1).write.json(f"{path}/manifest")
+    read("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{path}/terms")
+    read("record_postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{path}/record_terms")
 
 
 class Index:
@@ -118,14 +165,13 @@ class Index:
 
     def scores(self, terms: list[str], by_record: bool = False) -> DataFrame:
         """(key, score, n_terms) of texts, or (key, chunk, ...) of records, that have any of the terms: BM25."""
-        name, n, avgdl = ("record_postings", "records", "record_avgdl") if by_record else ("postings", "notes", "avgdl")
+        name, counts, n, avgdl = ("record_postings", "record_terms", "records", "record_avgdl") if by_record else ("postings", "terms", "notes", "avgdl")
         keys = [self.key, "chunk"] if by_record else [self.key]
-        found = self.table(name).filter(F.col("term").isin(terms)).select("term", *keys, "tf", "dl")
-        df = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.manifest.select(F.col(n).alias("n"), F.col(avgdl).alias("avgdl"))))  # one row
-        joined = found.join(F.broadcast(df), "term")  # a row a term asked for
-        norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-        part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-        return joined.groupBy(*keys).agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))
+        some = F.col("term").isin(terms)
+        df = self.table(counts).filter(some).select("term", "df").crossJoin(F.broadcast(self.manifest.select(F.col(n).alias("n"), F.col(avgdl).alias("avgdl"))))  # one row
+        found = self.table(name).filter(some).select("term", *keys, "tf", "dl").join(F.broadcast(df), "term")  # a row a term asked for
+        part = idf(F.col("n"), F.col("df")) * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
+        return found.groupBy(*keys).agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))
 
     def note_scores(self, terms: list[str]) -> DataFrame:
         """(key, score, chunk): the best record of each note stands for it; of equals the first."""

@@ -90,36 +90,40 @@ def overflow(items: DataFrame, keys: list[str], order: str, size: str, most: int
     return each.select(*keys, F.col(f"x.all.{order}").alias(order), F.col(f"x.all.{size}").alias(size), F.col("x.fits").alias("inlined"))
 
 
-def choose(rows: list[dict], limit: int, floor: int = 3, reserve: int = 6, tail: int = 2, each: int = 4) -> list[dict]:
-    """The candidates of one prompt that enter its packet, in order. rows: dicts in rank order with path, logical, hash,
-    mandatory, superseded, historical. Mandatory sources (one a path, superseded ones last) have a quota that leaves
-    ``reserve`` places to the others but never falls below ``floor``; then repeated hashes, logical names and more than
-    ``each`` rows of a path are passed over; ``tail`` places are kept for historical rows."""
-    historical = [r for r in rows if r["historical"]]
-    kept_back = min(tail, len(historical))
-    places = max(1, limit - kept_back)
-    must: dict[str, dict] = {}
-    for r in sorted((r for r in rows if r["mandatory"] and not r["historical"]), key=lambda r: r["superseded"]):
-        must.setdefault(r["path"], r)
-    lexical = [r for r in rows if not r["mandatory"] and not r["historical"]]
-    least = min(floor, len(must), max(1, places - 1))
-    quota = min(len(must), max(least, places - min(reserve, len(lexical))))
-    out: list[dict] = []
-    hashes, logical, paths = set(), set(), {}
-    for r in [*list(must.values())[:quota], *lexical]:
-        if len(out) == places:
-            break
-        if r["hash"] in hashes or r["logical"] in logical or (not r["mandatory"] and (r["path"] in must or paths.get(r["path"], 0) >= each)):
-            continue
-        hashes.add(r["hash"])
-        logical.add(r["logical"])
-        paths[r["path"]] = paths.get(r["path"], 0) + 1
-        out.append(r)
-    for r in historical:
-        if len(out) < limit and r["hash"] not in hashes:
-            hashes.add(r["hash"])
-            out.append(r)
-    return out
+def chosen(candidates: DataFrame, keys: list[str], limit: int, floor: int = 3, reserve: int = 6, tail: int = 2, each: int = 4) -> DataFrame:
+    """(*keys, place, id): the candidates (*keys, id, rank, path, logical, hash, mandatory, superseded, historical) that enter a
+    packet of ``limit`` rows, at most a few dozen a packet.
+
+    Of mandatory rows the first of each path counts, superseded ones last; their quota leaves ``reserve`` rows to the others
+    but never falls below ``floor``. A row is passed over whose hash or logical name a chosen row has, or of whose path
+    ``each`` other rows are chosen. ``tail`` rows are kept for the first historical ones, unless a chosen row has their hash."""
+    at = lambda *by: Window.partitionBy(*keys, *by)
+    c = F.col
+    kind = F.when(c("historical"), "tail").when(c("mandatory"), "must").otherwise("free")
+    rows = candidates.withColumn("kind", kind).withColumn("again", F.row_number().over(at("kind", "path").orderBy("rank")))
+    rows = rows.filter((c("kind") != "must") | (c("again") == 1))
+    count = lambda k: F.count_if(c("kind") == k).over(at())
+    places = F.greatest(F.lit(1), limit - F.least(F.lit(tail), count("tail")))
+    least = F.least(F.lit(floor), count("must"), F.greatest(F.lit(1), places - 1))
+    quota = F.least(count("must"), F.greatest(least, places - F.least(F.lit(reserve), count("free"))))
+    late = (c("kind") == "must") & c("superseded")
+    rows = rows.withColumns({"places": places, "quota": quota, "nth": F.row_number().over(at("kind").orderBy(late, "rank"))})
+    walk = rows.filter(((c("kind") == "must") & (c("nth") <= c("quota"))) | (c("kind") == "free"))
+    item = F.struct((c("kind") == "free").alias("free"), "nth", "id", "hash", "logical", "path")
+    listed = walk.groupBy(*keys).agg(F.first("places").alias("places"), F.array_sort(F.collect_list(item)).alias("all"))
+
+    def step(taken: Column, x: Column) -> Column:
+        same = F.exists(taken, lambda t: (t["hash"] == x["hash"]) | (t["logical"] == x["logical"]))
+        full = x["free"] & (F.size(F.filter(taken, lambda t: t["free"] & (t["path"] == x["path"]))) >= each)
+        return F.when((F.size(taken) < c("places")) & ~same & ~full, F.array_append(taken, x)).otherwise(taken)
+
+    taken = listed.select(*keys, F.aggregate("all", F.slice("all", 1, 0), step).alias("taken"))
+    old = rows.filter((c("kind") == "tail") & (c("nth") <= tail)).join(taken, keys, "left")
+    old = old.filter(~F.coalesce(F.array_contains("taken.hash", c("hash")), F.lit(False)))
+    old = old.withColumn("copy", F.row_number().over(at("hash").orderBy("rank"))).filter("copy = 1")
+    place = F.coalesce(F.size("taken"), F.lit(0)) + F.row_number().over(at().orderBy("rank"))
+    first = taken.select(*keys, F.posexplode("taken.id").alias("pos", "id"))
+    return first.select(*keys, (c("pos") + 1).cast("long").alias("place"), "id").union(old.select(*keys, place.cast("long").alias("place"), "id"))
 
 
 def status(evidence: Column, mandatory: Column, verified: Column, user: Column, assistant: Column, conversation: Column, web: Column, unclear: Column, limits: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,18 +22,23 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark, self._folder = spark, folder
 
-    @property
+    @cached_property
     def index(self) -> Index:
         """The stored index of the documents: built at the first use after they change."""
         path = f"{self._folder}/documents.parquet"
         return Index(self._spark, generations(self._spark, "index", [path], lambda folder: build(self.documents, folder)))
 
-    @property
+    @cached_property
     def links(self) -> Links:
         """The stored link graph of the pages: built at the first use after they change."""
         path = f"{self._folder}/pages.parquet"
         return Links(self._spark, generations(self._spark, "links", [path], lambda folder: store(self.pages, folder)))
 
+    def made(self, name: str, tables: list[str], build: Callable[[str], None]) -> DataFrame:
+        """What build(folder) writes for the present state of tables: once a state."""
+        paths = [f"{self._folder}/{table}.parquet" for table in tables]
+        return self._spark.read.parquet(generations(self._spark, name, paths, build))
+
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 

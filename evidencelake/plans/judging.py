@@ -5,49 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelake.operators import evals
+from evidencelake.functions import text as T
+from evidencelake.operators import evals, routing, topk
+from evidencelake.operators.shared import cut, forget
 
 from .base import Tables, query
-
-_RUN = """
+from .prompts import _CHUNKS, _STOP
+
+_TOP = 3
+_RUN = (
+    _CHUNKS + r""",
+bw AS (SELECT item_id, unnest(k) AS term, unnest(range(0, len(k))) AS pos FROM (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS k FROM benchmark)),
+bt AS (SELECT item_id, term, min(pos) AS pos FROM bw WHERE term NOT IN (""" + _STOP + r""") AND length(term) > 1 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY ALL),
+bq AS (SELECT item_id, term FROM bt QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= 12),
+bx AS (SELECT doc_id, chunk, unnest(k) AS term FROM tk), bp AS (SELECT term, doc_id, chunk, count(*) AS tf FROM bx GROUP BY ALL), bd AS (SELECT term, count(*) AS df FROM bp GROUP BY term), bl AS (SELECT doc_id, chunk, len(k) AS dl FROM tk), ba AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM bl),
+br AS (SELECT item_id, bp.doc_id, bp.chunk, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM bq JOIN bp USING (term) JOIN bd USING (term) JOIN bl ON bl.doc_id = bp.doc_id AND bl.chunk = bp.chunk CROSS JOIN ba GROUP BY ALL),
+bn AS (SELECT item_id, doc_id, round(max(score), 6) AS score FROM br GROUP BY ALL),
+fd AS (SELECT doc_id, strip_accents(lower(text)) AS f FROM documents),
+gt AS (SELECT item_id, doc_id, count(*) AS n_terms, sum((length(f) - length(replace(f, term, ''))) // length(term)) AS total FROM bq JOIN fd ON contains(f, term) GROUP BY ALL),
+rn AS (SELECT 'fts' AS method, item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bn UNION ALL SELECT 'grep', item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_terms DESC, total DESC, doc_id) FROM gt),
 k AS (SELECT item_id, doc_id, length(d.text) AS size FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+kn AS (SELECT item_id, CASE count(k.doc_id) WHEN 0 THEN 'unanswerable' WHEN 1 THEN 'single' ELSE 'several' END AS kind FROM benchmark LEFT JOIN k USING (item_id) GROUP BY item_id),
 me(method) AS (VALUES ('fts'), ('grep')),
-pz AS (SELECT 'grep' AS method, item_id, doc_id, size, true AS gold FROM k WHERE doc_id % 2 = 0 UNION ALL SELECT 'fts', item_id, doc_id, size, true FROM k WHERE doc_id % 3 <> 0
-       UNION ALL SELECT method, b.item_id, d.doc_id, length(d.text), false FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.doc_id < 200 CROSS JOIN me),
-s0 AS (SELECT method, b.item_id, coalesce(bool_or(gold), false) AS found, count(pz.doc_id) AS passages, coalesce(bool_or(NOT gold AND pz.doc_id % 4 = 0), false) AS distracted,
+pz AS (SELECT method, r.item_id, r.doc_id, rank, length(d.text) AS size, k.doc_id IS NOT NULL AS gold, coalesce(l.quality, 1) = 0 AS junk FROM rn r JOIN documents d USING (doc_id) LEFT JOIN k ON k.item_id = r.item_id AND k.doc_id = r.doc_id LEFT JOIN labels l ON l.doc_id = r.doc_id WHERE rank <= """ + str(_TOP) + r"""),
+s0 AS (SELECT method, b.item_id, coalesce(bool_or(gold), false) AS found, count(pz.doc_id) AS passages, coalesce(bool_or(NOT gold AND junk), false) AS distracted,
        CAST(coalesce(sum(ceil(size / 4.0)), 0) AS BIGINT) AS tokens FROM benchmark b CROSS JOIN me LEFT JOIN pz USING (method, item_id) GROUP BY ALL),
-sc AS (SELECT method, item_id, CAST(item_id % 5 AS VARCHAR) AS kind, item_id % 19 = 0 AS failed, found AND item_id % 19 <> 0 AS complete, passages, distracted, tokens FROM s0)"""
+sc AS (SELECT method, item_id, kind, passages = 0 AS failed, found AS complete, passages, distracted, tokens FROM s0 JOIN kn USING (item_id))"""
+)
+
+
+def _gold(t: Tables) -> DataFrame:
+    """(item_id, doc_id): the documents that have the passage of an item, word for word."""
+    return evals.verbatim(t.documents, t.benchmark.select("item_id", F.col("text").alias("claim")), "doc_id", "item_id").select("item_id", "doc_id").distinct()
 
 
 def _passages(t: Tables) -> DataFrame:
-    """method, item_id, doc_id, size, gold: what two methods deliver for each case: documents that have the passage asked
-    for, a half or two thirds of them, and others."""
-    found = evals.verbatim(t.documents, t.benchmark.select("item_id", F.col("text").alias("claim")), "doc_id", "item_id").select("item_id", "doc_id")
-    size = t.documents.select("doc_id", F.char_length("text").alias("size"))
-    gold = found.join(size, "doc_id").withColumn("gold", F.lit(True))
-    grep = gold.filter("doc_id % 2 = 0").withColumn("method", F.lit("grep"))
-    fts = gold.filter("doc_id % 3 <> 0").withColumn("method", F.lit("fts"))
-    other = t.benchmark.select("item_id", (F.col("item_id") % 40).alias("slot")).join(size.filter("doc_id < 200").withColumn("slot", F.col("doc_id") % 40), "slot")
-    other = other.withColumn("gold", F.lit(False)).withColumn("method", F.explode(F.array(F.lit("grep"), F.lit("fts"))))
-    columns = ["method", "item_id", "doc_id", "size", "gold"]
-    return grep.select(columns).union(fts.select(columns)).union(other.select(columns))
+    """method, item_id, doc_id, rank, size, gold, junk: the three best documents of both methods for the first twelve terms of each
+    item, run over all documents; gold: it has the passage asked for; junk: it is labelled so. Run once a state of the tables."""
+
+    def run(folder: str) -> None:
+        each = t.benchmark.select("item_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
+        some = each.filter(~F.col("term").isin(routing.STOPWORDS) & (F.char_length("term") > 1) & ~F.rlike("term", F.lit("^[0-9]+$")))
+        nth = F.row_number().over(Window.partitionBy("item_id").orderBy("pos"))
+        asked = cut(some.groupBy("item_id", "term").agg(F.min("pos").alias("pos")).withColumn("n", nth).filter("n <= 12").select("item_id", "term"))
+        fts = topk.top_notes(t.index, asked, _TOP, "item_id").select(F.lit("fts").alias("method"), "item_id", "doc_id", "rank")
+        grep = topk.grep_notes(t.index, asked, _TOP, "item_id").select(F.lit("grep").alias("method"), "item_id", "doc_id", "rank")
+        rows = fts.union(grep).join(t.documents.select("doc_id", F.char_length("text").alias("size")), "doc_id")
+        rows = rows.join(_gold(t).withColumn("gold", F.lit(True)), ["item_id", "doc_id"], "left").join(t.labels.select("doc_id", (F.col("quality") == 0).alias("junk")), "doc_id", "left")
+        rows.fillna(False, ["gold", "junk"]).write.parquet(folder)
+        forget(asked)
+
+    return t.made("runs", ["documents", "benchmark", "labels"], run)
+
+
+def _kinds(t: Tables) -> DataFrame:
+    """(item_id, kind) by how many documents have the passage."""
+    n = t.benchmark.select("item_id").join(_gold(t).groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
+    return n.select("item_id", F.when(F.col("n").isNull(), "unanswerable").when(F.col("n") == 1, "single").otherwise("several").alias("kind"))
 
 
 def _scored(t: Tables) -> DataFrame:
-    """A row a case and method. A case that failed is never complete."""
-    cases = t.benchmark.select("item_id").withColumn("method", F.explode(F.array(F.lit("grep"), F.lit("fts"))))
+    """A row a case and method. A case for which a method delivers nothing has failed and is not complete."""
+    cases = _kinds(t).withColumn("method", F.explode(F.array(F.lit("grep"), F.lit("fts"))))
     both = cases.join(_passages(t), ["method", "item_id"], "left")
-    failed = F.col("item_id") % 19 == 0
-    a = both.groupBy("method", "item_id").agg(
-        F.coalesce(F.bool_or("gold"), F.lit(False)).alias("found"),
+    a = both.groupBy("method", "item_id", "kind").agg(
+        F.coalesce(F.bool_or("gold"), F.lit(False)).alias("complete"),
         F.count("doc_id").alias("passages"),
-        F.coalesce(F.bool_or(~F.col("gold") & (F.col("doc_id") % 4 == 0)), F.lit(False)).alias("distracted"),
+        F.coalesce(F.bool_or(~F.col("gold") & F.col("junk")), F.lit(False)).alias("distracted"),
         F.coalesce(F.sum(F.ceil(F.col("size") / 4)), F.lit(0)).alias("tokens"),
     )
-    return a.select("method", "item_id", (F.col("item_id") % 5).cast("string").alias("kind"), failed.alias("failed"), (F.col("found") & ~failed).alias("complete"), "passages", "distracted", "tokens")
+    return a.withColumn("failed", F.col("passages") == 0)
 
 
-@query(f"WITH {_RUN} SELECT method, item_id, complete, passages, tokens, distracted AND NOT complete AS misled FROM sc")
+@query(f"WITH RECURSIVE {_RUN} SELECT method, item_id, complete, passages, tokens, distracted AND NOT complete AS misled FROM sc")
 def score_cases(t: Tables) -> DataFrame:
     """Whether each case is complete, what it cost, and whether a distractor stands in an incomplete one."""
     return _scored(t).select("method", "item_id", "complete", "passages", "tokens", (F.col("distracted") & ~F.col("complete")).alias("misled"))
@@ -70,7 +100,7 @@ def _aggregates() -> list[Column]:
 
 
 @query(
-    f"WITH {_RUN}, a AS (SELECT method, {_AGG} FROM sc GROUP BY method), p AS (SELECT *, CAST(done AS DOUBLE) / n AS p FROM a) SELECT method, n, done, errors, misled, mean_tokens, median_tokens, most_tokens, "
+    f"WITH RECURSIVE {_RUN}, a AS (SELECT method, {_AGG} FROM sc GROUP BY method), p AS (SELECT *, CAST(done AS DOUBLE) / n AS p FROM a) SELECT method, n, done, errors, misled, mean_tokens, median_tokens, most_tokens, "
     f"round(greatest(0, (p + {_Z} * {_Z} / (2 * n) - {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4 * n * n))) / (1 + {_Z} * {_Z} / n)), 6) AS low, round(least(1, (p + {_Z} * {_Z} / (2 * n) + {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4 * n * n))) / (1 + {_Z} * {_Z} / n)), 6) AS high FROM p"
 )
 def run_summary(t: Tables) -> DataFrame:
@@ -80,7 +110,7 @@ def run_summary(t: Tables) -> DataFrame:
     return a.withColumns({"low": F.round(low, 6), "high": F.round(high, 6)})
 
 
-@query(f"WITH {_RUN} SELECT method, coalesce(kind, 'all') AS kind, {_AGG} FROM sc GROUP BY ROLLUP (method, kind) HAVING method IS NOT NULL")
+@query(f"WITH RECURSIVE {_RUN} SELECT method, coalesce(kind, 'all') AS kind, {_AGG} FROM sc GROUP BY ROLLUP (method, kind) HAVING method IS NOT NULL")
 def summary_by_kind(t: Tables) -> DataFrame:
     """The same for each kind of case, and for all kinds."""
     a = _scored(t).rollup("method", "kind").agg(*_aggregates()).filter("method is not null")
@@ -90,7 +120,7 @@ def summary_by_kind(t: Tables) -> DataFrame:
 _ARMS = [("brief", 400), ("standard", 1500), ("wide", 20000)]
 
 
-@query(f"WITH {_RUN}, ar(arm, budget) AS (VALUES " + ", ".join(f"('{a}', {b})" for a, b in _ARMS) + ") SELECT arm, method, count(*) AS n, count(*) FILTER (tokens <= budget) AS within, count(*) FILTER (complete AND tokens <= budget) AS complete_within FROM sc CROSS JOIN ar GROUP BY ALL")
+@query(f"WITH RECURSIVE {_RUN}, ar(arm, budget) AS (VALUES " + ", ".join(f"('{a}', {b})" for a, b in _ARMS) + ") SELECT arm, method, count(*) AS n, count(*) FILTER (tokens <= budget) AS within, count(*) FILTER (complete AND tokens <= budget) AS complete_within FROM sc CROSS JOIN ar GROUP BY ALL")
 def budget_arms(t: Tables) -> DataFrame:
     """How many cases each budget of tokens would have allowed."""
     arms = t._spark.createDataFrame(_ARMS, "arm string, budget int")
@@ -100,7 +130,7 @@ def budget_arms(t: Tables) -> DataFrame:
 
 
 @query(
-    f"WITH {_RUN}, a AS (SELECT item_id, any_value(kind) AS kind, bool_or(method = 'grep' AND complete) AS x, bool_or(method = 'fts' AND complete) AS y FROM sc GROUP BY item_id) SELECT kind, count(*) AS n, count(*) FILTER (x AND y) AS both, count(*) FILTER (x AND NOT y) AS only_grep, count(*) FILTER (y AND NOT x) AS only_fts FROM a GROUP BY kind"
+    f"WITH RECURSIVE {_RUN}, a AS (SELECT item_id, any_value(kind) AS kind, bool_or(method = 'grep' AND complete) AS x, bool_or(method = 'fts' AND complete) AS y FROM sc GROUP BY item_id) SELECT kind, count(*) AS n, count(*) FILTER (x AND y) AS both, count(*) FILTER (x AND NOT y) AS only_grep, count(*) FILTER (y AND NOT x) AS only_fts FROM a GROUP BY kind"
 )
 def paired_methods(t: Tables) -> DataFrame:
     """Cases that both methods or one alone completes."""
@@ -117,24 +147,22 @@ def _path() -> Column:
     return F.concat("source", F.lit("/"), "lang", F.lit("/n"), F.col("doc_id").cast("string"), F.lit(".md"))
 
 
-@query(f"WITH {_RUN}, {_FILES} SELECT item_id || ' 0 ' || url_encode(path) || ' 1' AS line FROM k JOIN fp USING (doc_id)")
+@query(f"WITH RECURSIVE {_RUN}, {_FILES} SELECT item_id || ' 0 ' || url_encode(path) || ' 1' AS line FROM k JOIN fp USING (doc_id)")
 def trec_qrels(t: Tables) -> DataFrame:
     """Judgements in the format of evaluation tools; names are percent-encoded."""
-    gold = evals.verbatim(t.documents, t.benchmark.select("item_id", F.col("text").alias("claim")), "doc_id", "item_id")
-    named = gold.join(t.documents.select("doc_id", _path().alias("path")), "doc_id")
+    named = _gold(t).join(t.documents.select("doc_id", _path().alias("path")), "doc_id")
     return named.select(F.concat(F.col("item_id").cast("string"), F.lit(" 0 "), F.url_encode("path"), F.lit(" 1")).alias("line"))
 
 
-@query(f"WITH {_RUN}, {_FILES}, r AS (SELECT method, item_id, doc_id, gold, row_number() OVER (PARTITION BY method, item_id ORDER BY gold DESC, size, doc_id) AS rank FROM pz) SELECT item_id || ' Q0 ' || url_encode(path) || ' ' || rank || ' ' || (100 - rank) || ' ' || method AS line FROM r JOIN fp USING (doc_id) WHERE rank <= 10")
+@query(f"WITH RECURSIVE {_RUN}, {_FILES} SELECT item_id || ' Q0 ' || url_encode(path) || ' ' || rank || ' ' || (100 - rank) || ' ' || method AS line FROM pz JOIN fp USING (doc_id)")
 def trec_run(t: Tables) -> DataFrame:
-    """Ranked results in the format of evaluation tools (ten a case are the format's limit here)."""
-    rank = F.row_number().over(Window.partitionBy("method", "item_id").orderBy(F.desc("gold"), "size", "doc_id"))
-    best = _passages(t).withColumn("rank", rank).filter("rank <= 10").join(t.documents.select("doc_id", _path().alias("path")), "doc_id")
+    """The ranked results of both methods in the format of evaluation tools."""
+    best = _passages(t).join(t.documents.select("doc_id", _path().alias("path")), "doc_id")
     s = lambda c: c.cast("string")
     return best.select(F.concat(s(F.col("item_id")), F.lit(" Q0 "), F.url_encode("path"), F.lit(" "), s(F.col("rank")), F.lit(" "), s(100 - F.col("rank")), F.lit(" "), "method").alias("line"))
 
 
-@query(f"WITH {_RUN}, {_FILES}, e AS (SELECT item_id, 'src' || item_id % 20 AS folder, 'n' || item_id || '.md' AS base FROM benchmark) SELECT method, e.item_id, coalesce(bool_or(path LIKE e.folder || '/%'), false) AS folder_hit, coalesce(bool_or(path LIKE '%/' || e.base), false) AS name_hit FROM e CROSS JOIN me LEFT JOIN pz USING (method, item_id) LEFT JOIN fp USING (doc_id) GROUP BY ALL")
+@query(f"WITH RECURSIVE {_RUN}, {_FILES}, e AS (SELECT item_id, 'src' || item_id % 20 AS folder, 'n' || item_id || '.md' AS base FROM benchmark) SELECT method, e.item_id, coalesce(bool_or(path LIKE e.folder || '/%'), false) AS folder_hit, coalesce(bool_or(path LIKE '%/' || e.base), false) AS name_hit FROM e CROSS JOIN me LEFT JOIN pz USING (method, item_id) LEFT JOIN fp USING (doc_id) GROUP BY ALL")
 def expected_sources(t: Tables) -> DataFrame:
     """Whether what was delivered has a name, or the folder, that the case expects."""
     cases = t.benchmark.select("item_id").withColumn("method", F.explode(F.array(F.lit("grep"), F.lit("fts"))))
@@ -365,7 +393,7 @@ def sealed_cases(t: Tables) -> DataFrame:
     from evidencelake.functions import text as T
 
     k = t.benchmark.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    df = t.index.table("postings").groupBy("term").agg(F.count("*").alias("df"))
+    df = t.index.table("terms").select("term", "df")
     j = k.join(df, "term", "left").withColumn("rare", F.coalesce(F.col("df").between(1, 4), F.lit(False)))
     return j.groupBy("item_id").agg(F.count_if("rare").alias("distinctive"), F.bool_or("rare").alias("sealed"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
-from evidencelake.operators import index, routing
+from evidencelake.operators import index, routing, topk
 
 from .base import Tables, query
 
@@ -196,30 +196,42 @@ _FOUND = (
     "q AS (SELECT conv_id, folded AS term FROM t WHERE turn = 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos) <= 12), "
     "sr AS (SELECT q.conv_id, tf.doc_id, tf.chunk, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS n_terms FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = tf.doc_id AND dl.chunk = tf.chunk CROSS JOIN av GROUP BY ALL), "
     "sn AS (SELECT conv_id, doc_id, round(max(score), 6) AS score, max(n_terms) AS n_terms FROM sr GROUP BY ALL), "
-    "hit AS (SELECT s.*, d.source, d.lang, sha256(d.text) AS sha256, length(d.text) AS size FROM sn s JOIN documents d USING (doc_id) WHERE NOT (lower(d.source) = 'src3' OR lower(d.source) LIKE 'src7%')), "
+    "dc AS (SELECT doc_id, source, lang, sha256(text) AS sha256, length(text) AS size, md5(string_split(text, chr(10))[1]) AS title, max(doc_id) OVER (PARTITION BY text) AS last FROM documents), "
+    "hit AS (SELECT s.*, d.source, d.lang, d.sha256, d.size, d.title, d.last FROM sn s JOIN dc d USING (doc_id) WHERE NOT (lower(d.source) = 'src3' OR lower(d.source) LIKE 'src7%')), "
     "top AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, doc_id) AS rank FROM hit QUALIFY rank <= 10)"
 )
 
 
-def _search(t: Tables) -> DataFrame:
-    """conv_id, doc_id, score, n_terms, source, lang, sha256, size, rank: the ten best notes for the first prompt of each
-    conversation (at most twelve terms of it), by their best record, without excluded sources."""
-    own = _terms(t).filter("turn = 0")
-    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("pos"))
-    asked = own.withColumn("n", first).filter("n <= 12").select("conv_id", F.col("folded").alias("term"))
-    postings = t.index.table("record_postings")
-    found = asked.join(postings, "term")
-    df = asked.select("term").distinct().join(postings.select("term"), "term").groupBy("term").agg(F.count("*").alias("df"))
-    stats = t.index.manifest.select(F.col("records").alias("n"), F.col("record_avgdl").alias("avgdl"))
-    joined = found.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    part = index.idf(F.col("n"), F.col("df")) * F.col("tf") * (index.K1 + 1) / (F.col("tf") + index.K1 * (1 - index.B + index.B * F.col("dl") / F.col("avgdl")))
-    record = joined.groupBy("conv_id", "doc_id", "chunk").agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))
-    note = record.groupBy("conv_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"), F.max("n_terms").alias("n_terms"))
+def _asked(t: Tables) -> DataFrame:
+    """(conv_id, term): at most twelve terms of the first prompt of each conversation."""
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("pos"))
+    return _terms(t).filter("turn = 0").withColumn("n", nth).filter("n <= 12").select("conv_id", F.col("folded").alias("term"))
+
+
+def _notes(t: Tables) -> DataFrame:
+    """The documents that a search may find: without excluded sources."""
     name = F.lower("source")
-    notes = t.documents.select("doc_id", "source", "lang", F.sha2("text", 256).alias("sha256"), F.char_length("text").cast("long").alias("size"))
-    hit = note.join(notes, "doc_id").filter(~((name == "src3") | name.startswith("src7")))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "doc_id")).cast("long")
-    return hit.withColumn("rank", rank).filter("rank <= 10").select("conv_id", "doc_id", "score", "n_terms", "source", "lang", "sha256", "size", "rank")
+    return t.documents.filter(~((name == "src3") | name.startswith("src7")))
+
+
+def _described(t: Tables) -> DataFrame:
+    """doc_id, source, lang, sha256, size, title (hash of the first line), last (the last document with this text)."""
+    sha = F.sha2("text", 256).alias("sha256")
+    last = t.documents.groupBy(sha).agg(F.max("doc_id").alias("last"))
+    title = F.md5(F.split_part("text", F.lit("\n"), F.lit(1)))
+    notes = t.documents.select("doc_id", "source", "lang", sha, F.char_length("text").cast("long").alias("size"), title.alias("title"))
+    return notes.join(last, "sha256")
+
+
+def _search(t: Tables) -> DataFrame:
+    """conv_id, doc_id, score, n_terms, rank and what _described says: the ten best notes for the first prompt of each
+    conversation, by their best record, without excluded sources. Made once a state of the two tables."""
+
+    def make(folder: str) -> None:
+        best = topk.top_notes(t.index, _asked(t), 10, "conv_id", _notes(t).select("doc_id"))
+        best.join(_described(t), "doc_id").write.parquet(folder)
+
+    return t.made("search", ["documents", "conversations"], make)
 
 
 @query(f"WITH RECURSIVE {_P}, {_FOUND} SELECT conv_id, doc_id, score, n_terms, rank FROM top WHERE rank <= 3")
@@ -236,29 +248,46 @@ def fts_search(t: Tables) -> DataFrame:
 )
 def canonical_search(t: Tables) -> DataFrame:
     """The sources that matched routes pin come first, then what the search has found, each once."""
-    pins = _table(t, [("writing", "src1"), ("german", "src2"), ("french", "src0"), ("history", "src5")], "route string, source string")
-    first = t.documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-    pinned = _routes(t).filter("turn = 0").join(F.broadcast(pins), "route").join(first, "source").select("conv_id", "doc_id", F.col("rank").alias("at"))  # four pins
-    every = pinned.union(_search(t).select("conv_id", "doc_id", F.col("rank") + 100)).groupBy("conv_id", "doc_id").agg(F.min("at").alias("at"))
+    pinned = _pinned(t)
+    every = pinned.union(_search(t).select("conv_id", "doc_id", F.col("rank") + 100)).groupBy("conv_id", "doc_id").agg(F.min("spot").alias("at"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("at", "doc_id")).cast("long")
     return every.withColumn("rank", rank).filter("rank <= 6").select("conv_id", "doc_id", (F.col("at") <= 100).alias("pinned"), "rank")
 
 
+#: Folders: canonical sources of routes, messages of users and of assistants, the archive, stored data, preferred ones.
+_PINS = [("writing", "src1"), ("german", "src2"), ("french", "src0"), ("history", "src5")]
+_USERS, _ASSISTANTS, _ARCHIVE = "src4", "src6", "src17"
+_PIN_SQL = "pin(route, source) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PINS) + "), pn AS (SELECT rt.conv_id, d.doc_id, min(rt.rank) AS spot FROM rt JOIN pin USING (route) JOIN (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source) d USING (source) WHERE rt.turn = 0 GROUP BY ALL)"
 _CANDIDATES = (
-    "cd AS (SELECT conv_id, doc_id, rank, size, source, lang, sha256, n_terms, doc_id % 9 = 0 AS mandatory, doc_id % 9 = 0 AND doc_id % 2 = 0 AS superseded, source = 'src5' AS historical, doc_id % 4 AS kind, "
-    "round(8.0 / (40 + rank) + 0.8 * n_terms + CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 4 = 0 AND lang = 'en' THEN 4 WHEN doc_id % 4 = 0 THEN 0.5 ELSE 0 END - CASE WHEN source LIKE 'src1%' THEN 3 ELSE 0 END + CASE WHEN source = 'src2' THEN 2.5 ELSE 0 END + CASE WHEN doc_id % 9 = 0 THEN 100 ELSE 0 END, 6) AS adjusted FROM top)"
+    _ROUTES + ", " + _PIN_SQL + ", "
+    "cu AS (SELECT conv_id, doc_id, rank, n_terms FROM top UNION ALL SELECT pn.conv_id, pn.doc_id, 10 + spot, 0 FROM pn LEFT JOIN top USING (conv_id, doc_id) WHERE top.doc_id IS NULL), "
+    "cm AS (SELECT c.conv_id, c.doc_id, c.rank, c.n_terms, d.* EXCLUDE (doc_id), pn.doc_id IS NOT NULL AS mandatory, d.last > c.doc_id AS superseded, d.source = '" + _ARCHIVE + "' AS historical, CASE d.source WHEN '" + _USERS + "' THEN 'user' WHEN '" + _ASSISTANTS + "' THEN 'assistant' ELSE 'note' END AS kind, coalesce(l.toxic, 0) = 1 AS limited "
+    "FROM cu c JOIN dc d USING (doc_id) LEFT JOIN pn USING (conv_id, doc_id) LEFT JOIN labels l USING (doc_id)), "
+    "cd AS (SELECT *, round(8.0 / (40 + rank) + 0.8 * n_terms + CASE kind WHEN 'user' THEN 6 WHEN 'assistant' THEN 2.5 ELSE 0 END - CASE WHEN source LIKE 'src1%' THEN 3 ELSE 0 END + CASE WHEN source = 'src2' THEN 2.5 ELSE 0 END + CASE WHEN mandatory THEN 100 ELSE 0 END, 6) AS adjusted FROM cm)"
 )
 
 
+def _pinned(t: Tables) -> DataFrame:
+    """(conv_id, doc_id, spot): the canonical source of each route that the first prompt matches."""
+    pins = _table(t, _PINS, "route string, source string")
+    first = t.documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    return _routes(t).filter("turn = 0").join(F.broadcast(pins), "route").join(first, "source").groupBy("conv_id", "doc_id").agg(F.min("rank").alias("spot"))  # four pins
+
+
 def _candidates(t: Tables) -> DataFrame:
-    """What the search has found, with the marks of a candidate. A quarter are messages (of users where English, else of
-    assistants), a ninth canonical sources and half of these superseded, one source is history; prefixes add or take."""
-    d, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
-    message = d % 4 == 0
-    found = _search(t).withColumns({"mandatory": d % 9 == 0, "superseded": (d % 9 == 0) & (d % 2 == 0), "historical": source == "src5", "kind": (d % 4).cast("long")})
-    score = 8.0 / (40 + F.col("rank")) + 0.8 * F.col("n_terms") + F.when(message, 2).otherwise(0) + F.when(message & (lang == "en"), 4).when(message, 0.5).otherwise(0)
+    """What the search has found, and the canonical sources of matched routes behind it, with the marks of a candidate: mandatory
+    (a canonical source), superseded (a later document has its text), historical (the archive's), kind (messages by their folder),
+    limited (labelled toxic)."""
+    pinned = _pinned(t)
+    found = _search(t).select("conv_id", "doc_id", "rank", "n_terms")
+    more = pinned.join(found, ["conv_id", "doc_id"], "left_anti").select("conv_id", "doc_id", (10 + F.col("spot")).alias("rank"), F.lit(0).cast("long").alias("n_terms"))
+    rows = found.union(more).join(_described(t), "doc_id").join(pinned.withColumn("mandatory", F.lit(True)).drop("spot"), ["conv_id", "doc_id"], "left")
+    rows = rows.join(t.labels.filter("toxic = 1").select("doc_id").distinct().withColumn("limited", F.lit(True)), "doc_id", "left").fillna(False, ["mandatory", "limited"])
+    source = F.col("source")
+    rows = rows.withColumns({"superseded": F.col("last") > F.col("doc_id"), "historical": source == _ARCHIVE, "kind": F.when(source == _USERS, "user").when(source == _ASSISTANTS, "assistant").otherwise("note")})
+    score = 8.0 / (40 + F.col("rank")) + 0.8 * F.col("n_terms") + F.when(F.col("kind") == "user", 6).when(F.col("kind") == "assistant", 2.5).otherwise(0)
     score = score - F.when(source.startswith("src1"), 3).otherwise(0) + F.when(source == "src2", 2.5).otherwise(0) + F.when(F.col("mandatory"), 100).otherwise(0)
-    return found.withColumn("adjusted", F.round(score, 6))
+    return rows.withColumn("adjusted", F.round(score, 6))
 
 
 @query(f"WITH RECURSIVE {_P}, {_FOUND}, {_CANDIDATES} SELECT conv_id, doc_id, CAST(adjusted AS DOUBLE) AS adjusted, row_number() OVER (PARTITION BY conv_id ORDER BY mandatory DESC, adjusted DESC, doc_id) AS place FROM cd")
@@ -269,32 +298,33 @@ def candidate_ranking(t: Tables) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {_P}, {_FOUND}, {_CANDIDATES} SELECT conv_id, doc_id, CASE WHEN mandatory THEN 'current_canonical_project_source' WHEN kind = 0 AND lang = 'en' THEN 'direct_user_statement' WHEN kind = 0 THEN 'assistant_output_or_proposal' WHEN source LIKE 'src1%' THEN 'stored_evidence_or_data' WHEN lang = 'de' THEN 'textual_document_extraction' ELSE 'verbatim_project_or_archive_text' END AS authority FROM cd"
+    f"WITH RECURSIVE {_P}, {_FOUND}, {_CANDIDATES} SELECT conv_id, doc_id, CASE WHEN mandatory THEN 'current_canonical_project_source' WHEN kind = 'user' THEN 'direct_user_statement' WHEN kind = 'assistant' THEN 'assistant_output_or_proposal' WHEN source LIKE 'src1%' THEN 'stored_evidence_or_data' WHEN lang = 'de' THEN 'textual_document_extraction' ELSE 'verbatim_project_or_archive_text' END AS authority FROM cd"
 )
 def authority_classes(t: Tables) -> DataFrame:
-    lang = F.col("lang")
-    message = F.col("kind") == 0
-    c = F.when(F.col("mandatory"), "current_canonical_project_source").when(message & (lang == "en"), "direct_user_statement").when(message, "assistant_output_or_proposal")
+    lang, kind = F.col("lang"), F.col("kind")
+    c = F.when(F.col("mandatory"), "current_canonical_project_source").when(kind == "user", "direct_user_statement").when(kind == "assistant", "assistant_output_or_proposal")
     c = c.when(F.col("source").startswith("src1"), "stored_evidence_or_data").when(lang == "de", "textual_document_extraction").otherwise("verbatim_project_or_archive_text")
     return _candidates(t).select("conv_id", "doc_id", c.alias("authority"))
 
 
 @query(
-    f"WITH RECURSIVE {_P}, {_FOUND}, {_CANDIDATES}, {_ROUTES}, {_FLAGS}, ag AS (SELECT conv_id, count(*) FILTER (NOT mandatory AND NOT historical) AS ev, count(*) FILTER (mandatory) AS mand, count(*) FILTER (NOT mandatory AND NOT historical AND doc_id % 13 <> 0) AS ver, count(*) FILTER (NOT mandatory AND NOT historical AND kind = 0 AND lang = 'en') AS us, "
-    "count(*) FILTER (NOT mandatory AND NOT historical AND kind = 0 AND lang <> 'en') AS asst, count(*) FILTER (NOT mandatory AND NOT historical AND kind = 0) AS conv FROM cd GROUP BY conv_id) "
-    "SELECT u.conv_id, CASE WHEN web THEN 'EXTERNAL_RECHECK' WHEN unclear THEN 'NOT_FOUND' WHEN coalesce(ev, 0) = 0 AND coalesce(mand, 0) > 0 THEN 'PARTIAL' WHEN coalesce(ev, 0) = 0 THEN 'NOT_FOUND' WHEN u.conv_id % 17 = 0 THEN 'PARTIAL' WHEN ver < ev THEN 'PARTIAL' WHEN us > 0 THEN 'USER_STATED' WHEN conv > 0 AND asst = conv THEN 'PARTIAL' WHEN ver > 0 THEN 'SUPPORTED' ELSE 'PARTIAL' END AS status "
+    f"WITH RECURSIVE {_P}, {_FOUND}, {_CANDIDATES}, {_FLAGS}, ag AS (SELECT conv_id, count(*) FILTER (NOT mandatory AND NOT historical) AS ev, count(*) FILTER (mandatory) AS mand, count(*) FILTER (NOT mandatory AND NOT historical) AS ver, count(*) FILTER (NOT mandatory AND NOT historical AND kind = 'user') AS us, "
+    "count(*) FILTER (NOT mandatory AND NOT historical AND kind = 'assistant') AS asst, count(*) FILTER (NOT mandatory AND NOT historical AND kind <> 'note') AS conv, bool_or(limited) AS lim FROM cd GROUP BY conv_id) "
+    "SELECT u.conv_id, CASE WHEN web THEN 'EXTERNAL_RECHECK' WHEN unclear THEN 'NOT_FOUND' WHEN coalesce(ev, 0) = 0 AND coalesce(mand, 0) > 0 THEN 'PARTIAL' WHEN coalesce(ev, 0) = 0 THEN 'NOT_FOUND' WHEN lim THEN 'PARTIAL' WHEN ver < ev THEN 'PARTIAL' WHEN us > 0 THEN 'USER_STATED' WHEN conv > 0 AND asst = conv THEN 'PARTIAL' WHEN ver > 0 THEN 'SUPPORTED' ELSE 'PARTIAL' END AS status "
     "FROM u JOIN fl USING (conv_id, turn) LEFT JOIN ag ON u.conv_id = ag.conv_id WHERE u.turn = 0"
 )
 def evidence_gate(t: Tables) -> DataFrame:
-    """The status of each first prompt, from what was found for it; every thirteenth note no longer has its hash, and every
-    seventeenth conversation touches a known limit."""
-    own = ~F.col("mandatory") & ~F.col("historical")
-    message, english = F.col("kind") == 0, F.col("lang") == "en"
+    """The status of each first prompt, from what was found for it: verified are notes whose hash is still the indexed one, and a
+    candidate that is labelled toxic is a known limit."""
+    own, kind = ~F.col("mandatory") & ~F.col("historical"), F.col("kind")
     n = lambda c, name: F.count_if(c).alias(name)
-    a = _candidates(t).groupBy("conv_id").agg(n(own, "ev"), n(F.col("mandatory"), "mand"), n(own & (F.col("doc_id") % 13 != 0), "ver"), n(own & message & english, "us"), n(own & message & ~english, "asst"), n(own & message, "conv"))
-    full = _flags(t).filter("turn = 0").join(a, "conv_id", "left").fillna(0)
+    indexed = t.index.records.filter("chunk = 0").select("doc_id", F.col("sha256").alias("indexed"))
+    rows = _candidates(t).join(indexed, "doc_id", "left")
+    same = F.coalesce(F.col("indexed") == F.col("sha256"), F.lit(False))
+    a = rows.groupBy("conv_id").agg(n(own, "ev"), n(F.col("mandatory"), "mand"), n(own & same, "ver"), n(own & (kind == "user"), "us"), n(own & (kind == "assistant"), "asst"), n(own & (kind != "note"), "conv"), F.bool_or("limited").alias("lim"))
+    full = _flags(t).filter("turn = 0").join(a, "conv_id", "left").fillna(0).fillna(False, ["lim"])
     c = F.col
-    return full.select("conv_id", routing.status(c("ev"), c("mand"), c("ver"), c("us"), c("asst"), c("conv"), c("web"), c("unclear"), c("conv_id") % 17 == 0).alias("status"))
+    return full.select("conv_id", routing.status(c("ev"), c("mand"), c("ver"), c("us"), c("asst"), c("conv"), c("web"), c("unclear"), c("lim")).alias("status"))
 
 
 @query(
@@ -307,36 +337,40 @@ def packet_overflow(t: Tables) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {_P}, {_FOUND}, {_CANDIDATES}, cur AS (SELECT conv_id, lang FROM cd WHERE mandatory AND NOT superseded) "
-    "SELECT conv_id, doc_id FROM cd WHERE superseded AND (conv_id, lang) IN (SELECT conv_id, lang FROM cur) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rank) <= 2"
+    f"WITH RECURSIVE {_P}, {_FOUND}, {_CANDIDATES} "
+    "SELECT a.conv_id, a.doc_id FROM cd a JOIN cd b ON b.conv_id = a.conv_id AND b.doc_id = a.last WHERE a.superseded QUALIFY row_number() OVER (PARTITION BY a.conv_id ORDER BY a.rank, a.doc_id) <= 2"
 )
 def superseded_guard(t: Tables) -> DataFrame:
     """A superseded source enters only beside the one that replaced it, and at most two do."""
     c = _candidates(t)
-    current = c.filter("mandatory and not superseded").select("conv_id", "lang")
-    old = c.filter("superseded").join(current, ["conv_id", "lang"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("rank"))
+    old = c.filter("superseded").join(c.select("conv_id", F.col("doc_id").alias("last")), ["conv_id", "last"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("rank", "doc_id"))
     return old.withColumn("n", nth).filter("n <= 2").select("conv_id", "doc_id")
 
 
-@query()
-def choose_records(t: Tables) -> DataFrame:
-    """The candidates of each prompt that enter its packet of six: quotas, one row a content and name (ten candidates a
-    prompt, so a task holds few rows at a time)."""
-    fields = ["doc_id", "rank", "source", "lang", "sha256", "mandatory", "superseded", "historical"]
-
-    def pick(batches):
-        import pandas as pd
+_LIMIT = 6
+_WALK = (
+    "cr AS (SELECT conv_id, doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY mandatory DESC, adjusted DESC, doc_id) AS rank, source || '/' || lang AS path, title AS logical, sha256 AS hash, superseded, CASE WHEN historical THEN 'tail' WHEN mandatory THEN 'must' ELSE 'free' END AS kind FROM cd), "
+    "ck AS (SELECT * FROM cr QUALIFY kind <> 'must' OR row_number() OVER (PARTITION BY conv_id, kind, path ORDER BY rank) = 1), "
+    "cn AS (SELECT *, count(*) FILTER (kind = 'tail') OVER w AS h, count(*) FILTER (kind = 'must') OVER w AS m, count(*) FILTER (kind = 'free') OVER w AS f, row_number() OVER (PARTITION BY conv_id, kind ORDER BY kind = 'must' AND superseded, rank) AS nth FROM ck WINDOW w AS (PARTITION BY conv_id)), "
+    f"cp AS (SELECT *, greatest(1, {_LIMIT} - least(2, h)) AS places FROM cn), cq AS (SELECT *, least(m, greatest(least(3, m, greatest(1, places - 1)), places - least(6, f))) AS quota FROM cp), "
+    "wk AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY kind = 'free', nth) AS step FROM cq WHERE kind = 'free' OR (kind = 'must' AND nth <= quota)), "
+    "fo AS (SELECT DISTINCT conv_id, 0::BIGINT AS step, []::STRUCT(doc_id BIGINT, hash VARCHAR, logical VARCHAR, path VARCHAR, free BOOLEAN)[] AS taken FROM cq UNION ALL "
+    "SELECT fo.conv_id, wk.step, CASE WHEN len(taken) < places AND len(list_filter(taken, lambda t: t.hash = wk.hash OR t.logical = wk.logical)) = 0 AND NOT (wk.kind = 'free' AND len(list_filter(taken, lambda t: t.free AND t.path = wk.path)) >= 4) "
+    "THEN list_append(taken, {'doc_id': wk.doc_id, 'hash': wk.hash, 'logical': wk.logical, 'path': wk.path, 'free': wk.kind = 'free'}) ELSE taken END FROM fo JOIN wk ON wk.conv_id = fo.conv_id AND wk.step = fo.step + 1), "
+    "fl2 AS (SELECT conv_id, arg_max(taken, step) AS taken FROM fo GROUP BY conv_id), "
+    "ol AS (SELECT conv_id, doc_id, rank, len(taken) AS n FROM cq JOIN fl2 USING (conv_id) WHERE kind = 'tail' AND nth <= 2 AND NOT list_contains(list_transform(taken, lambda t: t.hash), hash) QUALIFY row_number() OVER (PARTITION BY conv_id, hash ORDER BY rank) = 1)"
+)
 
-        for frame in batches:
-            rows = []
-            for conv, listed in zip(frame["conv_id"], frame["rows"], strict=True):
-                made = [{**dict(zip(fields, (r[f] for f in fields), strict=True)), "path": f"{r['source']}/{r['lang']}", "logical": f"{r['source']}:{r['doc_id'] % 50}", "hash": r["sha256"]} for r in listed]
-                rows += [(conv, place, r["doc_id"]) for place, r in enumerate(routing.choose(sorted(made, key=lambda r: r["rank"]), 6), 1)]
-            yield pd.DataFrame(rows, columns=["conv_id", "place", "doc_id"])
 
-    grouped = _candidates(t).groupBy("conv_id").agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    return grouped.mapInPandas(pick, "conv_id long, place long, doc_id long")
+@query(f"WITH RECURSIVE {_P}, {_FOUND}, {_CANDIDATES}, {_WALK} SELECT conv_id, unnest(range(1, len(taken) + 1))::BIGINT AS place, unnest(list_transform(taken, lambda t: t.doc_id)) AS doc_id FROM fl2 UNION ALL SELECT conv_id, n + row_number() OVER (PARTITION BY conv_id ORDER BY rank), doc_id FROM ol")
+def choose_records(t: Tables) -> DataFrame:
+    """The candidates of each prompt that enter its packet of six: quotas, one row a content and first line, two of the archive."""
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("mandatory"), F.desc("adjusted"), "doc_id"))
+    rows = _candidates(t).select(
+        "conv_id", F.col("doc_id").alias("id"), rank.alias("rank"), F.concat("source", F.lit("/"), "lang").alias("path"), F.col("title").alias("logical"), F.col("sha256").alias("hash"), "mandatory", "superseded", "historical"
+    )
+    return routing.chosen(rows, ["conv_id"], _LIMIT).withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) <= 160 THEN 'brief' WHEN length(text) <= 600 THEN 'standard' ELSE 'full' END AS tier, CASE WHEN length(text) <= 160 THEN 18 WHEN length(text) <= 600 THEN 22 ELSE 28 END AS sources, CASE WHEN length(text) <= 160 THEN 40000 WHEN length(text) <= 600 THEN 60000 ELSE 86000 END AS characters FROM conversations WHERE role = 'user'")
@@ -460,13 +494,12 @@ def api_routes(t: Tables) -> DataFrame:
     return x.join(F.broadcast(_table(t, _PLAN, "tier string, again boolean, route string")), ["tier", "again"]).select(*_KEYS, "route")  # six rows
 
 
-@query(f"WITH RECURSIVE {_P}, {_FOUND}, ok AS (SELECT conv_id, doc_id, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE regexp_full_match(source || '/' || lang || '/n' || doc_id, 'src[0-9]/(en|de)/n.*') QUALIFY rank <= 2) SELECT conv_id, doc_id, rank FROM ok WHERE rank <= 2 AND (conv_id, doc_id) IN (SELECT conv_id, doc_id FROM top)")
+@query(f"WITH RECURSIVE {_P}, {_FOUND}, ok AS (SELECT conv_id, doc_id, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE regexp_full_match(source || '/' || lang || '/n' || doc_id, 'src[0-9]/(en|de)/n.*') QUALIFY rank <= 2) SELECT conv_id, doc_id, rank FROM ok")
 def task_packet(t: Tables) -> DataFrame:
-    """The two best results that a task's list of allowed names lets through."""
+    """The two best notes of those that a task's list of allowed names lets through, however far down the search they stand."""
     name = F.concat("source", F.lit("/"), "lang", F.lit("/n"), F.col("doc_id").cast("string"))
-    allowed = _search(t).filter(F.rlike(name, F.lit("^src[0-9]/(en|de)/n.*$")))
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("rank")).cast("long")
-    return allowed.select("conv_id", "doc_id", nth.alias("rank")).filter("rank <= 2")
+    allowed = _notes(t).filter(F.rlike(name, F.lit("^src[0-9]/(en|de)/n.*$"))).select("doc_id")
+    return topk.top_notes(t.index, _asked(t), 2, "conv_id", allowed).select("conv_id", "doc_id", "rank")
 
 
 @query(
@@ -497,8 +530,7 @@ def stimuli(t: Tables) -> DataFrame:
 @query(f"WITH RECURSIVE {_P}, {_FOUND}, k AS (SELECT doc_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS k FROM documents) SELECT top.conv_id, doc_id, list_sort(list_intersect(list_distinct(list(q.term)), any_value(k.k)))::VARCHAR AS matched, len(list_distinct(list(q.term))) - len(list_intersect(list_distinct(list(q.term)), any_value(k.k))) AS uncovered FROM top JOIN q USING (conv_id) JOIN k USING (doc_id) WHERE rank <= 3 GROUP BY ALL")
 def term_matches(t: Tables) -> DataFrame:
     """Which terms of its prompt each of the three best results has, and how many it lacks."""
-    own = _terms(t).filter("turn = 0").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("pos"))).filter("n <= 12")
-    asked = own.groupBy("conv_id").agg(F.collect_set("folded").alias("q"))
+    asked = _asked(t).groupBy("conv_id").agg(F.collect_set("term").alias("q"))
     best = _search(t).filter("rank <= 3").select("conv_id", "doc_id")
     have = t.documents.join(best.select("doc_id").distinct(), "doc_id").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("k"))
     both = best.join(asked, "conv_id").join(have, "doc_id").withColumn("m", F.array_sort(F.array_intersect("q", "k")))

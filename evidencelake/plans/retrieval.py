@@ -48,7 +48,7 @@ def relevance_floor(t: Tables) -> DataFrame:
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_D}) AS term FROM documents) GROUP BY term")
 def doc_freq(t: Tables) -> DataFrame:
-    return t.index.table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return t.index.table("terms")
 
 
 @query(f"SELECT doc_id, CAST(len({_D}) AS BIGINT) AS dl FROM documents")
