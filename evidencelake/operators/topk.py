@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidencelake.functions.stems import stems
+
 from .index import Index, impact
 from .search import idf
 
@@ -29,6 +31,21 @@ def top_notes(index: Index, asked: DataFrame, k: int, who: str, allowed: DataFra
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(who, index.key, "score", "n_terms", "rank")
 
 
+def stem_notes(index: Index, asked: DataFrame, k: int, who: str) -> DataFrame:
+    """(who, key, score, n_terms, rank): the k best notes by BM25 over English stems of whole texts. Only the distinct terms of the
+    index are stemmed, and their postings join by stem."""
+    known = stems(index.table("terms").select("term")).join(stems(asked.select("term").distinct()).select("stem").distinct(), "stem", "left_semi")
+    rows = index.table("postings").select("term", index.key, "tf", "dl").join(known, "term").groupBy("stem", index.key, "dl").agg(F.sum("tf").alias("tf"))
+    df = rows.groupBy("stem").agg(F.count("*").alias("df"))
+    stats = F.broadcast(index.manifest.select(F.col("notes").alias("n"), "avgdl"))  # one row
+    own = asked.select(who, "term").distinct().join(stems(asked.select("term").distinct()), "term").select(who, "stem").distinct()
+    weighed = own.join(df, "stem").crossJoin(stats).select(who, "stem", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+    part = F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    found = rows.join(weighed, "stem").groupBy(who, index.key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("n_terms"))
+    rank = F.row_number().over(Window.partitionBy(who).orderBy(F.desc("score"), index.key)).cast("long")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def _grams(c: Column) -> Column:
     """The distinct runs of one, two and three letters of a word."""
     def runs(n: int) -> Column:

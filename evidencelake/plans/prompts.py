@@ -535,3 +535,10 @@ def term_matches(t: Tables) -> DataFrame:
     have = t.documents.join(best.select("doc_id").distinct(), "doc_id").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("k"))
     both = best.join(asked, "conv_id").join(have, "doc_id").withColumn("m", F.array_sort(F.array_intersect("q", "k")))
     return both.select("conv_id", "doc_id", F.concat(F.lit("["), F.array_join("m", ", "), F.lit("]")).alias("matched"), (F.size("q") - F.size("m")).cast("long").alias("uncovered"))
+
+
+@query()
+def porter_search(t: Tables) -> DataFrame:
+    """The three best documents of each first prompt by stems of whole texts (no SQL: a test holds it against an engine that has
+    the same stemmer)."""
+    return topk.stem_notes(t.index, _asked(t), 3, "conv_id").select("conv_id", "doc_id", "score", "rank")
