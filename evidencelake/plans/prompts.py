@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
 from evidencelake.operators import index, routing, topk
+from evidencelake.operators.segments import Segments
+from evidencelake.operators.shared import generations
 
 from .base import Tables, query
 
@@ -542,3 +544,22 @@ def porter_search(t: Tables) -> DataFrame:
     """The three best documents of each first prompt by stems of whole texts (no SQL: a test holds it against an engine that has
     the same stemmer)."""
     return topk.stem_notes(t.index, _asked(t), 3, "conv_id").select("conv_id", "doc_id", "score", "rank")
+
+
+@query(
+    f"WITH RECURSIVE dz AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0), {_CHUNKS.replace('documents', 'dz')} "
+    "SELECT doc_id, count(*) AS records, sum(len(k))::BIGINT AS tokens FROM tk GROUP BY doc_id"
+)
+def index_segments(t: Tables) -> DataFrame:
+    """An index that took its notes in by three batches: two thirds; the rest and edited ones; some that are gone. Records and tokens
+    of each note that is left."""
+
+    def grow(folder: str) -> None:
+        own, docs, d = Segments(t._spark, folder), t.documents, F.col("doc_id")
+        text = F.when(d % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+        own.apply(docs.filter(d % 3 != 0).select("doc_id", "text"), 0)
+        own.apply(docs.filter((d % 3 == 0) | (d % 7 == 0)).select("doc_id", text.alias("text")), 1)
+        own.apply(docs.filter(d % 11 == 0).select("doc_id", F.lit(None).cast("string").alias("text")), 2)
+
+    lengths = Segments(t._spark, generations(t._spark, "segments", [f"{t._folder}/documents.parquet"], grow)).table("lengths")
+    return lengths.groupBy("doc_id").agg(F.count("*").alias("records"), F.sum("dl").alias("tokens"))
