@@ -71,28 +71,6 @@ def test_frontmatter_values_and_their_lines():
     assert notes.frontmatter_lines(text) == ({"related": [("it's", 3), ('a, "b"', 3), ("plain", 3)], "up": [("one", 4)], "parent": [("x", 7), ("[[y]]", 8)]}, 1)
 
 
-def passage(path, lo, score, tokens, terms, text=None):
-    return {"path": path, "lo": lo, "hi": lo + 8, "score": score, "tokens": tokens, "terms": terms, "text": text or f"{path}:{lo}"}
-
-
-def test_packer_respects_its_limits():
-    items = [passage(f"p{k % 3}", 10 * k, 1.0 + k % 5, 10 + k, [f"t{k % 4}"]) for k in range(20)]
-    taken = notes.Packer({"t0", "t1", "t2", "t3"}, 120).fill(items)
-    assert sum(p["tokens"] for p in taken) <= 120 and all(sum(q["path"] == p["path"] for q in taken) <= 3 for p in taken)
-    small = notes.Packer({"t0"}, 10_000, characters=10, source_characters=5).fill(items)
-    assert sum(len(p["text"]) for p in small) <= 10
-
-
-def test_packer_weighs_utility_against_the_floor():
-    # 0.15 alone is below 0.2 of the best, but a new term of two is worth a quarter of the best score more.
-    items = [passage("a", 0, 1.0, 10, ["x"]), passage("b", 0, 0.15, 10, ["y"]), passage("c", 0, 0.15, 10, ["x"])]
-    assert [p["path"] for p in notes.Packer({"x", "y"}, 100).fill(items)] == ["a", "b"]
-    # all covered: the floor is 0.6 of the best
-    items = [passage("a", 0, 1.0, 10, ["x"]), passage("b", 0, 0.55, 10, ["x"]), passage("c", 0, 0.6, 10, ["x"]), passage("d", 0, 0.9, 10, ["x"], "a:0")]
-    packer = notes.Packer({"x"}, 100)
-    assert [p["path"] for p in packer.fill(items)] == ["a", "c"] and [p["path"] for p in packer.duplicates] == ["d"]
-
-
 def test_hard_tokens():
     claim = 'On 5 March 2024 Harbor Board paid $48,000 to foo.bar() at 10:30:15, see "north gate" on 2024-05-01 (ID-77), https://x.org/a'
     assert notes.hard_tokens(claim) == [
