@@ -12,17 +12,30 @@ def candidate(n, path="p", mandatory=False, superseded=False, historical=False,
     return {"n": n, "path": path, "mandatory": mandatory, "superseded": superseded, "historical": historical, "hash": hash_ or str(n), "logical": logical or str(n)}
 
 
-def test_choose_keeps_quotas_and_drops_repeats():
+def test_chosen_keeps_quotas_and_drops_repeats(spark):
+    def chosen(cases, limit):
+        rows = [(q, r["n"], k, r["path"], r["logical"], r["hash"], r["mandatory"], r["superseded"], r["historical"]) for q, listed in enumerate(cases) for k, r in enumerate(listed)]
+        table = spark.createDataFrame(rows, "q int, id long, rank int, path string, logical string, hash string, mandatory boolean, superseded boolean, historical boolean")
+        out = {q: [] for q in range(len(cases))}
+        for r in routing.chosen(table, ["q"], limit).orderBy("q", "place").collect():
+            out[r.q].append(r.id)
+            assert r.place == len(out[r.q])
+        return list(out.values())
+
     must = [candidate(k, f"m{k}", mandatory=True, superseded=k == 0) for k in range(5)]
     others = [candidate(10 + k, "x") for k in range(9)]
     old = [candidate(30, "h", historical=True), candidate(31, "h", historical=True, hash_="10"), candidate(32, "h", historical=True)]
-    got = [r["n"] for r in routing.choose([*must, *others, *old], 10)]
-    # two places are kept back, 8 - 6 = 2 would be left for five mandatory ones, but three is the floor; the superseded one
-    # is last; four of a path; of the historical ones the repeated text goes.
-    assert got == [1, 2, 3, 10, 11, 12, 13, 30, 32]
-    again = [candidate(1, "a", hash_="same"), candidate(2, "b", hash_="same"), candidate(3, "c", logical="1"), candidate(4, "d")]
-    assert [r["n"] for r in routing.choose([dict(again[0], logical="1"), *again[1:]], 5)] == [1, 4]
-    assert routing.choose([], 5) == []
+    again = [candidate(1, "a", hash_="same", logical="1"), candidate(2, "b", hash_="same"), candidate(3, "c", logical="1"), candidate(4, "d")]
+    six = [candidate(k, "h", historical=True) for k in range(6)]
+    left_out = [*[candidate(k, f"m{k}", mandatory=True) for k in range(4)], *[candidate(10 + k, f"m{k}") for k in range(8)]]
+    skipped = [candidate(1, "a", hash_="h1", logical="l1"), candidate(2, "b", hash_="h1", logical="l2"), candidate(3, "c", hash_="h2", logical="l2")]
+    got = chosen([[*must, *others, *old], again, six, left_out, skipped, [candidate(1, mandatory=True), candidate(2, mandatory=True)]], 10)
+    # Two places are kept back, 8 - 6 = 2 would be left for five mandatory ones, but three is the floor; the superseded one is
+    # last; four of a path; of the first two historical ones the repeated text goes.
+    assert got[0] == [1, 2, 3, 10, 11, 12, 13, 30]
+    assert got[1] == [1, 4] and got[2] == [0, 1]
+    assert got[3] == [0, 1, 2, 3, 10, 11, 12, 13, 14, 15]  # rows of a mandatory path are passed over for content or name alone
+    assert got[4] == [1, 3] and got[5] == [1]  # what was passed over blocks nothing; the first of a mandatory path
 
 
 def test_strong_components_against_reachability(spark):
