@@ -45,10 +45,9 @@ def est_tokens(c: Column) -> Column:
     return F.ceil(F.char_length(c) / 4).cast("long")
 
 
-def occurrences(c: Column, term: str) -> Column:
-    """How often a folded term occurs in the folded text, without overlaps."""
-    text = fold(c)
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+def occurrences(folded: Column, term: str) -> Column:
+    """How often a folded term occurs in a folded text, without overlaps."""
+    return ((F.char_length(folded) - F.char_length(F.replace(folded, F.lit(term), F.lit("")))) / len(term)).cast("long")
 
 
 def lines(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelake.functions.text import occurrences, tokens
+from evidencelake.functions.text import fold, occurrences, tokens
 
 #: BM25 constants, the floor of idf, and the constant of reciprocal-rank fusion (fixed values).
 K1, B, IDF_LEAST, RRF_K = 1.2, 0.75, 1e-6, 60
@@ -67,9 +67,11 @@ def phrase_docs(docs: DataFrame, phrase: list[str], key: str = "doc_id", text: s
 
 def grep(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_terms, total): substring counts; the more different terms, then the more hits, the better."""
-    counts = [occurrences(F.col(text), t) for t in terms]
+    folded = docs.select(key, fold(F.col(text)).alias("folded"))  # once a text
+    rows = folded.select(key, *[occurrences(F.col("folded"), t).alias(f"n{k}") for k, t in enumerate(terms)])
+    counts = [F.col(f"n{k}") for k in range(len(terms))]
     n = sum(((c > 0).cast("long") for c in counts), F.lit(0).cast("long"))
-    return docs.select(key, n.alias("n_terms"), sum(counts, F.lit(0).cast("long")).alias("total")).filter("n_terms > 0")
+    return rows.select(key, n.alias("n_terms"), sum(counts, F.lit(0).cast("long")).alias("total")).filter("n_terms > 0")
 
 
 def ranked(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:

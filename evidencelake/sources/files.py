@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,11 +30,23 @@ def scan_notes(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ())
     return files.select(path.alias("path"), F.when(ok, F.col("content").cast("string")).alias("text"), F.when(ok, F.sha2("content", 256)).alias("sha256"), F.col("length").alias("n_bytes"), state.alias("state"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, row): the lines of files, numbered from 1. A file is read in splits: each task knows the place of a line in its
+    own, and what stands before comes from the counts of lines by split, a row a split."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("row"),
+    )
+    splits = rows.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("before", before).select("path", "start", "first", "before")
+    return rows.join(splits, ["path", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("line"), "row")
+
+
 def scan_ledger(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """(file, line, record, problem): the lines of JSON ledgers; a line that is no object of the schema is a problem, and
     the others are kept."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    rows = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n"))).select("file", (F.col("pos") + 1).alias("line"), F.col("col").alias("row"))
+    rows = numbered_lines(spark, path)
     record = F.from_json("row", schema, {"mode": "PERMISSIVE"})
     bad = F.try_parse_json("row").isNull() | ~F.startswith(F.ltrim("row"), F.lit("{"))
     return rows.select("file", "line", F.when(~bad, record).alias("record"), F.when(bad, "not a JSON object").alias("problem"))

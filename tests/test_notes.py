@@ -159,3 +159,21 @@ def test_index_merger_replaces_changed_notes(spark, tmp_path):
     merge(first, 0), merge(second, 1), merge(second, 1)
     got = spark.read.parquet(str(tmp_path / "index" / "1")).collect()
     assert sorted((r.doc_id, r.content) for r in got) == [(1, "one"), (2, "deux")]
+
+
+def test_lines_of_a_ledger_are_numbered_over_splits(spark, tmp_path):
+    want = {}
+    for name, many in (("a.jsonl", 3000), ("b.jsonl", 1), ("c.jsonl", 700)):
+        rows = [f'{{"id": "{name}{k}", "n": {k}}}' if k % 50 else ("" if k % 100 else "é\r broken") for k in range(many)]
+        (tmp_path / name).write_bytes("\n".join(rows).encode() + (b"\n" if name != "c.jsonl" else b""))
+        want |= {(name, k + 1): x for k, x in enumerate(rows)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = files.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 3
+        assert {(r.file, r.line): r.row for r in lines.collect()} == want
+        got = files.scan_ledger(spark, str(tmp_path), "id string, n int").filter("problem is null").collect()
+        assert {(r.file, r.line, r.record.n) for r in got} == {(f, k, k - 1) for (f, k), x in want.items() if x.startswith("{")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
