@@ -13,7 +13,8 @@ state with an arc for the token, their weights and the arc's probability are add
 the next state, the longest history that training has seen.  Long texts are read in runs of ``RUN`` tokens, each from the
 state that the tokens before it lead to, and all runs of a block step together.
 
-Distribution.  Documents are dealt into blocks of about ``BLOCK`` bytes.  A block counts its distinct n-grams (those of
+Distribution.  Each task cuts the documents that it reads into blocks of about ``BLOCK`` bytes and sends each as numbers of
+words, small ones for frequent words; texts are not moved.  A block counts its distinct n-grams (those of
 training documents; the others with count 0, as a request) and sends each once to the partition of its hash, which adds
 up all blocks and answers with what the others have.  So a block has exactly the states and arcs that its texts can
 reach, no block has the model of the corpus, and nothing is collected at the driver.  Keys go sorted, as differences, and
@@ -31,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, did, fold, mix, partitions, texts, words
+from .common import NULL_ID, did, fold, longs, mix, partitions, texts, words
 
 U64 = np.uint64
 #: Bytes of text in a block, and tokens in a run.
@@ -52,11 +54,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Block:
-    """The n-grams of some texts. grams[n]: sorted distinct ones of n + 1 tokens; at[n]: the one that ends at each token,
+    """The n-grams of some texts, given as hashes of their words. grams[n]: sorted distinct ones of n + 1 tokens; at[n]: the one that ends at each token,
     -1 where the text has too few before it; counts[n]: how often training documents have them."""
 
-    def __init__(self, items: Iterator[np.ndarray], train: np.ndarray, order: int) -> None:
-        rows = [words(x) for x in items]
+    def __init__(self, rows: list[np.ndarray], train: np.ndarray, order: int) -> None:
         self.sizes = np.array([len(r) + 1 for r in rows], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         weight = np.repeat(train.astype(np.float64), self.sizes)
@@ -192,6 +193,7 @@ def numbers(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+_PACKED = "block long, ids binary, held binary, sizes binary, names binary, ranks binary, words binary"
 _SENT = "bucket int, n int, block long, keys binary, counts binary"
 _ANSWER = "block long, n int, bucket int, size long, more binary, total long, known long"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -202,17 +204,49 @@ def score(docs: DataFrame, held: Column, order: int = 3, prior: float = PRIOR, s
     spark = docs.sparkSession
     parts = partitions(spark)
     buckets = 4 * parts
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK))
-    # The number of the row deals out rows that are equal in all columns, too.
-    block_of = F.pmod(F.xxhash64(did(), F.octet_length("text"), F.monotonically_increasing_id()), F.lit(blocks))
-    rows = docs.select(did().alias("did"), held.alias("held"), "text", block_of.alias("block"))
 
-    def opened(table: pa.Table) -> Block:
-        return Block(texts(table.column("text").combine_chunks()), ~table.column("held").to_numpy(zero_copy_only=False), order)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: its documents, and their words as numbers in the sorted list of the block's words."""
+        parts_of, rows, size, nth = [], [], 0, TaskContext.get().partitionId() << 32
+
+        def row() -> pa.RecordBatch:
+            names, at, often = np.unique(np.concatenate([*rows, np.zeros(0, U64)]), return_inverse=True, return_counts=True)
+            rank = np.empty(len(names), np.int64)
+            rank[np.argsort(-often, kind="stable")] = np.arange(len(names))  # small numbers for frequent words: they compress
+            ids, held_ = (np.concatenate(x) for x in zip(*parts_of, strict=True))
+            columns = {"block": nth, "ids": ids.tobytes(), "held": held_.tobytes(), "sizes": planes(np.array([len(r) for r in rows]), 4), "names": planes(np.diff(names, prepend=U64(0)) if len(names) else names, 8), "ranks": planes(rank, 4), "words": planes(rank[at], 4)}
+            return pa.RecordBatch.from_pylist([columns], pa.schema([(k, pa.int64() if k == "block" else pa.binary()) for k in columns]))
+
+        for batch in batches:
+            begin = 0
+            flags = batch.column(1).to_numpy(zero_copy_only=False)
+            for k, x in enumerate(texts(batch.column(2))):
+                rows.append(words(x))
+                size += len(x) + 8
+                if size >= BLOCK or k == batch.num_rows - 1:
+                    parts_of.append((longs(batch.column(0))[begin : k + 1], flags[begin : k + 1]))
+                    begin = k + 1
+                if size >= BLOCK:
+                    yield row()
+                    parts_of, rows, size, nth = [], [], 0, nth + 1
+        if rows:
+            yield row()
+
+    # A task that runs again reads the same rows in the same order, so its blocks are the same.
+    packed = docs.select(did().alias("did"), held.alias("held"), "text").mapInArrow(pack, _PACKED)
+
+    def opened(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
+        """The block of a row, and the ids of its documents and whether they are held out."""
+        names, sizes = np.cumsum(numbers(row["names"], 8), dtype=U64), numbers(row["sizes"], 4).astype(np.int64)
+        by_rank = np.empty_like(names)
+        by_rank[numbers(row["ranks"], 4).astype(np.int64)] = names
+        line = by_rank[numbers(row["words"], 4).astype(np.int64)]
+        held_ = np.frombuffer(row["held"], bool)
+        return Block(np.split(line, np.cumsum(sizes)[:-1]), ~held_, order), np.frombuffer(row["ids"], np.int64), held_
 
     def ask(table: pa.Table) -> pa.Table:
-        block, out = opened(table), []
+        row = table.to_pylist()[0]
+        block, out = opened(row)[0], []
         for n in range(order):
             cut = block.cuts(n, buckets)
             for b in range(buckets):
@@ -220,7 +254,7 @@ def score(docs: DataFrame, held: Column, order: int = 3, prior: float = PRIOR, s
                 if x < y or not n:  # the answers to single tokens bring the totals, so each bucket is asked
                     keys = block.grams[n][x:y]
                     apart = np.diff(keys, prepend=U64(0)) if len(keys) else keys
-                    out.append((b, n, table.column("block")[0].as_py(), planes(apart, 8), planes(block.counts[n][x:y], 4)))
+                    out.append((b, n, row["block"], planes(apart, 8), planes(block.counts[n][x:y], 4)))
         return pa.table([pa.array(c) for c in zip(*out, strict=True)], pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,23 +283,21 @@ def score(docs: DataFrame, held: Column, order: int = 3, prior: float = PRIOR, s
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "n", "bucket", "size", "more", "total", "known"])
 
     def read(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = opened(table)
+        block, ids, held_ = opened(table.to_pylist()[0])
         cuts = [block.cuts(n, buckets) for n in range(order)]
         total = distinct = 0
         for n, bucket, size, more, sums, known in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "size", "more", "total", "known")), strict=True):
             x, y = cuts[n][bucket : bucket + 2]
-            if y - x != size:
-                raise RuntimeError("a block was dealt other rows than before: the input of this operator must be repeatable")
+            assert y - x == size
             block.counts[n][x:y] += numbers(more, 8).astype(np.int64)
             if not n:
                 total, distinct = total + sums, distinct + known
         made = Automaton(block, total, distinct, prior, spread)
         seen = block.counts[0][block.at[0]] > 0
-        ids = table.column("did").to_numpy()
         return pa.table(
             {
                 "doc_id": pa.array(ids, mask=ids == NULL_ID),
-                "held_out": table.column("held"),
+                "held_out": held_,
                 "n_tokens": block.sizes,
                 "n_known": np.add.reduceat(seen.astype(np.int64), block.first),
                 "train_tokens": np.full(len(ids), total, np.int64),
@@ -274,9 +306,9 @@ def score(docs: DataFrame, held: Column, order: int = 3, prior: float = PRIOR, s
             }
         )
 
-    asked = rows.groupBy("block").applyInArrow(ask, _SENT).repartition(parts, "bucket").sortWithinPartitions("bucket", "n")
+    asked = packed.groupBy("block").applyInArrow(ask, _SENT).repartition(parts, "bucket").sortWithinPartitions("bucket", "n")
     answers = asked.mapInArrow(answer, _ANSWER)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, _SCORED)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, _SCORED)
 
 
 def digest(docs: DataFrame, order: int = 3, prior: float = PRIOR, spread: float = SPREAD) -> DataFrame:

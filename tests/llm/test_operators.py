@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from evidencelake.llm import backoff_lm, bin_completion, histogram_shards, id_matrices, langid, media, merkle, mixing, parity_join, suffix_dedup, tokens
+from evidencelake.llm.common import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, did long, name string, size int"
 
@@ -217,7 +218,7 @@ def test_backoff_lm_scores(docs, rows, empty):
 
 def test_probabilities_of_each_state_of_the_automaton_sum_to_one(rows):
     data = [np.frombuffer((r[1] or "").encode(), np.uint8) for r in rows]
-    block = backoff_lm.Block(iter(data), np.array([k % 5 != 0 for k in range(len(rows))]), 3)
+    block = backoff_lm.Block([words(x) for x in data], np.array([k % 5 != 0 for k in range(len(rows))]), 3)
     total, distinct = int(block.counts[0].sum()), int((block.counts[0] > 0).sum())
     made = backoff_lm.Automaton(block, total, distinct, 4.0, 0.5)
     known = np.flatnonzero(block.counts[0])
