@@ -217,4 +217,9 @@ def gathered(batches: Iterable[pa.RecordBatch], types: dict[str, object]) -> dic
     for batch in batches:
         for k, t in types.items():
             parts[k] += [np.frombuffer(x, t) for x in batch.column(k).to_pylist() if x]
-    return {k: np.concatenate(v) if v else np.zeros(0, types[k]) for k, v in parts.items()}
+    out = {}
+    for k, t in types.items():  # a column's pieces go when it is put together
+        pieces = parts.pop(k)
+        out[k] = np.concatenate(pieces) if pieces else np.zeros(0, t)
+        del pieces
+    return out

@@ -197,7 +197,10 @@ def _settled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cuts = _runs(alike[order])
     first = np.repeat(order[cuts[:-1]], np.diff(cuts))
     later = (rows["did"][order] != rows["did"][first]) | (rows["at"][order] != rows["at"][first])
-    later &= (x[order] == x[first]).all(axis=1)
+    for at in range(0, len(order), 1 << 12):  # some rows at a time
+        some = slice(at, at + (1 << 12))
+        later[some] &= (x[order[some]] == x[first[some]]).all(axis=1)
+    del x
     return rows[np.sort(order[~later])], rows[order[later]]
 
 
@@ -231,7 +234,7 @@ def _later(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _starts(docs: DataFrame) -> DataFrame:
     """(did, name, starts): runs of windows that also start earlier. docs: did, name, text, at (the repeated anchors)."""
-    parts = partitions(docs.sparkSession)
+    parts = 2 * partitions(docs.sparkSession)
     buckets = 4 * parts
     entry = np.dtype([("key", U64), ("did", np.int64), ("name", np.int64), ("at", np.int64), ("lo", np.int16), ("hi", np.int16), ("bytes", np.uint8, SPAN)])
     settled = np.dtype([("did", np.int64), ("name", np.int64), ("start", np.int64), ("n", np.int64)])
@@ -280,7 +283,7 @@ def _starts(docs: DataFrame) -> DataFrame:
                 rows["bytes"] = np.where(inside, data[np.clip(index, 0, len(data) - 1)], 0)
                 held.append(rows)
                 size += len(rows)
-                if size >= HELD // 8:
+                if size >= HELD // 16:
                     size = 0
                     yield from flush()
         if held:
@@ -290,11 +293,11 @@ def _starts(docs: DataFrame) -> DataFrame:
         got = gathered(batches, {"rows": entry, "done": settled})
         done = got["done"]
         rows, gone = _settled(got.pop("rows"))
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        cuts = _runs(rows["key"])
+        order = np.argsort(rows["key"], kind="stable")
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        cuts = _runs(rows["key"][order])
         several = np.diff(cuts) > 1  # an anchor with one stretch left has no other window to compare
-        rows = rows[np.repeat(several, np.diff(cuts))]
+        rows = rows[order[np.repeat(several, np.diff(cuts))]]
         cuts = _runs(rows["key"])
         length = np.concatenate(([0], np.cumsum(rows["hi"].astype(np.int64) - rows["lo"] + LENGTH + 1)))
         at = 0
@@ -302,13 +305,15 @@ def _starts(docs: DataFrame) -> DataFrame:
             to = max(at + 1, int(np.searchsorted(length[cuts], length[cuts[at]] + TOGETHER, "right")) - 1)
             low, high = int(cuts[at]), int(cuts[to])
             each, start = _later(rows[low:high])
-            found.append((low + each, start))
+            order = np.lexsort((start, each))
+            each, start = each[order], start[order]
+            heads = np.flatnonzero(np.append(True, (each[1:] != each[:-1]) | (start[1:] != start[:-1] + 1))[: len(each)])
+            found.append((low + each[heads], start[heads], np.diff(np.append(heads, len(each)))))
             at = to
-        who = np.concatenate([a for a, _ in found] + [np.zeros(0, np.int64)]).astype(np.int64)
-        start = np.concatenate([s for _, s in found] + [np.zeros(0, np.int64)])
+        who, start, n = (np.concatenate([f[k] for f in found] + [np.zeros(0, np.int64)]).astype(np.int64) for k in range(3))
         ids = np.concatenate((rows["did"][who], gone["did"], done["did"]))
         name = np.concatenate((rows["name"][who], gone["name"], done["name"]))
-        n = np.concatenate((np.ones(len(start), np.int64), gone["hi"].astype(np.int64) - gone["lo"] + 1, done["n"]))
+        n = np.concatenate((n, gone["hi"].astype(np.int64) - gone["lo"] + 1, done["n"]))
         start = np.concatenate((start, gone["at"] + gone["lo"], done["start"]))
         if not len(ids):
             return
