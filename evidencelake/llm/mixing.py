@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import forget, small, stored
 
 #: The pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,7 +85,9 @@ def _mix(own: DataFrame, weights: list[float], share: float, epochs: float, seed
         F.col("a.source").alias("source"), F.col("a._cell").alias("_cell"), "ahead", F.col("a.size").alias("cell_size"), "source_size", "target", "whole", "need"
     )
     # 16^CELL_DIGITS rows a source at most: documents stay where they are unless these are counted to be many.
-    marks = small(stored(marks, "marks"), F.lit(96) + F.coalesce(F.octet_length("source"), F.lit(0))).alias("m")
+    marks = stored(marks, "marks")
+    forget(cells, goals)
+    marks = small(marks, F.lit(96) + F.coalesce(F.octet_length("source"), F.lit(0))).alias("m")
     full = own.alias("d").join(marks, F.expr("d.source <=> m.source AND d._cell = m._cell"))
     full = full.select("d.*", "ahead", "cell_size", "source_size", "target", "whole", "need")
     # The prefix ends in the cell that holds `need`; a document belongs to it if its middle does.

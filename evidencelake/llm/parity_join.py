@@ -446,7 +446,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
             break
         turn += 1
     named = rows.filter("n > 0").join(label.select("name", "comp"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-    return named.select("did", "hash", "n", "comp").union(rows.filter("n = 0").select("did", "hash", "n", F.lit(None).cast("long")))
+    out = stored(named.select("did", "hash", "n", "comp").union(rows.filter("n = 0").select("did", "hash", "n", F.lit(None).cast("long"))), "linked")
+    forget(table, nodes, label, live)
+    return out
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -465,13 +467,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id, then the least hash of its text, and any of
     rows that are equal in both. Rows without shingles stay."""
-    texted = stored(linked(docs, words, percent).filter("comp is not null").groupBy("did", "hash").agg(F.min("comp").alias("comp"), F.count("*").alias("times")), "texted")
+    rows = linked(docs, words, percent)
+    texted = stored(rows.filter("comp is not null").groupBy("did", "hash").agg(F.min("comp").alias("comp"), F.count("*").alias("times")), "texted")
     alone = F.struct("did", "hash")
     first = texted.groupBy("comp").agg(F.min(alone).alias("first"), F.count("*").alias("members"))
     first = stored(first.filter("members > 1").select("comp", "first"), "first")
     judged = texted.join(small(first), "comp", "left").withColumn("stays", F.col("first").isNull() | (alone == F.col("first")))
     # Rows that go, and those of which one is to be taken; all others stay as they are.
     some = stored(judged.filter("not stays or times > 1").select("did", "hash", "stays"), "some")
+    forget(rows, texted, first)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = docs.select(row, did().alias("did"), F.xxhash64("text").alias("hash"))
     out = own.join(small(some), ["did", "hash"], "left_anti").select("row")
