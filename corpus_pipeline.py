@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidencelake.llm import bin_completion, langid, mixing, parity_join, suffix_dedup
-from evidencelake.llm.common import bounded_batches, stored, texts
+from evidencelake.llm.common import bounded_batches, released, stored, texts
 from evidencelake.llm.queries import MIX
 
 
@@ -59,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), pa.array(gone, pa.bool_())], ["row", "text", "gone"])
 
     schema = T.StructType([spanned.schema["row"], T.StructField("text", T.StringType()), T.StructField("gone", T.BooleanType())])
-    out = spanned.mapInArrow(cut, schema).filter("not gone")
+    out = spanned.mapInArrow(released(cut), schema).filter("not gone")
     new = {"text": F.col("text"), "n_chars": F.char_length("text")}
     return out.select([new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
