@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _LOWER, _SPACE, texts
+from .common import _LOWER, _SPACE, released, texts
 
 #: Documents a language that training looks at, in expectation.
 SAMPLE = 2_000
@@ -129,7 +129,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         k, cell = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(both[k, cell])], ["k", "cell", "n"])
 
-    counted = chosen.select("lang", "text").mapInArrow(count, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", "text").mapInArrow(released(count), "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # (CELLS + N_SCRIPTS) rows a language at most
     both = np.zeros((len(langs), CELLS + N_SCRIPTS))
     k, cell, n = (table.column(c).to_numpy() for c in ("k", "cell", "n"))
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"), F.col("text").alias("text"))
     types = ["lang_pred string", "score double", *["lang_spans array<struct<start:bigint,end:bigint,lang:string>>"] * spans]
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(types)).fields])
-    return rows.mapInArrow(predict, schema).select("row.*", *new)
+    return rows.mapInArrow(released(predict), schema).select("row.*", *new)
 
 
 def digest(docs: DataFrame, sample: int = SAMPLE, switch: float = SWITCH) -> DataFrame:

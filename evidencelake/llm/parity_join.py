@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, dealt, did, forget, gathered, longs, mix, partitions, shingles, small, stored, texts
+from .common import NULL_ID, dealt, did, forget, gathered, longs, mix, partitions, released, shingles, small, stored, texts
 
 U64 = np.uint64
 #: Bands of set sizes [L, 4 L).  Below PLAIN a part is a single shingle; from there on a sketch has 2 L parts.
@@ -122,7 +122,7 @@ def _hot(docs: DataFrame, words: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["key"])
 
     sample = docs.filter(F.pmod(F.xxhash64("did", F.lit(3)), F.lit(SAMPLE)) == 0).select("text")
-    often = sample.mapInArrow(keys, "key long").groupBy("key").count().filter(F.col("count") >= OFTEN)
+    often = sample.mapInArrow(released(keys), "key long").groupBy("key").count().filter(F.col("count") >= OFTEN)
     rows = often.orderBy(F.desc("count"), "key").limit(HOT_MOST).toArrow().column("key")
     return np.sort(np.array(rows.to_numpy(), np.int64).view(U64))
 
@@ -201,8 +201,8 @@ def _sets_and_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ["key", "place", "name", "did", "n", "hash", "bits"],
             )
 
-    blobs = docs.select("did", "text", F.xxhash64("text")).mapInArrow(emit, "bucket int, key binary, name binary, place binary, doc binary")
-    return blobs.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "key long, place long, name long, did long, n long, hash long, bits binary")
+    blobs = docs.select("did", "text", F.xxhash64("text")).mapInArrow(released(emit), "bucket int, key binary, name binary, place binary, doc binary")
+    return blobs.repartition(parts, "bucket").drop("bucket").mapInArrow(released(meet), "key long, place long, name long, did long, n long, hash long, bits binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
                     )
 
     some = docs.join(small(needed), "did", "left_semi").select("text")
-    return some.mapInArrow(make, "name long, u binary")
+    return some.mapInArrow(released(make), "name long, u binary")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     side = nodes.select("name", "n", "bits")
     full = pairs.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b")
-    return full.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long")
+    return full.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(released(bound), "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +266,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.toDF("a", "ua"), "a").join(sets.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
-    return full.mapInArrow(verify, "a long, b long")
+    return full.mapInArrow(released(verify), "a long, b long")
 
 
 def _alive(own: DataFrame, order: Column) -> DataFrame:
@@ -375,7 +375,7 @@ def _blocks(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 pair = np.unique(np.stack((a, b), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    sketches = nodes.select("name", "bits").mapInArrow(fold_all, "name long, bits binary")
+    sketches = nodes.select("name", "bits").mapInArrow(released(fold_all), "name long, bits binary")
     rows = live.join(sketches, "name")
     # A set meets those of every slice of its part: of the own slice once, and of each other one as one of two sides.
     rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -384,7 +384,7 @@ def _blocks(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         (F.col("slice") > F.col("t")).cast("int").alias("side"), "bits",
     )
     rows = rows.repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(released(compare), "a long, b long").distinct()
 
 
 def _half_folded(rows: np.ndarray, words: int) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import did, fold, forget, gathered, grams, longs, mix, dealt, partitions, small, stored, texts
+from .common import did, fold, forget, gathered, grams, longs, mix, dealt, partitions, released, small, stored, texts
 
 U64 = np.uint64
 #: The length of a string, and the bytes of an anchor.
@@ -43,7 +43,7 @@ DEPTH = 3**LEVELS
 PLACES = LENGTH - GRAM + 1
 SPAN = LENGTH + PLACES - 1
 #: Anchors held before they are sent on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Bytes that make one string: the stretches of some anchors, of one at least.
 TOGETHER = 1 << 18
 
@@ -121,8 +121,8 @@ def _repeated(docs: DataFrame) -> DataFrame:
             blobs = [at[cuts[k] : cuts[k + 1]].tobytes() for k in range(lo, hi)]
             yield pa.RecordBatch.from_arrays([pa.array(name[cuts[lo:hi]]), pa.array(blobs, pa.binary())], ["name", "at"])
 
-    sent = docs.select("name", "text").mapInArrow(emit, "bucket int, key binary, name binary, at binary")
-    return sent.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "name long, at binary")
+    sent = docs.select("name", "text").mapInArrow(released(emit), "bucket int, key binary, name binary, at binary")
+    return sent.repartition(parts, "bucket").drop("bucket").mapInArrow(released(meet), "name long, at binary")
 
 
 def _sorted(columns: list[np.ndarray], tops: list[int]) -> tuple[np.ndarray, np.ndarray | None]:
@@ -283,7 +283,7 @@ def _starts(docs: DataFrame) -> DataFrame:
                 rows["bytes"] = np.where(inside, data[np.clip(index, 0, len(data) - 1)], 0)
                 held.append(rows)
                 size += len(rows)
-                if size >= HELD // 16:
+                if size >= HELD // 8:
                     size = 0
                     yield from flush()
         if held:
@@ -333,8 +333,8 @@ def _starts(docs: DataFrame) -> DataFrame:
             of = heads[cuts[lo:hi]]
             yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(name[of]), pa.array(blobs, pa.binary())], ["did", "name", "starts"])
 
-    sent = docs.select("did", "name", "text", "at").mapInArrow(emit, "bucket int, rows binary, done binary")
-    return sent.repartition(parts, "bucket").drop("bucket").mapInArrow(meet, "did long, name long, starts binary")
+    sent = docs.select("did", "name", "text", "at").mapInArrow(released(emit), "bucket int, rows binary, done binary")
+    return sent.repartition(parts, "bucket").drop("bucket").mapInArrow(released(meet), "did long, name long, starts binary")
 
 
 def removed_runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -377,7 +377,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["did", "name", "spans"])
 
     kind = "array<struct<start:bigint,end:bigint>>"
-    spans = stored(runs.mapInArrow(cover, f"did long, name long, spans {kind}"), "spans")
+    spans = stored(runs.mapInArrow(released(cover), f"did long, name long, spans {kind}"), "spans")
     copies = stored(copies, "copies")
     forget(starts, first)
     out = own.join(small(spans, 16 * F.size("spans")), ["did", "name"], "left").withColumn("md5", F.md5(text))
@@ -410,4 +410,4 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     spans = dedup_spans(docs.select("doc_id", "text"))
-    return spans.mapInArrow(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans.mapInArrow(released(measure), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
