@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions.text import tokens
 
-from .index import Index, postings, records
+from .index import Index, postings, records, stored_text
 from .shared import _place, remove
+from .shards import shards
 
 #: Segments of a tier that are put together.
 FANOUT = 4
@@ -55,9 +56,13 @@ class Segments(Index):
 
     def table(self, name: str) -> DataFrame:
         if name == "record_terms":
-            return self.table("record_postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+            return self.table("record_postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.countDistinct(self.key).alias("notes"))
         return self._merged([x for x, _ in self.state[1]], name)
 
+    @property
+    def shards(self) -> DataFrame:
+        return shards(stored_text(self.table("records"), self.key), self.key)
+
     @property
     def manifest(self) -> DataFrame:
         return self.table("lengths").agg(F.countDistinct(self.key).alias("notes"), F.count("*").alias("records"), F.avg("dl").alias("record_avgdl"))
