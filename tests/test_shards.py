@@ -98,3 +98,22 @@ def test_building_the_index_does_not_exchange_postings(spark, tmp_path):
     before = moved(spark)
     index.build(docs, f"file://{tmp_path}/i")
     assert moved(spark) - before < 400 * 50 / 4
+
+
+def test_pages_found_equal_a_plain_loop(spark):
+    from evidencelake.plans import packets, prompts
+    from evidencelake.plans.base import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    asked, lines = prompts._asked(t), packets._lines(t)
+    terms, rows, want = {}, lines.collect(), set()
+    for r in asked.collect():
+        terms.setdefault(r.conv_id, set()).add(r.term)
+    for conv, ts in terms.items():
+        pages, best = {}, {}
+        for r in rows:
+            if has := ts & set(r.words):
+                pages.setdefault(r.path, set()).update(has)
+                best[r.path] = max(best.get(r.path, (0, 0)), (len(has), -r.lo))
+        want |= {(conv, p, -best[p][1], float(len(pages[p]))) for p in sorted(pages, key=lambda p: (-len(pages[p]), p))[:3]}
+    assert {tuple(r) for r in packets._found(packets._shards(t), lines, asked).collect()} == want and want
