@@ -35,8 +35,9 @@ sc AS (SELECT method, item_id, kind, passages = 0 AS failed, found AS complete,
 
 
 def _gold(t: Tables) -> DataFrame:
-    """(item_id, doc_id): the documents that have the passage of an item, word for word."""
-    return evals.verbatim(t.documents, t.benchmark.select("item_id", F.col("text").alias("claim")), "doc_id", "item_id").select("item_id", "doc_id").distinct()
+    """(item_id, doc_id): the documents that have the passage of an item, word for word. Found once a state of the tables."""
+    claims = t.benchmark.select("item_id", F.col("text").alias("claim"))
+    return t.made("gold", ["documents", "benchmark"], lambda folder: topk.holding(t.index, t.documents, claims, "item_id").distinct().write.parquet(folder))
 
 
 def _passages(t: Tables) -> DataFrame:
