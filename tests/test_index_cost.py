@@ -35,7 +35,7 @@ def test_scores_need_the_lists_alone(spark, tmp_path):
     assert own.scores(["nowhere"]).collect() == []
 
 
-@pytest.mark.parametrize("name", ["bm25_all_terms"])
+@pytest.mark.parametrize("name", ["bm25_all_terms", "rrf_fusion"])
 def test_ranking_by_some_terms_exchanges_no_other_terms(spark, tmp_path, name):
     rows = [(k, " ".join(f"w{k}x{j}" for j in range(100)) + " of the with les") for k in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
